@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import url_rules
+from gleaner.llm import pii, url_rules
 from gleaner.llm.common import table
 
 
@@ -14,8 +14,13 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_rules": op6_url_rules,
+    "op9_pii": op9_pii,
 }
 ORACLES: dict[str, str] = {
     "op6_url_rules": url_rules.ORACLE_SQL,
