@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, pii, simhash, token_files, url_rules
+from gleaner.llm import bpe, pii, simhash, spotsigs, token_files, url_rules
 from gleaner.llm.common import table
 
 
@@ -34,12 +34,17 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(token_files.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_byte_pairs": op5_byte_pairs,
     "op6_url_rules": op6_url_rules,
     "op7_token_files": op7_token_files,
     "op9_pii": op9_pii,
+    "op10_spotsigs": op10_spotsigs,
 }
 ORACLES: dict[str, str] = {
     "op6_url_rules": url_rules.ORACLE_SQL,
