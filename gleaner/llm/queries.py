@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, pii, simhash, spotsigs, token_files, url_rules
+from gleaner.llm import bpe, html_main_text, pii, simhash, spotsigs, token_files, url_rules
 from gleaner.llm.common import table
 
 
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_html_main_text": op3_html_main_text,
     "op4_simhash": op4_simhash,
     "op5_byte_pairs": op5_byte_pairs,
     "op6_url_rules": op6_url_rules,
