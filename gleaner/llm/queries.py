@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, html_main_text, pii, simhash, spotsigs, token_files, url_rules
+from gleaner.llm import bpe, html_main_text, pii, quality, simhash, spotsigs, token_files, url_rules
 from gleaner.llm.common import table
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main_text.extract(table(spark, sf_dir, "pages"))
 
@@ -43,6 +47,7 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_importance_resampling": op1_importance_resampling,
     "op3_html_main_text": op3_html_main_text,
     "op4_simhash": op4_simhash,
     "op5_byte_pairs": op5_byte_pairs,
