@@ -95,22 +95,20 @@ def links(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     # variant i < 64: bit i wildcarded in its segment; 64 and 65: a whole segment. The number leads the key.
     variants = "transform(sequence(0, 65), i -> struct(i, CASE WHEN i < 64 THEN (shiftright(fp, IF(i < 32, 0, 32)) & 4294967295L) & ~shiftleft(1L, i % 32) ELSE shiftright(fp, IF(i = 64, 0, 32)) & 4294967295L END | shiftleft(CAST(i AS BIGINT), 32)))"
     keyed = fps.selectExpr("fp", f"explode({variants}) AS v").selectExpr("fp", "v.i AS i", "v.col2 AS key")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    sizes = written(sizes)
+    keyed = keyed.repartition("key")  # the count and the join below both use this one exchange
+    shared = written(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
     near = "bit_count(a ^ b) <= 2"
-    twos = sizes.where("n = 2").select("a", "b").where(near)
-    more = keyed.join(sizes.where("n > 2").select("key", "n"), "key")
-    some = more.where(F.col("n") <= pair_limit)
+    some = shared.where(F.col("n") <= pair_limit)
     # a pair whose segments differ in bit i meets under variant i; one whose segments are equal under the whole segment
     pairs = some.select("key", "i", F.col("fp").alias("a")).join(some.select("key", F.col("fp").alias("b")), "key").where("a < b").where(near).where("IF(i < 64, getbit(a, i) != getbit(b, i), true)").select("a", "b")
-    many = more.where(F.col("n") > pair_limit).drop("n")
+    many = shared.where(F.col("n") > pair_limit).drop("n")
     # the other segment's bits: 32..63 for variants of the low segment, else 0..31
     one = many.where("i < 64").selectExpr("fp", "i", "explode(transform(sequence(0, 31), j -> j + IF(i < 32, 32, 0))) AS j").selectExpr("fp", "least(i, j) AS i", "greatest(i, j) AS j")
     two = many.where("i >= 64").selectExpr("fp", "IF(i = 64, 32, 0) AS base").selectExpr("fp", "base", "explode(sequence(0, 30)) AS x").selectExpr("fp", "base", "x", "explode(sequence(x + 1, 31)) AS y").selectExpr("fp", "base + x AS i", "base + y AS j")
     free = one.unionByName(two).selectExpr("fp", "i", "j", "fp & ~(shiftleft(1L, i) | shiftleft(1L, j)) AS fixed")
     stars = free.groupBy("i", "j", "fixed").agg(F.collect_set("fp").alias("members")).where("size(members) > 1")
     spokes = stars.selectExpr("array_min(members) AS a", "explode(members) AS b").where("a < b")
-    return twos.unionByName(pairs).unionByName(spokes).distinct()
+    return pairs.unionByName(spokes).distinct()
 
 
 def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
