@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, decontaminate, html_main_text, pii, quality, simhash, spotsigs, token_files, url_rules
+from gleaner.llm import bpe, decontaminate, html_main_text, pii, quality, repeats, simhash, spotsigs, token_files, url_rules
 from gleaner.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.summary(repeats.remove(table(spark, sf_dir, "documents")))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_pairs": op5_byte_pairs,
     "op6_url_rules": op6_url_rules,
     "op7_token_files": op7_token_files,
+    "op8_repeats": op8_repeats,
     "op9_pii": op9_pii,
     "op10_spotsigs": op10_spotsigs,
 }
