@@ -52,6 +52,12 @@ _WINDOWS = "array<struct<idx:int,start:int,end:int,text:string>>"
 _SENTENCES = "array<struct<win:int,start:int,end:int,text:string>>"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that scans as fewer partitions than there are cores (one small file) is dealt out before per-row Python work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def windows(df: DataFrame, size: int = 3500) -> DataFrame:
     """doc_id, idx, start, end, text of every window."""
 
@@ -62,7 +68,7 @@ def windows(df: DataFrame, size: int = 3500) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (b.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["doc_id", "idx", "start", "end", "text"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, idx int, start int, end int, text string")
+    return spread(df.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, idx int, start int, end int, text string")
 
 
 def segment(df: DataFrame, size: int = 3500) -> DataFrame:
@@ -78,7 +84,7 @@ def segment(df: DataFrame, size: int = 3500) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, struct)], ["doc_id", "text", "sentences"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string, sentences {_SENTENCES}")
+    return spread(df.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, text string, sentences {_SENTENCES}")
 
 
 def sentences(df: DataFrame, size: int = 3500) -> DataFrame:
