@@ -102,10 +102,10 @@ class PerfectHash:
 class BytePairCodec:
     """``ranks``: token bytes -> id; ``pattern`` cuts a text into pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, newer: frozenset[str] | None = None):
         self.ranks = ranks
         self.findall = regex.compile(pattern).findall
-        self.newer = _other_class()
+        self.newer = other_class() if newer is None else newer
         keys = list(ranks)
         self.hash = PerfectHash(keys)
         place = self.hash.lookup(self.hash.hashes(keys))
@@ -123,9 +123,9 @@ class BytePairCodec:
         self.chunks = ChunkEncoder(self.encode_chunks, np.uint32)
 
     def pre_tokens(self, text: str) -> list[str]:
-        if text.isascii() or not self.newer.search(text):
+        if text.isascii() or self.newer.isdisjoint(text):
             return self.findall(text)
-        known, out, at = self.newer.sub("\u2603", text), [], 0  # any character that is neither letter, number nor space
+        known, out, at = "".join("\u2603" if c in self.newer else c for c in text), [], 0  # a character that is neither letter, number nor space
         for piece in self.findall(known):
             out.append(text[at : at + len(piece)])
             at += len(piece)
@@ -155,14 +155,15 @@ class BytePairCodec:
             i = after[i]
         return out
 
-    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         tokens = [[t.encode() for t in self.pre_tokens(c)] for c in chunks]
         distinct = list({t for ts in tokens for t in ts})
         numbers = self.hash.lookup(self.hash.hashes(distinct)).tolist()
         known: dict[bytes, list[int]] = {}
         for t, p in zip(distinct, numbers, strict=True):
             known[t] = [int(self.ids[p])] if p >= 0 and self.keys[p] == t else self.merge(t)
-        return [known[ts[0]] if len(ts) == 1 else [i for t in ts for i in known[t]] for ts in tokens]
+        flat = [i for ts in tokens for t in ts for i in known[t]]
+        return np.array(flat, np.uint32), np.array([sum(len(known[t]) for t in ts) for ts in tokens], np.int64)
 
     def encode(self, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.chunks.encode(many)
@@ -174,23 +175,23 @@ class BytePairCodec:
         return self.bytes[spans_index(starts, counts)], offsets_of(counts)[offsets]
 
 
-def _other_class() -> regex.Pattern:
+def other_class() -> frozenset[str]:
     """Characters that this regex module calls letters or numbers and the tiktoken library, with its Unicode tables, does not."""
     points = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     plain = {bytes([i]): i for i in range(256)}
     theirs = set(bytes(tiktoken.Encoding("classes", pat_str=r"[\p{L}\p{N}]", mergeable_ranks=plain, special_tokens={}).encode_ordinary(points)).decode())
     ours = set(regex.findall(r"[\p{L}\p{N}]", points))
-    return regex.compile("[" + "".join(map(regex.escape, sorted(ours - theirs))) + "]" if ours - theirs else r"(?!)")
+    return frozenset(ours - theirs)
 
 
 _CODECS: dict[str, BytePairCodec] = {}
 
 
-def codec(ranks: dict[bytes, int], pattern: str, key: str) -> BytePairCodec:
+def codec(ranks: dict[bytes, int], pattern: str, key: str, newer: frozenset[str] | None = None) -> BytePairCodec:
     """One codec for each vocabulary in a worker process."""
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = BytePairCodec(ranks, pattern)
+        _CODECS[key] = BytePairCodec(ranks, pattern, newer)
     return _CODECS[key]
 
 
@@ -208,7 +209,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(*shared.value)
         for big in batches:
-            for batch in slices(big, "text"):
+            for batch in slices(big, "text", 4 << 20):
                 ids, offsets = c.encode(texts(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))], [id_col, "ids"])
 
@@ -239,7 +240,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(*shared.value)
         for big in batches:
-            for batch in slices(big, "text"):
+            for batch in slices(big, "text", 4 << 20):
                 ids, offsets = c.encode(texts(batch.column(1)))
                 data, ends = c.decode(ids, offsets)
                 raw, plain = memoryview(ids.astype("<u4").tobytes()), memoryview(data.tobytes())

@@ -22,45 +22,71 @@ def cut(text: str) -> list[str]:
     return _BORDER.split(text) if _BESIDE.search(text) else text.split(" ")
 
 
+class _Remembered:
+    """Chunks and their ids, laid end to end."""
+
+    def __init__(self, dtype: np.dtype):
+        self.number: dict[str, int] = {}
+        self.ids, self.offsets, self.used = np.zeros(1 << 12, dtype), np.zeros(1 << 10, np.int64), 0
+
+    def add(self, chunks: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        n, k = len(self.number), len(chunks)
+        while len(self.offsets) < n + k + 1:
+            self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
+        while len(self.ids) < self.used + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.number.update(zip(chunks, range(n, n + k), strict=True))
+        self.offsets[n + 1 : n + k + 1] = self.used + np.cumsum(counts)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = self.offsets[numbers]
+        counts = self.offsets[numbers + 1] - starts
+        return self.ids[spans_index(starts, counts)], counts
+
+
 class ChunkEncoder:
-    """``encode_many`` maps chunks (the joint's space in front) to lists of ids; ``memo_limit`` bounds what is remembered."""
+    """``encode_many`` maps chunks (the joint's space in front) to all their ids in one array and the count of each.
+
+    What is remembered has two generations of about ``memo_limit`` chunks. When the young one is full it becomes the
+    old one; a chunk met again moves to the young one, so frequent chunks stay.
+    """
 
-    def __init__(self, encode_many: Callable[[list[str]], list], dtype, memo_limit: int = 800_000):
+    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype, memo_limit: int = 700_000):
         self.encode_many, self.dtype, self.memo_limit = encode_many, np.dtype(dtype), memo_limit
-        self.memos: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-
-    def _ids(self, pieces: list[str], lead: str, memo: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes of the pieces among the distinct ones, and these ones' ids and offsets."""
-        number = {w: i for i, w in enumerate(dict.fromkeys(pieces))}
-        codes = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
-        distinct = list(number)
-        missing = [w for w in distinct if w not in memo]
-        if len(memo) + len(missing) > self.memo_limit:
-            memo.clear()
-            missing = distinct
-        for w, ids in zip(missing, self.encode_many([lead + w for w in missing]), strict=True):
-            memo[w] = np.asarray(ids, self.dtype).tobytes()
-        found = [memo[w] for w in distinct]
-        width = self.dtype.itemsize
-        return codes, np.frombuffer(b"".join(found), self.dtype), offsets_of([len(x) // width for x in found])
+        self.young = {lead: _Remembered(self.dtype) for lead in ("", " ")}
+        self.old = {lead: _Remembered(self.dtype) for lead in ("", " ")}
+
+    def _ids(self, pieces: list[str], lead: str) -> tuple[np.ndarray, _Remembered]:
+        """Each piece's number among those remembered."""
+        if len(self.young[lead].number) > self.memo_limit:
+            self.old[lead], self.young[lead] = self.young[lead], _Remembered(self.dtype)
+        young, old = self.young[lead], self.old[lead]
+        missing = [w for w in dict.fromkeys(pieces) if w not in young.number]
+        if old.number and missing:
+            again = [w for w in missing if w in old.number]
+            ids, counts = old.of(np.fromiter(map(old.number.__getitem__, again), np.int64, len(again)))
+            young.add(again, ids, counts)
+            missing = [w for w in missing if w not in old.number]
+        if missing:
+            young.add(missing, *self.encode_many([lead + w for w in missing]))
+        return np.fromiter(map(young.number.__getitem__, pieces), np.int64, len(pieces)), young
 
     def encode(self, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and each text's offsets into it."""
         pieces = [cut(t) for t in many]
         n = np.array([len(p) for p in pieces], np.int64)
-        first = self._ids([p[0] for p in pieces], "", self.memos[0])
-        rest = self._ids([w for p in pieces for w in p[1:]], " ", self.memos[1])
-        ids = np.concatenate([first[1], rest[1]])
-        base = len(first[1])
-        starts = np.empty(int(n.sum()), np.int64)
-        counts = np.empty(len(starts), np.int64)
-        is_first = np.zeros(len(starts), bool)
+        first = self._ids([p[0] for p in pieces], "")
+        rest = self._ids([w for p in pieces for w in p[1:]], " ")
+        is_first = np.zeros(int(n.sum()), bool)
         is_first[offsets_of(n)[:-1]] = True
-        for at, (codes, _, offsets), shift in ((is_first, first, 0), (~is_first, rest, base)):
-            starts[at] = offsets[:-1][codes] + shift
-            counts[at] = np.diff(offsets)[codes]
-        per_text = offsets_of(counts)[offsets_of(n)]
-        return ids[spans_index(starts, counts)], per_text
+        starts, counts = np.empty(len(is_first), np.int64), np.empty(len(is_first), np.int64)
+        for at, (numbers, memo), shift in ((is_first, first, 0), (~is_first, rest, first[1].used)):
+            starts[at] = memo.offsets[numbers] + shift
+            counts[at] = memo.offsets[numbers + 1] - memo.offsets[numbers]
+        ids = np.concatenate([first[1].ids[: first[1].used], rest[1].ids[: rest[1].used]])
+        return ids[spans_index(starts, counts)], offsets_of(counts)[offsets_of(n)]
 
 
 def spans_index(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

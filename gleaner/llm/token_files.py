@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gleaner.llm.chunks import ChunkEncoder
+from gleaner.llm.chunks import ChunkEncoder, spans_index
 from gleaner.llm.common import offsets_of, slices, texts, written
 
 MAGIC = b"GLTOKEF1"
@@ -152,22 +152,30 @@ class LibraryEncoder:
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _many(self, chunks: list[str]) -> list[list[int]]:
+    def _many(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Many short chunks in one call: a newline between two of them is a token of its own and occurs nowhere else."""
-        out: list = [None] * len(chunks)
-        easy = [i for i, c in enumerate(chunks) if len(c) < 200 and c.strip() and not any(x.isspace() for x in c[1:])] if len(self.newline) == 1 else []
-        mark = self.newline[0] if len(self.newline) == 1 else -1
+        easy = [i for i, c in enumerate(chunks) if len(c) < 200 and len(c.split()) == 1 and not c[-1:].isspace() and (c[0] == " ") + len(c.lstrip()) == len(c)] if len(self.newline) == 1 else []
+        simple = set(easy)
+        rest = [i for i in range(len(chunks)) if i not in simple]
+        parts, counts, order = [], [], []
         groups = [easy[at : at + 512] for at in range(0, len(easy), 512)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join([chunks[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.int64)
-            cuts = np.flatnonzero(ids == mark)
-            if len(cuts) == len(group) - 1:
-                for i, part in zip(group, np.split(ids, cuts), strict=True):
-                    out[i] = part[1:] if i != group[0] else part
-        rest = [i for i, x in enumerate(out) if x is None]
+            mark = ids == self.newline[0]
+            ends = np.append(np.flatnonzero(mark), len(ids))
+            if len(ends) != len(group):  # not expected: then each one by itself
+                rest += group
+                continue
+            parts.append(ids[~mark])
+            counts.append(np.diff(ends, prepend=-1) - 1)
+            order += group
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
+            parts.append(np.array(e.ids, np.int64))
+            counts.append(np.array([len(e.ids)]))
+            order.append(i)
+        none = np.zeros(0, np.int64)
+        n, back = np.concatenate([none, *counts]), np.argsort(order) if order else none
+        return np.concatenate([none, *parts])[spans_index(offsets_of(n)[:-1][back], n[back])], n[back]
 
     def encode(self, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.apart:
@@ -204,7 +212,7 @@ def write_files(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
         encoder = _encoder(spec, key)
         end = np.array([end_id], f"<u{encoder.width}").tobytes()
         for big in batches:
-            for batch in slices(big, "text"):
+            for batch in slices(big, "text", 2 << 20):
                 ids, offsets = encoder.encode(texts(batch.column(1)))
                 raw, w = ids.tobytes(), encoder.width
                 block = [0 if d is None else int(b) for d, b in zip(batch.column(0).to_pylist(), np.searchsorted(bounds, batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), "right"), strict=True)]
