@@ -247,13 +247,11 @@ def spans(df: DataFrame, span: int = SPAN, gram: int = GRAM, group_limit: int =
 
     found = written(keyed.select("text", "did", "th").mapInArrow(anchors, "did long, th long, first int, last int, anchor int, akey long, c1 long, c2 long"))
     same = ["akey", "c1", "c2"]
-    whole = found.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").select(*same)
-    context = F.struct("c1", "c2")
-    mixed = found.groupBy("akey").agg(F.min(context).alias("a"), F.max(context).alias("b")).where("a != b").select("akey")
-    differing = found.join(mixed, "akey").groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "first", "last", "anchor")).alias("r"))
-    differing = written(differing.select(*same, "n", "r.*"))
-    groups = differing.groupBy("akey").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("least = 1").select("akey", "m")
-    asked = differing.join(groups, "akey")
+    # one row for each different context, copies summed before the shuffle: an anchor's rows are as many as its contexts
+    distinct = written(found.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "first", "last", "anchor")).alias("r")).select(*same, "n", "r.*"))
+    whole = distinct.where("n > 1").select(*same)
+    groups = distinct.groupBy("akey").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select("akey", "m")
+    asked = distinct.join(groups, "akey")
     reps = asked.groupBy("did", "th").agg(F.collect_list(F.struct(*same, "n", "m", "first", "last", "anchor")).alias("asked"))
     rep_type = "akey long, c1 long, c2 long, n long, m long, anchor int, data binary"
 
