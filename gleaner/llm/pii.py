@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import slices, small_rows, texts
+from gleaner.llm.common import slices, small_rows, texts, written
 
 KINDS = ("email", "ip", "card", "phone", "remove", "generalise")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "remove": ""}
@@ -129,7 +129,7 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many documents each term occurs, summed within bounded pieces of a batch."""
     for big in batches:
-        for batch in slices(big, "text", 16 << 20):
+        for batch in slices(big, "text", 4 << 20):
             docs = [_WORD.findall(t.lower()) for t in texts(batch.column(0))]
             doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
             codes, words = pd.factorize(np.array([w for d in docs for w in d], dtype=object))
@@ -197,7 +197,7 @@ def _terms_of(text: str, spans, by_entity: dict[int, dict[int, str]]) -> dict[in
 
 def _lookup(df: DataFrame, text_col: str, options: dict):
     """How a document finds its disclosing terms: a broadcast table where it is small, else a joined column ``__terms``."""
-    terms = disclosing_terms(df, text_col, **options)
+    terms = written(disclosing_terms(df, text_col, **options))
     rows = small_rows(terms, BROADCAST_BYTES)
     if rows is not None:
         by_entity: dict[int, dict[int, str]] = {}
