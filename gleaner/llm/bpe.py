@@ -198,7 +198,7 @@ def codec(ranks: dict[bytes, int], pattern: str, key: str, newer: frozenset[str]
 def _shared(df: DataFrame, path: str, pattern: str):
     ranks = load_ranks(path)
     key = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
-    return df.sparkSession.sparkContext.broadcast((ranks, pattern, key))
+    return df.sparkSession.sparkContext.broadcast((ranks, pattern, key, other_class()))
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,7 +209,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(*shared.value)
         for big in batches:
-            for batch in slices(big, "text", 4 << 20):
+            for batch in slices(big, "text", 2 << 20):
                 ids, offsets = c.encode(texts(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))], [id_col, "ids"])
 
@@ -240,7 +240,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(*shared.value)
         for big in batches:
-            for batch in slices(big, "text", 4 << 20):
+            for batch in slices(big, "text", 2 << 20):
                 ids, offsets = c.encode(texts(batch.column(1)))
                 data, ends = c.decode(ids, offsets)
                 raw, plain = memoryview(ids.astype("<u4").tobytes()), memoryview(data.tobytes())

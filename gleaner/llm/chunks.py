@@ -53,7 +53,7 @@ class ChunkEncoder:
     old one; a chunk met again moves to the young one, so frequent chunks stay.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype, memo_limit: int = 700_000):
+    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype, memo_limit: int = 300_000):
         self.encode_many, self.dtype, self.memo_limit = encode_many, np.dtype(dtype), memo_limit
         self.young = {lead: _Remembered(self.dtype) for lead in ("", " ")}
         self.old = {lead: _Remembered(self.dtype) for lead in ("", " ")}
