@@ -146,7 +146,7 @@ class LibraryEncoder:
         pre = parsed.get("pre_tokenizer") or {}
         self.apart = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and parsed.get("normalizer") is None and not parsed.get("truncation") and not parsed.get("padding")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.chunks = ChunkEncoder(self._many, f"<u{self.width}")
+        self.chunks = ChunkEncoder(self._many, f"<u{self.width}", memo_limit=700_000)
         self.newline = self._plain("\n")
 
     def _plain(self, text: str) -> list[int]:
@@ -212,7 +212,7 @@ def write_files(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
         encoder = _encoder(spec, key)
         end = np.array([end_id], f"<u{encoder.width}").tobytes()
         for big in batches:
-            for batch in slices(big, "text", 2 << 20):
+            for batch in slices(big, "text", 4 << 20):
                 ids, offsets = encoder.encode(texts(batch.column(1)))
                 raw, w = ids.tobytes(), encoder.width
                 block = [0 if d is None else int(b) for d, b in zip(batch.column(0).to_pylist(), np.searchsorted(bounds, batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), "right"), strict=True)]
