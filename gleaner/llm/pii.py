@@ -6,8 +6,13 @@ of evidence. With N documents, an entity e in n(e) contexts and a term t in n(t)
 
     PMI(e; t) = log(N * n(e, t) / (n(e) * n(t))),   IC(e) = log(N / n(e)),   disclosure = PMI / IC  (1: t gives e away).
 
-A term met in at least ``min_support`` distinct contexts of e is removed where disclosure reaches ``remove_at`` and
-generalised to a class where it reaches ``generalise_at``, in documents that hold e; other documents stay as they are.
+A term is removed where disclosure reaches ``remove_at`` and generalised to a class where it reaches ``generalise_at``,
+in documents that hold e; other documents stay as they are. Every term near every entity is judged. One met in fewer than
+``min_support`` distinct contexts of e is judged on a lower bound: each context it lacks counts as one more of e without it,
+
+    PMI(e; t) >= log(N * n(e, t) / ((n(e) + max(0, min_support - n(e, t))) * n(t))),
+
+so that one sighting alone generalises a term in a large corpus, and removes it only where N is beyond 3^20.
 
 Cases: a null text counts as empty; an empty text has no spans and the hash of the empty string. Repeated rows are
 judged alike and add no evidence. Long texts take linear time: no pattern rescans a run of characters. Columns other than id and
@@ -33,7 +38,7 @@ KINDS = ("email", "ip", "card", "phone", "remove", "generalise")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "remove": ""}
 #: Words on either side of an entity that count as its context.
 CONTEXT_WORDS = 8
-#: Distinct contexts of one entity that must hold a term before it is judged.
+#: Distinct contexts of one entity that hold a term before its estimate is taken as it is; with fewer it is lowered.
 MIN_SUPPORT = 3
 REMOVE_AT, GENERALISE_AT = 0.95, 0.8
 #: Largest table of disclosing terms that is broadcast; a larger one is joined.
@@ -144,16 +149,16 @@ def disclosing_terms(df: DataFrame, text_col: str = "text", min_support: int = M
     found = source.where(F.col("text").rlike("[0-9@]")).mapInArrow(_evidence, "entity long, term long, context long")
     near = found.groupBy("entity", "term").agg(F.count_distinct("context").alias("n_both"))
     of_entity = found.groupBy("entity").agg(F.count_distinct("context").alias("n_entity"))
-    judged = near.where(F.col("n_both") >= min_support)
     counts = source.mapInArrow(_document_counts, "term long, n long")
-    of_term = counts.join(judged.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("n_term"))
+    of_term = counts.join(near.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("n_term"))
     n = source.count()
     if not n:
         n = 1
-    pmi = F.log(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both")))
+    lacking = F.greatest(F.lit(0), F.lit(min_support) - F.col("n_both"))
+    pmi = F.log(F.lit(float(n)) * F.col("n_both") / ((F.col("n_entity") + lacking) * F.greatest("n_term", "n_both")))
     disclosure = F.when(F.col("n_entity") < n, pmi / F.log(F.lit(float(n)) / F.col("n_entity"))).otherwise(F.lit(0.0))
     kind = F.when(disclosure >= remove_at, "remove").when(disclosure >= generalise_at, "generalise")
-    return judged.join(of_entity, "entity").join(of_term, "term").select("entity", "term", kind.alias("kind")).where("kind is not null")
+    return near.join(of_entity, "entity").join(of_term, "term").select("entity", "term", kind.alias("kind")).where("kind is not null")
 
 
 def all_spans(text: str, spans: list[tuple[int, int, int]], terms: dict[int, str]) -> list[tuple[int, int, int]]:

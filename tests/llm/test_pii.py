@@ -69,6 +69,15 @@ def test_terms_that_give_an_entity_away(spark):
     assert "zorblax" not in clean[1000] and "[EMAIL]" in clean[1000]
 
 
+def test_entities_of_one_or_two_contexts_are_judged(spark):
+    rng = random.Random(23)
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(20))) for i in range(3000)]
+    rows += [(5000, "w1 zorblax w2 joe@mail.org w3"), (5001, "w4 vexigan w5 ann@mail.org w6"), (5002, "w7 vexigan w8 ann@mail.org w9")]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[5000] == "generalise:3:10,email:14:26"  # ln(3003 / 3) / ln(3003) = 0.86
+    assert got[5001] == got[5002] == "generalise:3:10,email:14:26"  # ln(3003 * 2 / (3 * 2)) / ln(3003 / 2) = 0.94
+
+
 def test_joined_lookup_equals_broadcast(spark, monkeypatch):
     rows = [(i, f"a{i} zorblax near joe@mail.org b{i} c{i}") for i in range(6)] + [(9, "plain words")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
