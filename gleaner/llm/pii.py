@@ -2,7 +2,7 @@
 
 Method. The values found by the base patterns (email, ip, card, phone) are the protected entities. Words close to an
 entity are counted with it over the whole corpus, each distinct context once, so that copies of one text are one piece
-of evidence. With N documents, an entity e in n(e) contexts and a term t in n(t) documents,
+of evidence. With N distinct texts, an entity e in n(e) contexts and a term t in n(t) distinct texts,
 
     PMI(e; t) = log(N * n(e, t) / (n(e) * n(t))),   IC(e) = log(N / n(e)),   disclosure = PMI / IC  (1: t gives e away).
 
@@ -14,6 +14,9 @@ in documents that hold e; other documents stay as they are. Every term near ever
 
 so that one sighting alone generalises a term in a large corpus, and removes it only where N is beyond 3^20.
 
+A text that occurs c times weighs 1/c wherever it occurs, so texts need not move to be counted once; the texts that
+repeat are known by hash.
+
 Cases: a null text counts as empty; an empty text has no spans and the hash of the empty string. Repeated rows are
 judged alike and add no evidence. Long texts take linear time: no pattern rescans a run of characters. Columns other than id and
 text are ignored by ``find`` and passed on by ``sanitise``. An empty table gives an empty result.
@@ -131,16 +134,43 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["entity", "term", "context"])
 
 
-def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many documents each term occurs, summed within bounded pieces of a batch."""
+def _text_counts(batches: Iterator[pa.RecordBatch], repeated: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """In how many distinct texts each term occurs, summed within bounded pieces of a batch: a text of c copies is 1/c in each.
+
+    c is in the column ``copies`` where it is set, else in ``repeated`` (sorted hashes, copies), else 1.
+    """
+    hashes, copies = repeated
     for big in batches:
         for batch in slices(big, "text", 4 << 20):
             docs = [_WORD.findall(t.lower()) for t in texts(batch.column(0))]
+            weight = np.ones(len(docs))
+            if len(hashes):
+                own = batch.column(1).to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                weight = np.where(hashes[at] == own, 1.0 / copies[at], 1.0)
+            elif batch.column(2).null_count < len(docs):
+                weight = 1.0 / batch.column(2).fill_null(1).to_numpy(zero_copy_only=False)
             doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
             codes, words = pd.factorize(np.array([w for d in docs for w in d], dtype=object))
             seen = np.unique(codes.astype(np.int64) * max(1, len(docs)) + doc)
-            n = np.bincount(seen // max(1, len(docs)), minlength=len(words))
-            yield pa.RecordBatch.from_arrays([pa.array([term_key(w) for w in words], pa.int64()), pa.array(n, pa.int64())], ["term", "n"])
+            n = np.bincount(seen // max(1, len(docs)), weights=weight[seen % max(1, len(docs))], minlength=len(words))
+            yield pa.RecordBatch.from_arrays([pa.array([term_key(w) for w in words], pa.int64()), pa.array(n, pa.float64())], ["term", "n"])
+
+
+def _counted(source: DataFrame) -> tuple[DataFrame, int]:
+    """term, n_term: the distinct texts that hold each term; and how many distinct texts there are."""
+    hashed = source.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    groups = written(hashed.groupBy("hash").agg(F.count("*").alias("copies")))
+    repeated = groups.where("copies > 1")
+    rows = small_rows(repeated, BROADCAST_BYTES)
+    if rows is None:
+        ready, table = hashed.join(repeated, "hash", "left").select("text", "hash", "copies"), []
+    else:
+        ready, table = hashed.withColumn("copies", F.lit(None).cast("long")), sorted((r.hash, r.copies) for r in rows)
+    shared = source.sparkSession.sparkContext.broadcast((np.array([h for h, _ in table], np.int64), np.array([c for _, c in table], np.int64)))
+    counts = ready.mapInArrow(lambda batches: _text_counts(batches, shared.value), "term long, n double")
+    # shares of a text add up to whole numbers but for rounding
+    return counts.groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n_term")), groups.count()
 
 
 def disclosing_terms(df: DataFrame, text_col: str = "text", min_support: int = MIN_SUPPORT, remove_at: float = REMOVE_AT, generalise_at: float = GENERALISE_AT) -> DataFrame:
@@ -149,11 +179,8 @@ def disclosing_terms(df: DataFrame, text_col: str = "text", min_support: int = M
     found = source.where(F.col("text").rlike("[0-9@]")).mapInArrow(_evidence, "entity long, term long, context long")
     near = found.groupBy("entity", "term").agg(F.count_distinct("context").alias("n_both"))
     of_entity = found.groupBy("entity").agg(F.count_distinct("context").alias("n_entity"))
-    counts = source.mapInArrow(_document_counts, "term long, n long")
-    of_term = counts.join(near.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("n_term"))
-    n = source.count()
-    if not n:
-        n = 1
+    of_term, n = _counted(source)
+    n = max(1, n)
     lacking = F.greatest(F.lit(0), F.lit(min_support) - F.col("n_both"))
     pmi = F.log(F.lit(float(n)) * F.col("n_both") / ((F.col("n_entity") + lacking) * F.greatest("n_term", "n_both")))
     disclosure = F.when(F.col("n_entity") < n, pmi / F.log(F.lit(float(n)) / F.col("n_entity"))).otherwise(F.lit(0.0))

@@ -78,6 +78,23 @@ def test_entities_of_one_or_two_contexts_are_judged(spark):
     assert got[5001] == got[5002] == "generalise:3:10,email:14:26"  # ln(3003 * 2 / (3 * 2)) / ln(3003 / 2) = 0.94
 
 
+def test_copies_do_not_hide_a_term(spark, monkeypatch):
+    rng = random.Random(24)
+    rows = [(i, " ".join(f"w{rng.randrange(200)}" for _ in range(20))) for i in range(1000)]
+    rows += [(5000 + i, f"w{i} zorblax w{i + 3} joe@mail.org w{i + 6}") for i in range(3)]
+    rows += [(6000 + i, rows[1000][1]) for i in range(999)]
+    rows += [(7000 + i, None if i % 2 else "") for i in range(7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for limit in (pii.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(pii, "BROADCAST_BYTES", limit)
+        of_term, n = pii._counted(docs.select("text"))
+        found = {r.term: r.n_term for r in of_term.collect()}
+        assert n == len({t or "" for _, t in rows}) and found[pii.term_key("zorblax")] == 3
+        assert all(found[pii.term_key(f"w{i}")] == len({t for _, t in rows if t and f"w{i}" in t.split()}) for i in range(200))
+        got = [r.spans for r in pii.find(docs).collect() if r.doc_id >= 5000 and r.doc_id < 7000]
+        assert len(got) == 1002 and all(s.startswith("remove:3:10,") for s in got)
+
+
 def test_joined_lookup_equals_broadcast(spark, monkeypatch):
     rows = [(i, f"a{i} zorblax near joe@mail.org b{i} c{i}") for i in range(6)] + [(9, "plain words")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
