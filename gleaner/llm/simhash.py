@@ -129,13 +129,22 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def components(ids: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """fp, component_id for the table ``ids`` (doc_id, fp): the smallest doc_id that links reach."""
+def _labelled(ids: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """fp, low, label for the table ``ids`` (doc_id, fp): the fingerprint's smallest doc_id, and the smallest fingerprint that links reach."""
     low = written(ids.groupBy("fp").agg(F.min("doc_id").alias("low")))
     labels = component_labels(links(low.select("fp"), pair_limit))
-    joined = low.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
-    least = joined.groupBy("label").agg(F.min("low").alias("component_id"))
-    return joined.join(least, "label").select("fp", "component_id")
+    return low.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
+
+
+def _named(labelled: DataFrame) -> DataFrame:
+    """fp, label, component_id: the smallest doc_id of the label's rows; it is null or shared by labels where ids are."""
+    least = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
+    return labelled.join(least, "label").select("fp", "label", "component_id")
+
+
+def components(ids: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """fp, component_id for the table ``ids`` (doc_id, fp): the smallest doc_id that links reach."""
+    return _named(_labelled(ids, pair_limit)).select("fp", "component_id")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, pair_limit: int = PAIR_LIMIT) -> DataFrame:
@@ -147,12 +156,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of ``df`` that bear the smallest id of their component, one row for each component.
 
-    Of rows that repeat this id, the one with the smallest hash of its text stays. Columns of any name are kept.
+    Components are told apart by their fingerprints, as ids may be null or repeat. Of a component's rows that repeat this
+    id, the one with the smallest hash of its text stays. Columns of any name are kept.
     """
     keyed = with_fingerprint(df, text_col, "__fp", shingle)
     ids = written(keyed.select(F.col(f"`{id_col}`").alias("doc_id"), F.col("__fp").alias("fp"), F.xxhash64(F.col(f"`{text_col}`")).alias("tie")))
-    kept = ids.join(components(ids.select("doc_id", "fp")), "fp").where("doc_id <=> component_id")
-    kept = kept.groupBy("component_id").agg(F.min(F.struct("tie", "doc_id")).alias("k"), F.count("*").alias("n"))
+    kept = ids.join(_named(_labelled(ids.select("doc_id", "fp"))), "fp").where("doc_id <=> component_id")
+    kept = kept.groupBy("label").agg(F.min(F.struct("tie", "doc_id")).alias("k"), F.count("*").alias("n"))
     kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.tie").alias("__tie"), F.col("n").alias("__n"))
     rows = df.withColumn("__t", F.xxhash64(F.col(f"`{text_col}`")))
     joined = rows.join(kept, rows[f"`{id_col}`"].eqNullSafe(kept["__id"]) & (rows["__t"] == kept["__tie"]))

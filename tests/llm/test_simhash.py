@@ -75,3 +75,10 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4]
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
     assert simhash.one_of_each(docs.limit(0)).collect() == []
+
+
+def test_one_stays_of_each_component_whatever_its_ids(spark):
+    a, b, c, d = ("alpha beta gamma delta", "one two three four five", "red green blue yellow", "north south east west")
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (7, d.upper()), (5, c)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("5", d), ("5", c), ("None", a), ("None", b)]
