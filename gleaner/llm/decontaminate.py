@@ -8,8 +8,9 @@ alignment of the whole item with the region. Text is compared in lower case with
 The items are broadcast as an index in blocks of ``BLOCK_CHARS``, one pass over the documents for each block, so
 that an index of any total size fits; benchmarks of usual size are one block.
 
-Cases: null and empty texts hold nothing. An item shorter than ``MIN_CHARS`` says too little to be searched and is
-ignored, as is a null one. Repeated items and documents are all reported. Columns of any name are passed on by ``clean``. An empty table
+Cases: null and empty texts hold nothing. An item shorter than ``MIN_CHARS`` has too few q-grams for edits and is searched
+verbatim, as whole words; a null one and one of white space are ignored. Part of an item is not searched. Repeated items
+and documents are all reported. Columns of any name are passed on by ``clean``. An empty table
 gives an empty result, an empty benchmark finds nothing.
 """
 
@@ -29,11 +30,14 @@ from gleaner.llm.common import offsets_of, slices, texts
 Q = 12
 #: Edits allowed for each character of an item; never more than the lemma can see.
 EDIT_RATE = 0.06
+#: Items under this size are searched verbatim.
 MIN_CHARS = 40
 #: Characters of items in one broadcast index.
 BLOCK_CHARS = 8 << 20
 _APART = 0x1C  # white space, so no normal text holds it
 _WORD = re.compile(r"\S+")
+_TOKEN = re.compile(r"\w+|[^\w\s]")
+_INSIDE = re.compile(r"(?<=\w)\w")
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,7 +89,13 @@ class Index:
     """Q-grams of the items, with a bit table in front."""
 
     def __init__(self, items: list[tuple[object, str]], rate: float = EDIT_RATE):
-        kept = [(i, t) for i, x in items if x is not None and len(t := normal(x)) >= MIN_CHARS]
+        plain = [(i, normal(x)) for i, x in items if x is not None]
+        kept = [(i, t) for i, t in plain if len(t) >= MIN_CHARS]
+        #: first token, size, text -> ids of the items under MIN_CHARS
+        self.short: dict[str, dict[int, dict[str, list]]] = {}
+        for i, t in plain:
+            if len(t) < MIN_CHARS and (m := _TOKEN.search(t)):
+                self.short.setdefault(m.group(), {}).setdefault(len(t), {}).setdefault(t, []).append(i)
         self.ids, self.texts = [i for i, _ in kept], [t for _, t in kept]
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
         self.budget = np.minimum((rate * self.sizes).astype(np.int64), (self.sizes - Q) // Q) if kept else self.sizes
@@ -133,6 +143,18 @@ class Index:
             yield int(owner[k] // len(self.ids)), item, int(low[k]) * width - shift, (int(low[k]) + 2) * width - shift
 
 
+    def verbatim(self, text: str) -> Iterator[tuple[list, int, int]]:
+        """(ids, start, end) of the short items in a normal text, as whole words; places of one item do not overlap."""
+        done: dict[str, int] = {}
+        for m in _TOKEN.finditer(text) if self.short else ():
+            start = m.start()
+            for size, items in self.short.get(m.group(), {}).items():
+                item, end = text[start : start + size], start + size
+                if item in items and start >= done.get(item, 0) and not _INSIDE.match(text, end):
+                    done[item] = end
+                    yield items[item], start, end
+
+
 def align(pattern: str, text: str, budget: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best place of the whole pattern in the text with at most ``budget`` edits; else None.
 
@@ -175,11 +197,11 @@ def _ends(pattern: str, text: str, budget: int, free_start: bool) -> tuple[int,
 
 def matches(index: Index, many: list[str]) -> list[tuple[int, object, int, int, int]]:
     """(text, item id, start, end, edits) of every item found, in code points of the texts as given."""
-    if not index.ids:
+    if not index.ids and not index.short:
         return []
     plain = [normal(t) for t in many]
     best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for doc, item, low, high in sorted(set(index.candidates(plain))):
+    for doc, item, low, high in sorted(set(index.candidates(plain)) if index.ids else ()):
         pattern, budget = index.texts[item], int(index.budget[item])
         begin = max(0, low - budget)
         region = plain[doc][begin : max(0, high) + len(pattern) + budget]
@@ -194,6 +216,11 @@ def matches(index: Index, many: list[str]) -> list[tuple[int, object, int, int,
             if all(end <= s or start >= e for s, e in taken):
                 taken.append((start, end))
                 out.append((doc, index.ids[item], maps[doc][start], maps[doc][end - 1] + 1, edits))
+    for doc, text in enumerate(plain):
+        for ids, start, end in index.verbatim(text):
+            if doc not in maps:
+                maps[doc] = places(many[doc])
+            out += [(doc, i, maps[doc][start], maps[doc][end - 1] + 1, 0) for i in ids]
     return out
 
 

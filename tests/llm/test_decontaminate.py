@@ -68,6 +68,18 @@ def test_places_map_back():
         assert len(p) == len(n) + 1
 
 
+def test_short_items_are_found_verbatim(spark):
+    items = [(1, "Who wrote Faust?"), (2, "two  words"), (3, "two words"), (4, " \n"), (5, "¿qué?"), (6, "aa aa")]
+    texts = ["He asked: who WROTE\n faust? x", "two wordsmith, untwo words", "a (two words) and Two Words.", "¿¿Qué??", "aa aa aa aa aa"]
+    want = [(0, 1, 10, 27, 0), *((2, i, s, s + 9, 0) for i in (2, 3) for s in (3, 18)), (3, 5, 1, 6, 0), (4, 6, 0, 5, 0), (4, 6, 6, 11, 0)]
+    for more in ([], [(7, words(random.Random(15), 30))]):
+        assert sorted(d.matches(d.Index(items + more), texts)) == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(tuple(r) for r in d.find(docs, bench).collect()) == want
+    assert [r.doc_id for r in d.clean(docs, bench).collect()] == [1]
+
+
 def test_tables(spark):
     rng = random.Random(14)
     items = [(1, words(rng, 40)), (2, "too short"), (None, None), (3, words(rng, 25)), (3, words(rng, 25))]
