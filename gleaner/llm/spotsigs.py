@@ -2,8 +2,8 @@
 
 Each common word (an anchor) begins a signature: the anchor and the next ``CHAIN`` content words after it, every
 ``DISTANCE``-th of them. A fingerprint is the set of the signatures' hashes. Two fingerprints are compared by Jaccard
-similarity, pruned: sets whose sizes alone forbid the threshold are never joined (partition by set length), and a merge
-stops when the rest cannot reach it.
+similarity. ``near_duplicates`` never joins sets whose sizes alone forbid the threshold (partition by set length);
+``compare_with_edits`` has its pairs given and no threshold, so it compares them all in full.
 
 A text with fewer than ``MIN_ANCHORS`` anchors has each of its words as an anchor and each as content, so that lists, code and unknown
 languages have fingerprints too. A text too short for a chain has its whole sequence of words as the one signature; a text
@@ -91,7 +91,7 @@ def as_string(sigs: np.ndarray) -> str:
 
 
 def pruned_jaccard(a: np.ndarray, b: np.ndarray, threshold: float = 0.0) -> float:
-    """Jaccard similarity of two sorted sets; 0 as soon as it must stay under ``threshold``."""
+    """Jaccard similarity of two sorted sets; 0 if it is under ``threshold``, without a look at the members where the sizes say so."""
     small, large = sorted((len(a), len(b)))
     if not large:
         return 1.0
