@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.chunks import ChunkEncoder, spans_index
-from gleaner.llm.common import offsets_of, slices, texts
+from gleaner.llm.common import offsets_of, slices
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -120,7 +120,7 @@ class BytePairCodec:
             table[i] = k
         self.offsets = offsets_of([len(k) for k in table])
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
-        self.chunks = ChunkEncoder(self.encode_chunks, np.uint32)
+        self.chunks = ChunkEncoder(self.encode_chunks, np.uint32, tails=True)
 
     def pre_tokens(self, text: str) -> list[str]:
         if text.isascii() or self.newer.isdisjoint(text):
@@ -165,7 +165,7 @@ class BytePairCodec:
         flat = [i for ts in tokens for t in ts for i in known[t]]
         return np.array(flat, np.uint32), np.array([sum(len(known[t]) for t in ts) for ts in tokens], np.int64)
 
-    def encode(self, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, many: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.chunks.encode(many)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,8 +209,8 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(*shared.value)
         for big in batches:
-            for batch in slices(big, "text", 2 << 20):
-                ids, offsets = c.encode(texts(batch.column(1)))
+            for batch in slices(big, "text", 6 << 20):
+                ids, offsets = c.encode(batch.column(1))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))], [id_col, "ids"])
 
     return df.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>")
@@ -240,8 +240,8 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(*shared.value)
         for big in batches:
-            for batch in slices(big, "text", 2 << 20):
-                ids, offsets = c.encode(texts(batch.column(1)))
+            for batch in slices(big, "text", 6 << 20):
+                ids, offsets = c.encode(batch.column(1))
                 data, ends = c.decode(ids, offsets)
                 raw, plain = memoryview(ids.astype("<u4").tobytes()), memoryview(data.tobytes())
                 digests = [[hashlib.sha256(m[w * a : w * b]).hexdigest() for a, b in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)] for m, o, w in ((raw, offsets, 4), (plain, ends, 1))]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,13 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders written by ``written`` in this process, in order.
+_FOLDERS: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder name under ``spark.checkpoint.dir``, which all machines share.
 
-    Where that setting is absent (local tests), a temporary folder is set once for the session.
+    Only a session whose driver and executors are one process may leave that setting out: a temporary folder is then set once.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.gleaner.scratch.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gleaner-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.gleaner.scratch.dir", root)
@@ -32,15 +39,39 @@ def scratch_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared scratch folder and read it back.
 
-    The files survive the loss of executors, unlike cached blocks.
+    The files survive the loss of executors, unlike cached blocks; ``release`` deletes them.
     """
     spark = df.sparkSession
     path = scratch_dir(spark)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
+    _FOLDERS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folders() -> int:
+    """How many scratch folders there are; a mark for ``release``."""
+    return len(_FOLDERS)
+
+
+def release(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
+    """Delete the scratch folders numbered ``first`` up to ``last``. No DataFrame that reads them may be used afterwards."""
+    jvm = spark.sparkContext._jvm
+    for i in range(first, len(_FOLDERS) if last is None else last):
+        if _FOLDERS[i]:
+            path = jvm.org.apache.hadoop.fs.Path(_FOLDERS[i])
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _FOLDERS[i] = ""
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def small_rows(df: DataFrame, limit_bytes: int = 64 << 20) -> list | None:
     """Rows of ``df`` if their text size is at most ``limit_bytes``, measured before anything is collected; else None."""
     width = sum((F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(0)) + F.lit(16) for c in df.columns), F.lit(0))
@@ -74,3 +105,30 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20, max_row
             start, acc = i, 0
         acc += size[i]
     yield batch.slice(start, n - start)
+
+
+class Ranges:
+    """Ranges of (id, tie) in ascending order, with about as many rows each; a null id counts as the lowest.
+
+    An id so frequent that it spans several ranges is split among them by its tie, a hash spread over all 64-bit numbers.
+    """
+
+    LOWEST = -(1 << 63)
+
+    def __init__(self, bounds):
+        self.bounds = np.array(sorted(bounds), np.int64)
+
+    @classmethod
+    def over(cls, rows: DataFrame, id_col: str, n: int) -> Ranges:
+        """``n`` ranges of a whole-number column, in one pass; the driver gets n - 1 numbers."""
+        if n < 2:
+            return cls([])
+        key = F.coalesce(F.col(f"`{id_col}`"), F.lit(cls.LOWEST))
+        return cls(rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] or [])
+
+    def of(self, ids: pa.Array, ties: pa.Array) -> np.ndarray:
+        known = ids.fill_null(self.LOWEST).to_numpy(zero_copy_only=False)
+        first, last = np.searchsorted(self.bounds, known, "left"), np.searchsorted(self.bounds, known, "right")
+        share = (ties.to_numpy(zero_copy_only=False).astype(np.float64) + 2.0**63) / 2.0**64
+        within = np.minimum((share * (last - first)).astype(np.int64), last - first - 1)
+        return np.where(last > first, first + 1 + within, first)

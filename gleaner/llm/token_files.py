@@ -7,10 +7,12 @@ a table of 64-bit offsets: about 2 + log2(ids / documents) bits a document.
 
 Files are the ``image`` values of a Parquet table (block, part, n_docs, n_ids, image), so that Spark's committer writes
 them to any store it can reach and a lost executor leaves no half file; ``export`` puts them on a local disk one by one.
-Blocks are ranges of doc_id; a long block makes several parts. A block is sorted and streamed, never held whole.
+Blocks are ranges of doc_id; a long block makes several parts. A block is sorted and streamed, never held whole, and an id that
+many rows share is split over several blocks.
 
-Cases: a null or empty text is a document of the end id alone. A null doc_id comes first. Rows that share a
-doc_id are documents of their own, in the order of their ids' bytes. Other columns are not read. An empty table makes no file.
+Cases: a null or empty text is a document of the end id alone. Text that spells a special token gets that token's id, as the
+library's call has it. A text of any length is encoded whole, in one file. A null doc_id comes first. Rows that share a doc_id are
+documents of their own, in the order of their texts' hash. Other columns are not read. An empty table makes no file.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,15 +32,17 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gleaner.llm.chunks import ChunkEncoder, spans_index
-from gleaner.llm.common import offsets_of, slices, texts, written
+from gleaner.llm.common import Ranges, offsets_of, slices, texts, written
 
 MAGIC = b"GLTOKEF1"
 END_ID = 0
 #: Ids in a file before the next begins; a document is never cut.
 FILE_IDS = 4 << 20
 #: Documents in a range of doc_ids, and the largest number of ranges.
-BLOCK_DOCS, MAX_BLOCKS = 512, 8192
+BLOCK_DOCS, MAX_BLOCKS = 512, 1 << 16
 _SAMPLE = 256
+_SIMPLE = re.compile(r"[ \n]?\S{1,200}(?:\n\S{1,200})*")
+_ONES = np.array([[p for p in range(8) if b >> p & 1] + [0] * (8 - b.bit_count()) for b in range(256)], np.int64)  # places of a byte's ones
 _HEAD = struct.Struct("<8sBxxxIIQqII")  # magic, bytes an id, documents, null doc_ids, ids, first doc_id, sizes of the two sequences
 
 
@@ -92,9 +97,25 @@ class EliasFano:
         at = byte * 8 + (word & -word).bit_length() - 1
         return (at - i) << self.low_bits | int(self._low([i])[0])
 
+    def select_many(self, i: np.ndarray) -> np.ndarray:
+        """The values at places ``i``: for all of them at once the byte is found by the number of ones up to its end."""
+        i = np.asarray(i, np.int64)
+        if len(i) and not (0 <= i.min() and i.max() < self.n):
+            raise IndexError("no such place")
+        if not len(i):
+            return np.zeros(0, np.uint64)
+        a, b = int(i.min()) // _SAMPLE, int(i.max()) // _SAMPLE + 1  # from the sampled place before the first to that behind the last
+        first = int(self.samples[a]) >> 3
+        last = (int(self.samples[b]) >> 3) + 1 if b < len(self.samples) else len(self.high)
+        before = a * _SAMPLE - (int(self.high[first]) & ((1 << (int(self.samples[a]) & 7)) - 1)).bit_count()  # ones in front of this byte
+        ends = before + np.cumsum(np.bitwise_count(self.high[first:last]), dtype=np.int64)
+        byte = np.searchsorted(ends, i, "right")
+        word = self.high[first + byte]
+        at = (first + byte) * 8 + _ONES[word, i - (ends[byte] - np.bitwise_count(word))]
+        return ((at - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
+
     def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))
-        return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(np.arange(self.n))
+        return self.select_many(np.arange(self.n))
 
 
 def file_image(doc_ids: list[int | None], ids: list[bytes], width: int) -> bytes:
@@ -136,51 +157,61 @@ class TokenFile:
 
 
 class LibraryEncoder:
-    """The tokenizers library behind a memory of distinct chunks, where its settings let chunks be encoded apart."""
+    """The tokenizers library as it comes from its file, behind a memory of distinct chunks where its settings let chunks be encoded apart."""
+
+    GROUP, CALL = 512, 8  # chunks in one string, strings in one call: what the library holds for them at once is small
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
         parsed = json.loads(spec)
-        pre = parsed.get("pre_tokenizer") or {}
-        self.apart = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and parsed.get("normalizer") is None and not parsed.get("truncation") and not parsed.get("padding")
+        pre, added = parsed.get("pre_tokenizer") or {}, parsed.get("added_tokens") or []
+        plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and parsed.get("normalizer") is None and not parsed.get("truncation") and not parsed.get("padding")
+        # an added token that holds or takes in white space, or asks for whole words, could cross a joint
+        self.apart = plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or len(t["content"].split()) != 1 or t["content"] != t["content"].strip() for t in added)
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or "(?!)")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.chunks = ChunkEncoder(self._many, f"<u{self.width}", memo_limit=700_000)
-        self.newline = self._plain("\n")
-
-    def _plain(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.chunks = ChunkEncoder(self._many, f"<u{self.width}", tails=True, whole=tuple(t["content"] for t in added))
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def _many(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Many short chunks in one call: a newline between two of them is a token of its own and occurs nowhere else."""
-        easy = [i for i, c in enumerate(chunks) if len(c) < 200 and len(c.split()) == 1 and not c[-1:].isspace() and (c[0] == " ") + len(c.lstrip()) == len(c)] if len(self.newline) == 1 else []
-        simple = set(easy)
-        rest = [i for i in range(len(chunks)) if i not in simple]
-        parts, counts, order = [], [], []
-        groups = [easy[at : at + 512] for at in range(0, len(easy), 512)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join([chunks[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.int64)
-            mark = ids == self.newline[0]
-            ends = np.append(np.flatnonzero(mark), len(ids))
-            if len(ends) != len(group):  # not expected: then each one by itself
-                rest += group
-                continue
-            parts.append(ids[~mark])
-            counts.append(np.diff(ends, prepend=-1) - 1)
-            order += group
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
-            parts.append(np.array(e.ids, np.int64))
-            counts.append(np.array([len(e.ids)]))
+        """Many short chunks in one string: a newline between two words is a token of its own, between chunks and inside them."""
+        simple = np.zeros(len(chunks), bool)
+        if len(self.newline) == 1:
+            word, added = _SIMPLE.fullmatch, self.added.search
+            simple[:] = [word(c) is not None and not added(c) for c in chunks]
+        easy, hard = np.flatnonzero(simple).tolist(), np.flatnonzero(~simple).tolist()
+        parts, counts, order = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        groups = [easy[at : at + self.GROUP] for at in range(0, len(easy), self.GROUP)]
+        for at in range(0, len(groups), self.CALL):
+            some = groups[at : at + self.CALL]
+            strings = [[chunks[i] for i in g] for g in some]
+            for group, string, e in zip(some, strings, self.tokenizer.encode_batch_fast(["\n".join(s) for s in strings], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.int64)
+                ends = np.append(np.flatnonzero(ids == self.newline[0]), len(ids))
+                lines = np.cumsum([c.count("\n") + 1 for c in string])
+                if len(ends) != lines[-1]:  # not expected: then each one by itself
+                    hard += group
+                    continue
+                ends = ends[lines - 1]  # of the chunks
+                keep = np.ones(len(ids), bool)
+                keep[ends[:-1]] = False
+                parts.append(ids[keep])
+                counts.append(np.diff(ends, prepend=-1) - 1)
+                order += group
+        for i in hard:
+            ids = self.tokenizer.encode(chunks[i], add_special_tokens=False).ids
+            parts.append(np.array(ids, np.int64))
+            counts.append(np.array([len(ids)]))
             order.append(i)
-        none = np.zeros(0, np.int64)
-        n, back = np.concatenate([none, *counts]), np.argsort(order) if order else none
-        return np.concatenate([none, *parts])[spans_index(offsets_of(n)[:-1][back], n[back])], n[back]
+        n, back = np.concatenate(counts), np.argsort(np.array(order, np.int64))
+        return np.concatenate(parts)[spans_index(offsets_of(n)[:-1][back], n[back])], n[back]
 
-    def encode(self, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, many: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.apart:
             return self.chunks.encode(many)
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(many, add_special_tokens=False)]
+        plain = many if isinstance(many, list) else texts(many)
+        lists = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in plain]
         return np.array([i for x in lists for i in x], self.chunks.dtype), offsets_of([len(x) for x in lists])
 
 
@@ -198,28 +229,26 @@ def write_files(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     """Encode every text, end it with ``end_id`` and write the files; the table of files, read back."""
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
-    source = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    n = source.count()
-    blocks = max(1, min(MAX_BLOCKS, -(-n // block_docs)))
-    bounds: list[int] = []
-    if blocks > 1:
-        found = source.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 100_000)).first()[0]
-        bounds = sorted(set(found or []))
-    shared = df.sparkSession.sparkContext.broadcast((spec, hashlib.sha256(spec.encode()).hexdigest(), np.array(bounds, np.int64)))
+    source = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(f"`{text_col}`").alias("tie"))
+    ranges = Ranges.over(source, "doc_id", min(MAX_BLOCKS, -(-source.count() // block_docs)))
+    shared = df.sparkSession.sparkContext.broadcast((spec, hashlib.sha256(spec.encode()).hexdigest(), ranges))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spec, key, bounds = shared.value
+        spec, key, ranges = shared.value
         encoder = _encoder(spec, key)
-        end = np.array([end_id], f"<u{encoder.width}").tobytes()
+        w, end = encoder.width, np.array([end_id], f"<u{encoder.width}").tobytes()
         for big in batches:
-            for batch in slices(big, "text", 4 << 20):
-                ids, offsets = encoder.encode(texts(batch.column(1)))
-                raw, w = ids.tobytes(), encoder.width
-                block = [0 if d is None else int(b) for d, b in zip(batch.column(0).to_pylist(), np.searchsorted(bounds, batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), "right"), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), batch.column(0), pa.array([raw[w * a : w * b] + end for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())], ["block", "doc_id", "ids"])
+            for batch in slices(big, "text", 12 << 20, 1 << 14):
+                ids, offsets = encoder.encode(batch.column(1))
+                raw = memoryview(np.ascontiguousarray(ids)).cast("B")
+                block = pa.array(ranges.of(batch.column(0), batch.column(2)), pa.int32())
+                for at in range(0, batch.num_rows, 2048):
+                    cut = offsets[at : at + 2049].tolist()
+                    rows = pa.array([b"".join((raw[w * a : w * b], end)) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([block.slice(at, len(rows)), batch.column(0).slice(at, len(rows)), batch.column(2).slice(at, len(rows)), rows], ["block", "doc_id", "tie", "ids"])
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spec, key, _ = shared.value
+        spec, _, _ = shared.value
         width = 2 if Tokenizer.from_str(spec).get_vocab_size() <= 1 << 16 else 4
         docs: list = []
         ids: list[bytes] = []
@@ -231,7 +260,7 @@ def write_files(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
 
         for batch in batches:
             for b, d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if docs and (b != block or size + len(x) // width > file_ids):
+                if docs and (b != block or size + len(x) // width > file_ids or d is None and docs[-1] is not None):
                     yield flush()
                     part = part + 1 if b == block else 0
                     docs, ids, size = [], [], 0
@@ -243,9 +272,9 @@ def write_files(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
         if docs:
             yield flush()
 
-    encoded = source.mapInArrow(tokens, "block int, doc_id long, ids binary")
-    dealt = encoded.repartition("block").sortWithinPartitions("block", F.asc_nulls_first("doc_id"), "ids")
-    return written(dealt.mapInArrow(files, "block int, part int, n_docs long, n_ids long, image binary"))
+    encoded = source.mapInArrow(tokens, "block int, doc_id long, tie long, ids binary")
+    dealt = encoded.repartition("block").sortWithinPartitions("block", F.coalesce("doc_id", F.lit(Ranges.LOWEST)), "tie", "ids")
+    return written(dealt.drop("tie").mapInArrow(files, "block int, part int, n_docs long, n_ids long, image binary"))
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -255,7 +284,7 @@ def read_files(files: DataFrame) -> DataFrame:
         for batch in batches:
             for block, part, image in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 file = TokenFile(image)
-                offsets, flat = file.offsets(), file.flat.astype("<u4")
+                offsets, flat = file.offsets(), file.flat.astype("<u4")  # the offsets of all its documents by select
                 crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 n = len(file)
                 yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(file.doc_ids(), pa.int64()), pa.array(offsets[:-1], pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64())], ["block", "part", "doc_id", "local", "n_tokens", "ids_crc32"])
