@@ -1,37 +1,43 @@
-"""Exact repeats of ``SPAN`` bytes, by suffix sorting with hash comparisons.
+"""Exact repeats of ``SPAN`` bytes and repeated passages of ``PASSAGE`` bytes, by suffix sorting with hash comparisons.
 
-1. Sparse suffixes. Each window of SPAN bytes has an anchor: the place in it whose GRAM bytes hash lowest. Equal windows
-   have equal anchors at equal offsets, and neighbouring windows mostly share theirs, so a hundredth of all places stand for
+1. Sparse suffixes. Each window of either length has an anchor: the place in it whose GRAM bytes hash lowest. Equal windows
+   have equal anchors at equal offsets, and neighbouring windows mostly share theirs, so a ninetieth of all places stand for
    all. An anchor's context is the text of the windows it stands for.
-2. Contexts that are equal as a whole (128-bit hash) repeat as a whole; their text is not moved.
-3. Contexts of equal anchors that differ meet by anchor. There the suffixes right of the anchors, and the reversed prefixes left
-   of them, are sorted by mergesort; a comparison finds the longest common extension by binary search over polynomial
-   prefix hashes, so it takes logarithmic time. Within each class of equal left extension the neighbours in right order
+2. Contexts that are equal as a whole, ranges included, by a 128-bit BLAKE2b digest, which nobody can make collide, repeat as a whole;
+   their text is not moved.
+3. Contexts of equal anchors that differ meet by anchor. There, for each of the two lengths, the suffixes right of the anchors and the
+   reversed prefixes left of them are sorted by mergesort; a comparison finds the longest common extension by binary search over
+   polynomial prefix hashes, so it takes logarithmic time. Within each class of equal left extension the neighbours in right order
    give the longest match, hence the windows that repeat. What is reported is verified on the bytes.
 
 An anchor shared by more than ``GROUP_LIMIT`` different contexts is not gathered: all its windows are counted by
 128-bit hash instead, spread over the cluster. Both ways are exact.
 
-Cases: a null text counts as empty. A text shorter than SPAN has no windows. Rows that repeat id and text are
-documents of their own, so all their windows repeat. Periodic text repeats within itself. A null doc_id is a value like any
-other. Other columns are not read. An empty table gives an empty result.
+Windows of SPAN bytes that repeat are removed. Passages are only reported: fifty words of prose are under SPAN bytes but over PASSAGE.
+
+Cases: a null text counts as empty. A text shorter than a length has no windows of it. Rows that repeat id and text are
+documents of their own, so all their windows repeat. Periodic text repeats within itself. Text of any length is cut into overlapping
+pieces, each window lying in one. A null doc_id is a value like any other. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.chunks import spans_index
 from gleaner.llm.common import offsets_of, slices, texts, written
 
-SPAN, GRAM = 400, 100
+SPAN, PASSAGE, GRAM = 400, 240, 64
 #: Different contexts of one anchor that are sorted together.
 GROUP_LIMIT = 4096
 _PIECE = 1 << 20  # bytes hashed at once
@@ -73,51 +79,89 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _anchors(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end (at most _PIECE bytes): text, first and last window, anchor, anchor hash; places in ``flat``."""
-    none = np.zeros(0, np.int64)
-    valid = spans_index(starts, np.maximum(0, sizes - span + 1))
-    if not len(valid):
-        return none, none, none, none, none.astype(np.uint64)
+def _lowest(hashes: np.ndarray, windows: list[int]) -> list[np.ndarray]:
+    """For each width (ascending), the least of the ``width`` values from every place on, by doubling."""
+    low, width, out = hashes, 1, []
+    for window in windows:
+        while width * 2 <= window:
+            low = np.minimum(low[:-width], low[width:]) if len(low) > width else low[:0]
+            width *= 2
+        more = window - width
+        out.append(low if not more else np.minimum(low[:-more], low[more:]) if len(low) > more else low[:0])
+    return out
+
+
+def _anchors(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, inside: np.ndarray, spans: tuple[int, int], gram: int) -> tuple[np.ndarray, ...]:
+    """Of texts laid end to end (at most _PIECE bytes): text, anchor, anchor hash, then first and last window of each span (last < first: none).
+
+    ``inside``: only windows that begin before this place of their text count. All places are in ``flat``; ``spans`` descend.
+    """
     hashes, n = PrefixHashes(flat), len(flat) - gram + 1
     h = _mixed(hashes.of(np.arange(n), gram))
     low = (h & ~np.uint64(_PIECE * 2 - 1)) | np.arange(n, dtype=np.uint64)  # of equal hashes the first
-    width, window = 1, span - gram + 1
-    while width * 2 <= window:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    if window > width:
-        low = np.minimum(low[: len(low) - (window - width)], low[window - width :])
-    anchor = (low[valid] & np.uint64(_PIECE * 2 - 1)).astype(np.int64)
-    new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1] + 1)]))
-    first, last = valid[new], valid[np.append(new[1:], len(valid)) - 1]
-    return np.searchsorted(starts, first, "right") - 1, first, last, anchor[new], h[anchor[new]]
-
-
-def anchors_of(many: list[bytes], span: int = SPAN, gram: int = GRAM) -> list[tuple]:
-    """(text, first window, last window, anchor, anchor hash, context hash in two halves), places in bytes of each text."""
-    pieces: list[list[tuple[int, int, bytes]]] = [[]]
-    size = 0
+    runs = []
+    for span, lowest in zip(spans, reversed(_lowest(low, [s - gram + 1 for s in reversed(spans)])), strict=True):
+        valid = spans_index(starts, np.minimum(inside, np.maximum(0, sizes - span + 1)))
+        anchor = (lowest[valid] & np.uint64(_PIECE * 2 - 1)).astype(np.int64)
+        new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1] + 1)])) if len(valid) else valid
+        runs.append((anchor[new], valid[new], valid[np.append(new[1:], len(valid)) - 1] if len(valid) else valid))
+    every = np.union1d(runs[0][0], runs[1][0])
+    ranges = []
+    for anchor, first, last in runs:
+        at = np.searchsorted(every, anchor)
+        ranges += [np.zeros(len(every), np.int64), np.full(len(every), -1, np.int64)]
+        ranges[-2][at], ranges[-1][at] = first, last
+    return np.searchsorted(starts, every, "right") - 1, every, h[every], *ranges
+
+
+def packed_reach(anchor: int, ranges: list[int]) -> int:
+    """Both ranges as distances before the anchor, 9 bits each; 511 where there is none."""
+    f, l, g, m = ranges
+    a, b = (anchor - f, anchor - l) if l >= f else (511, 511)
+    c, d = (anchor - g, anchor - m) if m >= g else (511, 511)
+    return a | b << 9 | c << 18 | d << 27
+
+
+def reach_of(packed: int) -> list[tuple[int, int] | None]:
+    """For each span the distances of the first and the last window before the anchor."""
+    a, b, c, d = (packed >> s & 511 for s in (0, 9, 18, 27))
+    return [(a, b) if a != 511 else None, (c, d) if c != 511 else None]
+
+
+def context_bounds(packed: int, spans: tuple[int, int]) -> tuple[int, int]:
+    """Where the context begins and ends, from the anchor."""
+    both = [(-r[0], s - r[1]) for r, s in zip(reach_of(packed), spans, strict=True) if r]
+    return min(a for a, _ in both), max(b for _, b in both)
+
+
+def anchors_of(many: list[bytes], spans: tuple[int, int] = (SPAN, PASSAGE), gram: int = GRAM) -> list[tuple]:
+    """(text, anchor, reach, anchor hash, context digest in two halves), places in bytes of each text."""
+    pieces: list[list[tuple[int, int, bytes, int]]] = [[]]
+    size, step = 0, _PIECE - spans[0] + 1
     for k, data in enumerate(many):
-        if len(data) < span:
+        if len(data) < spans[1]:
             continue
-        for at in range(0, max(1, len(data) - span + 1), _PIECE - span + 1):  # a long text's pieces overlap by span - 1
+        for at in range(0, max(1, len(data) - spans[0] + 1), step):  # a long text's pieces overlap, and the windows that begin in the overlap are the next one's
             part = data[at : at + _PIECE]
             if size + len(part) > _PIECE:
                 pieces.append([])
                 size = 0
-            pieces[-1].append((k, at, part))
+            pieces[-1].append((k, at, part, step if at + step < len(data) - spans[0] + 1 else len(part)))
             size += len(part)
     out = []
     for piece in pieces:
-        joined = b"".join(p for _, _, p in piece)
-        offsets = offsets_of([len(p) for _, _, p in piece])
-        text, first, last, anchor, key = _anchors(np.frombuffer(joined, np.uint8), offsets[:-1], np.diff(offsets), span, gram)
-        for t, a, b, c, h in zip(text.tolist(), first.tolist(), last.tolist(), anchor.tolist(), key.view(np.int64).tolist(), strict=True):
-            digest = xxhash.xxh3_128_intdigest(joined[a : b + span], c - a)
-            k, at, _ = piece[t]
-            shift = at - int(offsets[t])
-            out.append((k, a + shift, b + shift, c + shift, h, (digest >> 64) - (1 << 63), (digest & 0xFFFFFFFFFFFFFFFF) - (1 << 63)))
+        if not piece:
+            continue
+        joined = b"".join(p[2] for p in piece)
+        offsets = offsets_of([len(p[2]) for p in piece])
+        found = _anchors(np.frombuffer(joined, np.uint8), offsets[:-1], np.diff(offsets), np.array([p[3] for p in piece]), spans, gram)
+        text, anchor, key, *ranges = found
+        for t, c, h, *r in zip(text.tolist(), anchor.tolist(), key.view(np.int64).tolist(), *(x.tolist() for x in ranges), strict=True):
+            reach = packed_reach(c, r)
+            low, high = context_bounds(reach, spans)
+            digest = hashlib.blake2b(joined[c + low : c + high], digest_size=16, salt=struct.pack("<Q", reach))
+            k, at, _, _ = piece[t]
+            out.append((k, c - int(offsets[t]) + at, reach, h, *struct.unpack("<qq", digest.digest())))
     return out
 
 
@@ -166,7 +210,7 @@ def suffix_order(hashes: PrefixHashes, data: np.ndarray, group: np.ndarray, plac
 def repeated_windows(contexts: list[bytes], anchor: list[int], group: list[int], span: int = SPAN) -> list[list[tuple[int, int]]]:
     """For each context the ranges (first, last) of its windows that another context of its group has at the same offset from the anchor.
 
-    ``group`` ascends; the contexts of a group differ.
+    ``group`` ascends.
     """
     n = len(contexts)
     out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
@@ -233,57 +277,82 @@ def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def spans(df: DataFrame, span: int = SPAN, gram: int = GRAM, group_limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """Of a table (doc_id, text): its rows with the keys ``did`` and ``th``, and for these keys the stretches to remove."""
-    keyed = df.select("doc_id", "text", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("did"), F.xxhash64("text").alias("th"))
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in the first column compressed, each by itself; a null stays null."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            yield pa.RecordBatch.from_arrays([pa.array([None if t is None else squeeze(t.encode()) for t in part.column(0).to_pylist()], pa.binary()), *part.columns[1:]], ["packed", *part.schema.names[1:]])
+
+
+def _opened(packed: bytes | None) -> bytes:
+    return b"" if packed is None else zstandard.ZstdDecompressor().decompress(packed)
+
+
+def spans(df: DataFrame, span: int = SPAN, passage: int = PASSAGE, gram: int = GRAM, group_limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """Of a table (doc_id, text): its rows (doc_id, packed text) with the keys ``did`` and ``th``, and for these keys the stretches that repeat.
+
+    A stretch has a level: 0 for windows of ``span`` bytes, 1 for windows of ``passage`` bytes.
+    """
+    both = (span, passage)
+    if not gram <= passage < span < gram + 511:
+        raise ValueError("gram <= passage < span < gram + 511 is needed")
+    rows = df.select("text", "doc_id", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("did"), F.xxhash64("text").alias("th"))
+    keyed = rows.mapInArrow(_squeezed, "packed binary, doc_id long, did long, th long")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in slices(big, "text", 4 << 20):
-                found = anchors_of([t.encode() for t in texts(batch.column(0))], span, gram)
-                cols = list(zip(*found, strict=True)) or [()] * 7
+                found = anchors_of([t.encode() for t in texts(batch.column(0))], both, gram)
+                cols = list(zip(*found, strict=True)) or [()] * 6
                 at = pa.array(cols[0], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), *(pa.array(c, pa.int32()) for c in cols[1:4]), *(pa.array(c, pa.int64()) for c in cols[4:])], ["did", "th", "first", "last", "anchor", "akey", "c1", "c2"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], ["did", "th", "anchor", "reach", "akey", "c1", "c2"])
 
-    found = written(keyed.select("text", "did", "th").mapInArrow(anchors, "did long, th long, first int, last int, anchor int, akey long, c1 long, c2 long"))
+    found = written(rows.select("text", "did", "th").mapInArrow(anchors, "did long, th long, anchor int, reach long, akey long, c1 long, c2 long"))
     same = ["akey", "c1", "c2"]
     # one row for each different context, copies summed before the shuffle: an anchor's rows are as many as its contexts
-    distinct = written(found.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "first", "last", "anchor")).alias("r")).select(*same, "n", "r.*"))
-    whole = distinct.where("n > 1").select(*same)
+    distinct = written(found.groupBy(*same, "reach").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "anchor")).alias("r")).select(*same, "reach", "n", "r.*"))
+    whole = distinct.where("n > 1").select(*same, "reach")
     groups = distinct.groupBy("akey").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select("akey", "m")
     asked = distinct.join(groups, "akey")
-    reps = asked.groupBy("did", "th").agg(F.collect_list(F.struct(*same, "n", "m", "first", "last", "anchor")).alias("asked"))
-    rep_type = "akey long, c1 long, c2 long, n long, m long, anchor int, data binary"
+    reps = asked.groupBy("did", "th").agg(F.collect_list(F.struct(*same, "reach", "n", "m", "anchor")).alias("asked"))
+    names = ["akey", "c1", "c2", "reach", "n", "m", "data"]
+    schema = pa.schema([*((x, pa.int64()) for x in names[:6]), ("data", pa.binary())])
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, wanted in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                data = text.encode()
-                rows += [(x["akey"], x["c1"], x["c2"], x["n"], x["m"], x["anchor"] - x["first"], data[x["first"] : x["last"] + span]) for x in wanted]
+            for packed, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = _opened(packed)
+                for x in wanted:
+                    low, high = context_bounds(x["reach"], both)
+                    rows.append((*(x[k] for k in names[:6]), data[x["anchor"] + low : x["anchor"] + high]))
                 if len(rows) > 4096:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
                     rows = []
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    names = ["akey", "c1", "c2", "n", "m", "anchor", "data"]
-    schema = pa.schema([*((x, pa.int64()) for x in names[:5]), ("anchor", pa.int32()), ("data", pa.binary())])
-    contexts = written(keyed.select("did", "th", "text").join(reps, ["did", "th"]).select("text", "asked").mapInArrow(cut_out, rep_type))
-    verdict_type = "akey long, c1 long, c2 long, windows array<struct<a:int,b:int>>"
-    verdict_schema = pa.schema([("akey", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("windows", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
+    contexts = written(keyed.select("did", "th", "packed").join(reps, ["did", "th"]).select("packed", "asked").mapInArrow(cut_out, "akey long, c1 long, c2 long, reach long, n long, m long, data binary"))
+    window_type = "array<struct<level:int,a:int,b:int>>"
+    verdict_schema = pa.schema([*((x, pa.int64()) for x in names[:4]), ("windows", pa.list_(pa.struct([("level", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])))])
 
     def sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list = []
         size = 0
 
         def judged():
-            seen, kept = set(), []
-            for r in rows:  # rows that repeat a document bring its contexts twice
-                if r[:3] not in seen:
-                    seen.add(r[:3])
-                    kept.append(r)
-            found = repeated_windows([r[5] for r in kept], [r[4] for r in kept], [r[0] for r in kept], span)
-            out = [{"akey": r[0], "c1": r[1], "c2": r[2], "windows": [{"a": a, "b": b} for a, b in w]} for r, w in zip(kept, found, strict=True) if w and r[3] == 1]
+            kept = list({r[:3]: r for r in rows}.values())  # rows that repeat a document bring its contexts twice
+            windows: list[list] = [[] for _ in kept]
+            for level, length in enumerate(both):
+                mine = [(i, r, reach) for i, r in enumerate(kept) if (reach := reach_of(r[3])[level])]
+                zero = [-context_bounds(r[3], both)[0] for _, r, _ in mine]  # the anchor in its context
+                cut = [r[5][z - reach[0] : z - reach[1] + length] for (_, r, reach), z in zip(mine, zero, strict=True)]
+                repeats = repeated_windows(cut, [reach[0] for _, _, reach in mine], [r[0] for _, r, _ in mine], length)
+                for (i, _, reach), w in zip(mine, repeats, strict=True):
+                    windows[i] += [{"level": level, "a": a - reach[0], "b": b - reach[0] + length} for a, b in w]
+            out = [{"akey": r[0], "c1": r[1], "c2": r[2], "reach": r[3], "windows": w} for r, w in zip(kept, windows, strict=True) if w and r[4] == 1]
             return pa.RecordBatch.from_pylist(out, verdict_schema)
 
         for batch in batches:
@@ -296,43 +365,55 @@ def spans(df: DataFrame, span: int = SPAN, gram: int = GRAM, group_limit: int =
         if rows:
             yield judged()
 
-    sorted_ = contexts.where(F.col("m") <= group_limit).select("akey", "c1", "c2", "n", "anchor", "data").repartition("akey").sortWithinPartitions("akey").mapInArrow(sort_groups, verdict_type)
+    sorted_ = contexts.where(F.col("m") <= group_limit).select("akey", "c1", "c2", "reach", "n", "data").repartition("akey").sortWithinPartitions("akey").mapInArrow(sort_groups, f"akey long, c1 long, c2 long, reach long, windows {window_type}")
 
     def hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for akey, c1, c2, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                count = len(data) - span + 1
-                h = [xxhash.xxh3_128_intdigest(data[w : w + span]) for w in range(count)]
-                fill = lambda v: pa.array([v] * count, pa.int64())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([fill(akey), fill(c1), fill(c2), fill(n), pa.array(range(count), pa.int32()), pa.array([(x >> 64) - (1 << 63) for x in h], pa.int64()), pa.array([(x & 0xFFFFFFFFFFFFFFFF) - (1 << 63) for x in h], pa.int64())], ["akey", "c1", "c2", "n", "w", "h1", "h2"])
-
-    hot = contexts.where(F.col("m") > group_limit).dropDuplicates(same).select("akey", "c1", "c2", "n", "data").mapInArrow(hash_windows, "akey long, c1 long, c2 long, n long, w int, h1 long, h2 long")
-    twice = hot.groupBy("h1", "h2").agg(F.count("*").alias("k")).where("k > 1").select("h1", "h2")
-    counted = hot.where("n = 1").join(twice, ["h1", "h2"]).groupBy(*same).agg(F.collect_list(F.struct(F.col("w").alias("a"), F.col("w").alias("b"))).alias("windows"))
-    part = sorted_.unionByName(counted)
-    verdict = whole.withColumn("windows", F.lit(None).cast("array<struct<a:int,b:int>>")).unionByName(part)
-    hits = found.join(verdict, same).select("did", "th", F.expr(f"IF(windows IS NULL, array(struct(first AS a, last + {span} AS b)), transform(windows, x -> struct(first + x.a AS a, first + x.b + {span} AS b)))").alias("s"))
-    return keyed, hits.groupBy("did", "th").agg(F.flatten(F.collect_list("s")).alias("spans"))
+            for akey, c1, c2, reach, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                zero = -context_bounds(reach, both)[0]
+                for level, length in enumerate(both):
+                    if (r := reach_of(reach)[level]) is None:
+                        continue
+                    at = range(-r[0], -r[1] + 1)
+                    h = [xxhash.xxh3_128_intdigest(data[zero + w : zero + w + length]) for w in at]
+                    fill = lambda v, t=pa.int64(), k=len(at): pa.array([v] * k, t)
+                    halves = ([(x >> 64) - (1 << 63) for x in h], [(x & 0xFFFFFFFFFFFFFFFF) - (1 << 63) for x in h])
+                    yield pa.RecordBatch.from_arrays([fill(akey), fill(c1), fill(c2), fill(reach), fill(n), fill(level, pa.int32()), pa.array(at, pa.int32()), *(pa.array(x, pa.int64()) for x in halves)], ["akey", "c1", "c2", "reach", "n", "level", "w", "h1", "h2"])
+
+    hot = contexts.where(F.col("m") > group_limit).dropDuplicates(same).select("akey", "c1", "c2", "reach", "n", "data").mapInArrow(hash_windows, "akey long, c1 long, c2 long, reach long, n long, level int, w int, h1 long, h2 long")
+    twice = hot.groupBy("level", "h1", "h2").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    one = F.struct("level", F.col("w").alias("a"), F.expr(f"w + IF(level = 0, {span}, {passage})").cast("int").alias("b"))
+    counted = hot.where("n = 1").join(twice, ["level", "h1", "h2"]).groupBy(*same, "reach").agg(F.collect_list(one).alias("windows"))
+    verdict = whole.withColumn("windows", F.lit(None).cast(window_type)).unionByName(sorted_).unionByName(counted)
+    bits = [f"CAST(shiftright(reach, {s}) & 511 AS INT)" for s in (0, 9, 18, 27)]
+    full = ", ".join(f"IF({a} = 511, NULL, struct({level} AS level, -{a} AS a, {length} - {b} AS b))" for level, length, a, b in ((0, span, bits[0], bits[1]), (1, passage, bits[2], bits[3])))
+    windows = F.expr(f"coalesce(windows, filter(array({full}), x -> x IS NOT NULL))")
+    hits = found.drop("reach").join(verdict, same).select("did", "th", "anchor", windows.alias("windows"))
+    placed = hits.select("did", "th", F.expr("transform(windows, x -> struct(x.level AS level, anchor + x.a AS a, anchor + x.b AS b))").alias("s"))
+    return keyed, placed.groupBy("did", "th").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), passages (start and end in bytes, ``removed`` ones among them) of every row."""
     keyed, found = spans(df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), **options)
+    schema = pa.schema([*((n, pa.int64()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")), ("kept", pa.binary()), ("passages", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for batch in slices(big, "text"):
+            for batch in slices(big, "packed", 4 << 20):
                 rows = []
-                for text, wanted in zip(texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                    data, gone = text.encode(), merged_spans([(x["a"], x["b"]) for x in wanted or ()])
+                for doc, packed, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    data = _opened(packed)
+                    gone, passages = (merged_spans([(x["a"], x["b"]) for x in wanted or () if x["level"] == level]) for level in (0, 1))
                     edges = [0, *(p for s in gone for p in s), len(data)]
-                    rows.append((len(data), sum(b - a for a, b in gone), len(gone), b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))))
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                    rows.append((doc, len(data), sum(b - a for a, b in gone), len(gone), b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), [{"start": a, "end": b} for a, b in passages]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    joined = keyed.join(found, ["did", "th"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    joined = keyed.join(found, ["did", "th"], "left").select("doc_id", "packed", "spans")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, passages array<struct<start:long,end:long>>")
 
 
 def summary(removed: DataFrame) -> DataFrame:
-    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The digest of ``remove``, and how many bytes lie in passages that repeat."""
+    covered = F.expr("aggregate(passages, 0L, (n, x) -> n + x.end - x.start)").alias("n_passage_bytes")
+    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), covered)

@@ -44,10 +44,12 @@ def corpus(seed, n=60):
 def test_matches_window_counts(spark, seed, limit):
     many = corpus(seed)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(many)], "doc_id long, text string, spans string")
-    got = {x.doc_id: tuple(x)[1:] for x in r.summary(r.remove(docs, span=40, gram=12, group_limit=limit)).collect()}
-    want = slow(many, 40)
-    assert [got[i] for i in range(len(many))] == want
-    assert sum(w[1] for w in want) > 1000
+    removed = r.remove(docs, span=40, passage=24, gram=12, group_limit=limit)
+    got = {x.doc_id: tuple(x)[1:] for x in r.summary(removed).collect()}
+    want, passages = slow(many, 40), slow(many, 24)
+    assert [got[i] for i in range(len(many))] == [(*w, p[1]) for w, p in zip(want, passages, strict=True)]
+    assert [len(x.passages) for x in removed.orderBy("doc_id").collect()] == [p[2] for p in passages]
+    assert 1000 < sum(w[1] for w in want) < sum(p[1] for p in passages)
 
 
 def test_windows_of_contexts_match_plain_comparison():
@@ -55,15 +57,12 @@ def test_windows_of_contexts_match_plain_comparison():
     for _ in range(200):
         contexts, anchor, group = [], [], []
         for g in range(rng.randint(1, 4)):
-            made = set()
             for _ in range(rng.randint(1, 12)):
                 left = "".join(rng.choice("ab") for _ in range(rng.randint(0, 6)))
                 right = "".join(rng.choice("ab") for _ in range(rng.randint(8, 14)))
-                if (left, right) not in made:
-                    made.add((left, right))
-                    contexts.append((left + right).encode())
-                    anchor.append(len(left))
-                    group.append(g)
+                contexts.append((left + right).encode())
+                anchor.append(len(left))
+                group.append(g)
         span = 8
         got = r.repeated_windows(contexts, anchor, group, span)
         for i, c in enumerate(contexts):
@@ -83,9 +82,20 @@ def test_long_text_in_pieces():
     rng = random.Random(6)
     data = bytes(rng.randrange(256) for _ in range(r._PIECE + 5000))
     found = r.anchors_of([b"x" * 10, data])
-    windows = sorted((a, b) for _, a, b, *_ in found)
-    assert windows[0][0] == 0 and windows[-1][1] == len(data) - r.SPAN
-    assert all(b + 1 == c for (_, b), (c, _) in zip(windows, windows[1:], strict=False))
+    for level, span in enumerate((r.SPAN, r.PASSAGE)):
+        windows = sorted((c - a, c - b) for _, c, reach, *_ in found for a, b in [r.reach_of(reach)[level] or (0, 1)] if a >= b)
+        assert windows[0][0] == 0 and windows[-1][1] == len(data) - span
+        assert all(b + 1 == c for (_, b), (c, _) in zip(windows, windows[1:], strict=False))
+
+
+def test_a_passage_of_fifty_words_is_reported_and_not_removed(spark):
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    passage = words(51)
+    rows = [(i, f"{words(60)} {passage if i < 3 else words(51)} {words(30 * i)}") for i in range(6)]
+    got = sorted(r.summary(r.remove(spark.createDataFrame(rows, "doc_id long, text string"))).collect())
+    assert [x.n_removed for x in got] == [0] * 6
+    assert [len(passage) <= x.n_passage_bytes <= len(passage) + 4 for x in got] == [True] * 3 + [False] * 3 and not any(x.n_passage_bytes for x in got[3:])
 
 
 def test_odd_rows(spark):
