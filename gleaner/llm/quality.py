@@ -2,15 +2,19 @@
 
 Words and punctuation runs, and pairs of neighbours, are hashed into ``BUCKETS`` cells (a pair of equal
 neighbours into one cell of its own, so that repetition is seen whatever the word). The raw model counts all documents, the target model a
-bounded sample of the labelled good ones. A document's log weight is the sum of log(target / raw) over its n-grams; with a
-Gumbel variate added to each log weight, the k largest are a sample without replacement in proportion to the weights. k is the share of
-good rows among the labels, plus ``MARGIN``, of all documents.
+bounded sample of the labelled good ones. Where a cell has t target counts and e were to be expected from the raw model, its ratio is
+(t + PRIOR) / (e + PRIOR), so that cells with little evidence weigh little. A document's log weight is the sum of the log ratios of its n-grams;
+with a Gumbel variate added to each log weight, the k largest are a sample without replacement in proportion to the weights.
+
+k is the number of documents whose log weight reaches a threshold: the one that tells the labelled rows apart best (share of good rows above
+plus share of others below), where a good row's weight is taken without its own counts in the target model. Labels need not be in
+proportion to the documents for that.
 
 Weights are sums of whole millionths, so that any partitioning gives the same ones. The k-th largest key is found by
 histograms, without a sort or a collection of the keys.
 
 Cases: a null or empty text has log weight 0. Rows that repeat id and text get the same key, and all rows that tie with the k-th are kept. A
-null doc_id is a value like any other. Without labels both models are equal and every document is kept. Columns of
+null doc_id is a value like any other; ids are whole numbers. Without labels of both kinds in the documents every document is kept. Columns of
 any name are passed on by ``keep``. An empty table gives an empty result.
 """
 
@@ -25,14 +29,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from gleaner.llm.common import slices, texts, written
+from gleaner.llm.common import fresh, slices, texts, written
 
 BUCKETS = 1 << 14
 #: Labelled rows used at most, those of the smallest hashes.
 MAX_LABELS = 20_000
-#: Share of all documents kept beyond the share of good labels.
-MARGIN = 0.005
+#: Counts that a cell is given in both models; chosen on halves of the labels, each tested on the other.
+PRIOR = 100
 SEED = 1
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _UNIT = 1_000_000
@@ -63,10 +68,14 @@ def gumbel(key: bytes) -> int:
 
 
 class Model:
-    """log(target / raw) of every cell in millionths, and the share of documents to keep."""
+    """log(target / raw) of every cell in millionths; ``labelled`` (id -> 1 or 0) and the counts tell a labelled row's weight without itself."""
+
+    def __init__(self, raw: np.ndarray, target: np.ndarray, labelled: dict[int, int]):
+        self.raw, self.target, self.labelled = raw.astype(np.float64), target.astype(np.float64), labelled
+        self.log_ratio = np.rint(self._ratio(self.target, self.raw, self.target.sum()) * _UNIT).astype(np.int64)
 
-    def __init__(self, log_ratio: np.ndarray, share: float):
-        self.log_ratio, self.share = log_ratio, share
+    def _ratio(self, target: np.ndarray, raw: np.ndarray, total: float) -> np.ndarray:
+        return np.log((target + PRIOR) / (raw * (total / max(1.0, self.raw.sum())) + PRIOR))
 
     def weights(self, many: list[str]) -> np.ndarray:
         """Log weights in millionths."""
@@ -78,13 +87,20 @@ class Model:
         out += np.bincount(doc, weights=low, minlength=len(out)).astype(np.int64)
         return out
 
+    def judged(self, doc_id: int, text: str, weight: int) -> int:
+        """Log weight of a labelled row; of a good one as if it were not in the target model."""
+        if not self.labelled[doc_id]:
+            return weight
+        cell, n = np.unique(features([text])[0], return_counts=True)
+        return int(np.rint(n @ self._ratio(np.maximum(0, self.target[cell] - n), self.raw[cell], self.target.sum() - n.sum()) * _UNIT))
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labels: int = MAX_LABELS, margin: float = MARGIN) -> Model:
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labels: int = MAX_LABELS) -> Model:
     """Both models in one pass over the documents. ``labels``: id_col and ``label_col`` (1 is good)."""
     spark = docs.sparkSession
-    known = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).dropna().orderBy(F.xxhash64("id"), "id").limit(max_labels).collect()
-    good = {r.id for r in known if r.y == 1}
-    share = min(1.0, sum(r.y == 1 for r in known) / len(known) + margin) if known else 1.0
+    known = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).dropna().orderBy(F.xxhash64("id"), "id", "y").limit(max_labels).collect()
+    labelled = {r.id: int(r.y == 1) for r in known}
+    good = {i for i, y in labelled.items() if y}
     shared = spark.sparkContext.broadcast(good)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,29 +117,54 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = source.mapInArrow(count, "cell int, raw long, target long").groupBy("cell").agg(F.sum("raw"), F.sum("target")).collect()  # BUCKETS rows
-    raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
+    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for cell, r, t in rows:
-        raw[cell] += r
-        target[cell] += t
-    if not good:
-        return Model(np.zeros(BUCKETS, np.int64), share)
-    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
-    return Model(np.rint(ratio * _UNIT).astype(np.int64), share)
+        raw[cell], target[cell] = r, t
+    return Model(raw, target, labelled)
 
 
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, weight, key (whole millionths) of every row."""
+def _scored(docs: DataFrame, model: Model, id_col: str, text_col: str, names: list[str], kept: list[str]) -> DataFrame:
+    """The columns ``kept`` of ``docs`` and four more, called ``names``: weight, key, label (null: none) and weight of a labelled row without itself."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for big in batches:
-            for batch in slices(big, "text", 2 << 20):
-                ids, many = batch.column(0), texts(batch.column(1))
-                weight = shared.value.weights(many)
-                key = weight + np.array([gumbel(f"{i}:".encode() + xxhash.xxh3_64_digest(t)) for i, t in zip(ids.to_pylist(), many, strict=True)], np.int64)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(weight), pa.array(key)], ["doc_id", "weight", "key"])
+            for batch in slices(big, text_col, 2 << 20):
+                many = texts(batch.column(batch.schema.get_field_index(text_col)))
+                ids = batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64()).to_pylist()
+                weight = model.weights(many)
+                key = weight + np.array([gumbel(f"{i}:".encode() + xxhash.xxh3_64_digest(t)) for i, t in zip(ids, many, strict=True)], np.int64)
+                label = [model.labelled.get(i) for i in ids]
+                judged = [None if y is None else model.judged(i, t, w) for i, t, y, w in zip(ids, many, label, weight.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(weight), pa.array(key), pa.array(label, pa.int32()), pa.array(judged, pa.int64())], [*kept, *names])
+
+    types = [docs.schema[c] for c in kept] + [StructField(n, IntegerType() if i == 2 else LongType()) for i, n in enumerate(names)]
+    return docs.mapInArrow(run, StructType(types))
+
+
+def threshold(judged: list[tuple[int, int]]) -> int | None:
+    """The weight that tells rows (weight, label) apart best, midway to the next lower row; of equally good ones the lowest. None without both labels."""
+    rows = sorted(judged)
+    good, bad = sum(y for _, y in rows), sum(not y for _, y in rows)
+    if not good or not bad:
+        return None
+    best, at, below = -1.0, 0, [0, 0]
+    for i, (w, y) in enumerate(rows):
+        if i == 0 or w != rows[i - 1][0]:
+            value = (good - below[1]) / good + below[0] / bad
+            if value > best + 1e-12:
+                best, at = value, w if i == 0 else (rows[i - 1][0] + w + 1) // 2
+        below[y] += 1
+    return at
+
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, weight long, key long")
+def least_key(rows: DataFrame, id_col: str, names: list[str]) -> int | None:
+    """The key of the last document drawn; None if all are."""
+    weight, key, label, own = names
+    by_id = rows.where(F.col(label).isNotNull()).groupBy(F.col(f"`{id_col}`")).agg(F.min(own).alias("w"), F.max(label).alias("y")).collect()  # labelled ids, MAX_LABELS at most
+    at = threshold([(r.w, r.y) for r in by_id])
+    return None if at is None else kth_largest(rows, key, rows.where(F.col(weight) >= at).count())
 
 
 def kth_largest(rows: DataFrame, column: str, k: int) -> int | None:
@@ -145,28 +186,20 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> int | None:
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, log_weight and sample_key of the documents drawn."""
-    model = fit(docs, labels, id_col, text_col, **options)
-    keys = written(scored(docs, model, id_col, text_col))
-    least = kth_largest(keys, "key", math.ceil(model.share * keys.count()))
-    return keys.where(F.col("key") >= (least if least is not None else 0)).select("doc_id", (F.col("weight") / _UNIT).alias("log_weight"), (F.col("key") / _UNIT).alias("sample_key"))
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    model = fit(source, labels.withColumnRenamed(id_col, "doc_id"), **options)
+    names = ["weight", "key", "label", "own"]
+    keys = written(_scored(source, model, "doc_id", "text", names, ["doc_id"]))
+    least = least_key(keys, "doc_id", names)
+    drawn = keys if least is None else keys.where(F.col("key") >= least)
+    return drawn.select("doc_id", (F.col("weight") / _UNIT).alias("log_weight"), (F.col("key") / _UNIT).alias("sample_key"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that ``resample`` draws, with all their columns."""
+    """The rows of ``docs`` that ``resample`` draws, with all their columns; they are written once with their keys and read back."""
     model = fit(docs, labels, id_col, text_col, **options)
-    keys = written(scored(docs, model, id_col, text_col).select("key"))
-    least = kth_largest(keys, "key", math.ceil(model.share * keys.count()))
-    if least is None:
-        return docs
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        i, t = names.index(id_col), names.index(text_col)
-        for big in batches:
-            for batch in slices(big, text_col, 2 << 20):
-                many = texts(batch.column(t))
-                noise = np.array([gumbel(f"{d}:".encode() + xxhash.xxh3_64_digest(x)) for d, x in zip(batch.column(i).cast(pa.int64()).to_pylist(), many, strict=True)], np.int64)
-                yield batch.filter(pa.array(shared.value.weights(many) + noise >= least))
-
-    return docs.mapInArrow(run, docs.schema)
+    names = [fresh(docs, n) for n in ("weight", "key", "label", "own")]
+    rows = written(_scored(docs, model, id_col, text_col, names, docs.columns))
+    least = least_key(rows, id_col, names)
+    drawn = rows if least is None else rows.where(F.col(names[1]) >= least)
+    return drawn.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -26,21 +26,33 @@ def test_draw_matches_a_plain_computation(spark):
     counts = {}
     for i, t in rows:
         counts[i] = np.bincount(q.features([t])[0], minlength=q.BUCKETS)
-    raw = 1 + sum(counts.values())
-    target = 1 + sum(c for i, c in counts.items() if i % 2 and label[i])
-    ratio = np.rint((np.log(target / target.sum()) - np.log(raw / raw.sum())) * 1e6).astype(np.int64)
+    raw = sum(counts.values())
+    target = sum(c for i, c in counts.items() if i % 2 and label[i])
+
+    def ratio(target):
+        return np.log((target + q.PRIOR) / (raw * target.sum() / raw.sum() + q.PRIOR))
+
+    own = {i: float(counts[i] @ ratio(target - counts[i] * label[i])) for i in label if i % 2}
+    best = max(sorted(own.values()), key=lambda w: np.mean([own[i] >= w for i in own if label[i]]) + np.mean([own[i] < w for i in own if not label[i]]))
+    whole = np.rint(ratio(target) * 1e6).astype(np.int64)
+    weight = {i: int(c @ whole) for i, c in counts.items()}
+    k = sum(w / 1e6 >= (best + max([v for v in own.values() if v < best], default=best)) / 2 for w in weight.values())
     import xxhash
 
-    keys = {i: int((counts[i] * ratio).sum()) + q.gumbel(f"{i}:".encode() + xxhash.xxh3_64_digest(t)) for i, t in rows}
-    known = [y for i, y in label.items() if i % 2]
-    k = math.ceil(min(1.0, sum(known) / len(known) + q.MARGIN) * len(rows))
+    keys = {i: weight[i] + q.gumbel(f"{i}:".encode() + xxhash.xxh3_64_digest(t)) for i, t in rows}
     assert set(got) == set(sorted(keys, key=keys.get, reverse=True)[:k])
     assert all(abs(got[i].sample_key * 1e6 - keys[i]) < 1 for i in got)
-    assert sum(label[i] == 0 for i in got) <= 3
+    assert sum(label[i] == 0 for i in got) == 0 and len(got) >= 299
     kept = q.keep(docs, labels)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(got)
 
 
+def test_threshold():
+    assert q.threshold([(5, 1), (9, 1), (1, 0), (2, 0)]) == 4
+    assert q.threshold([(5, 1), (9, 1)]) is None is q.threshold([(1, 0)]) and q.threshold([]) is None
+    assert q.threshold([(3, 1), (3, 0)]) == 3
+
+
 def test_kth_largest(spark):
     values = [random.Random(3).randint(-(10**12), 10**12) for _ in range(500)] + [7] * 50
     rows = spark.createDataFrame([(v,) for v in values], "v long").cache()
@@ -57,11 +69,22 @@ def test_odd_rows(spark):
     assert q.resample(docs.limit(0), labels).collect() == [] == q.keep(docs.limit(0), labels).collect()
 
 
-@pytest.mark.skipif(not os.path.exists(ROOT), reason="no test tables")
-def test_held_out_accuracy(spark):
-    docs, labels = spark.read.parquet(f"{ROOT}/documents.parquet"), spark.read.parquet(f"{ROOT}/labels.parquet")
-    kept = {r.doc_id for r in q.resample(docs, labels.where("doc_id % 2 = 0")).collect()}
-    rest = pq.read_table(f"{ROOT}/labels.parquet", columns=["doc_id", "quality"]).to_pydict()
+def test_columns_of_clashing_names_are_kept(spark):
+    rows, label = toy(40)
+    docs = spark.createDataFrame([(i, t, i, -i, "l", None) for i, t in rows], "doc_id long, text string, weight long, `KEY` long, label string, own string")
+    labels = spark.createDataFrame(list(label.items()), "doc_id long, quality int")
+    kept = q.keep(docs, labels)
+    assert kept.columns == docs.columns and all((r.weight, r.KEY, r.label, r.own) == (r.doc_id, -r.doc_id, "l", None) for r in kept.collect())
+
+
+@pytest.mark.parametrize("half", [0, 1])
+@pytest.mark.parametrize("root", [ROOT, ROOT.replace("0.01", "0.1")])
+def test_held_out_accuracy(spark, root, half):
+    if not os.path.exists(root):
+        pytest.skip("no test tables")
+    docs, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")
+    kept = {r.doc_id for r in q.resample(docs, labels.where(f"doc_id % 2 = {half}")).collect()}
+    rest = pq.read_table(f"{root}/labels.parquet", columns=["doc_id", "quality"]).to_pydict()
     for y, least in ((1, 0.98), (0, 0.9)):
-        judged = [(i in kept) == bool(y) for i, z in zip(rest["doc_id"], rest["quality"], strict=True) if i % 2 and z == y]
+        judged = [(i in kept) == bool(y) for i, z in zip(rest["doc_id"], rest["quality"], strict=True) if i % 2 != half and z == y]
         assert sum(judged) >= least * len(judged)
