@@ -18,15 +18,17 @@ A text that occurs c times weighs 1/c wherever it occurs, so texts need not move
 repeat are known by hash.
 
 Cases: a null text counts as empty; an empty text has no spans and the hash of the empty string. Repeated rows are
-judged alike and add no evidence. Long texts take linear time: no pattern rescans a run of characters. Columns other than id and
-text are ignored by ``find`` and passed on by ``sanitise``. An empty table gives an empty result.
+judged alike and add no evidence. Long texts, long runs of digits and texts full of entities take linear time, but for a logarithm: no pattern
+rescans a run of characters. Columns other than id and text are ignored by ``find`` and passed on, of any name, by ``sanitise``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import slices, small_rows, texts, written
+from gleaner.llm.common import fresh, slices, small_rows, texts, written
 
 KINDS = ("email", "ip", "card", "phone", "remove", "generalise")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "remove": ""}
@@ -87,7 +89,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(s, 0, e) for s, e in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            parts = [p.lstrip("0") for p in m.group().split(".")]  # a part may have any number of zeros in front
+            if all(len(p) < 3 or len(p) == 3 and p <= "255" for p in parts):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
@@ -111,33 +114,54 @@ def term_key(word: str) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
-def _words_near(text: str, start: int, end: int, spans) -> tuple[set[str], int]:
+class _Spans:
+    """Spans sorted by start; tells in logarithmic time whether a stretch touches one."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts = [s for s, _, _ in spans]
+        self.reach = list(accumulate((e for _, _, e in spans), max))  # where the spans up to each one end at the latest
+
+    def touch(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end)
+        return at > 0 and self.reach[at - 1] > start
+
+
+def _words_near(text: str, start: int, end: int, spans: _Spans) -> tuple[set[str], int]:
     """The lower-case words of the context, none of which touch a span, and a hash of the context."""
     width = 40 * CONTEXT_WORDS
     left = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text, max(0, start - width), start)][-CONTEXT_WORDS:]
-    right = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text, end, min(len(text), end + width))][:CONTEXT_WORDS]
-    words = [w.lower() for s, e, w in (*left, *right) if not any(s < b and a < e for a, _, b in spans)]
+    right = [(m.start(), m.end(), m.group()) for m in islice(_WORD.finditer(text, end, min(len(text), end + width)), CONTEXT_WORDS)]
+    words = [w.lower() for s, e, w in (*left, *right) if not spans.touch(s, e)]
     return set(words), xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each entity, term near it and context."""
+
+    def out(rows):
+        cols = list(zip(*rows, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["entity", "term", "context"])
+
     for batch in batches:
         rows = []
         for text in texts(batch.column(0)):
             spans = base_spans(text)
+            sorted_spans = _Spans(spans)
             for span in spans:
-                words, context = _words_near(text, span[0], span[2], spans)
+                words, context = _words_near(text, span[0], span[2], sorted_spans)
                 entity = entity_key(text, span)
                 rows += [(entity, term_key(w), context) for w in words or ("",)]
-        cols = list(zip(*rows, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["entity", "term", "context"])
+                if len(rows) > 1 << 16:  # a text may hold any number of entities
+                    yield out(rows)
+                    rows = []
+        yield out(rows)
 
 
-def _text_counts(batches: Iterator[pa.RecordBatch], repeated: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _text_counts(batches: Iterator[pa.RecordBatch], repeated: tuple[np.ndarray, np.ndarray], wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """In how many distinct texts each term occurs, summed within bounded pieces of a batch: a text of c copies is 1/c in each.
 
-    c is in the column ``copies`` where it is set, else in ``repeated`` (sorted hashes, copies), else 1.
+    c is in the column ``copies`` where it is set, else in ``repeated`` (sorted hashes, copies), else 1. Only the terms in
+    ``wanted`` (sorted hashes) come out, or all.
     """
     hashes, copies = repeated
     for big in batches:
@@ -154,11 +178,18 @@ def _text_counts(batches: Iterator[pa.RecordBatch], repeated: tuple[np.ndarray,
             codes, words = pd.factorize(np.array([w for d in docs for w in d], dtype=object))
             seen = np.unique(codes.astype(np.int64) * max(1, len(docs)) + doc)
             n = np.bincount(seen // max(1, len(docs)), weights=weight[seen % max(1, len(docs))], minlength=len(words))
-            yield pa.RecordBatch.from_arrays([pa.array([term_key(w) for w in words], pa.int64()), pa.array(n, pa.float64())], ["term", "n"])
+            terms = np.fromiter((term_key(w) for w in words), np.int64, len(words))
+            if wanted is not None:
+                asked = np.isin(terms, wanted) if len(wanted) else np.zeros(len(terms), bool)
+                terms, n = terms[asked], n[asked]
+            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n, pa.float64())], ["term", "n"])
 
 
-def _counted(source: DataFrame) -> tuple[DataFrame, int]:
-    """term, n_term: the distinct texts that hold each term; and how many distinct texts there are."""
+def _counted(source: DataFrame, asked: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """term, n_term: the distinct texts that hold each term in ``asked``, or each at all; and how many distinct texts there are.
+
+    The terms asked for are broadcast where they are few, and counted first and joined afterwards where they are not.
+    """
     hashed = source.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
     groups = written(hashed.groupBy("hash").agg(F.count("*").alias("copies")))
     repeated = groups.where("copies > 1")
@@ -167,8 +198,10 @@ def _counted(source: DataFrame) -> tuple[DataFrame, int]:
         ready, table = hashed.join(repeated, "hash", "left").select("text", "hash", "copies"), []
     else:
         ready, table = hashed.withColumn("copies", F.lit(None).cast("long")), sorted((r.hash, r.copies) for r in rows)
-    shared = source.sparkSession.sparkContext.broadcast((np.array([h for h, _ in table], np.int64), np.array([c for _, c in table], np.int64)))
-    counts = ready.mapInArrow(lambda batches: _text_counts(batches, shared.value), "term long, n double")
+    few = None if asked is None else small_rows(asked, BROADCAST_BYTES)
+    wanted = None if few is None else np.sort(np.array([r.term for r in few], np.int64))
+    shared = source.sparkSession.sparkContext.broadcast((np.array([h for h, _ in table], np.int64), np.array([c for _, c in table], np.int64), wanted))
+    counts = ready.mapInArrow(lambda batches: _text_counts(batches, shared.value[:2], shared.value[2]), "term long, n double")
     # shares of a text add up to whole numbers but for rounding
     return counts.groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n_term")), groups.count()
 
@@ -177,9 +210,10 @@ def disclosing_terms(df: DataFrame, text_col: str = "text", min_support: int = M
     """entity, term (hashes), kind: the terms of this corpus that give an entity away."""
     source = df.select(F.col(f"`{text_col}`").alias("text"))
     found = source.where(F.col("text").rlike("[0-9@]")).mapInArrow(_evidence, "entity long, term long, context long")
-    near = found.groupBy("entity", "term").agg(F.count_distinct("context").alias("n_both"))
+    found = written(found.distinct())  # copies of a text say nothing new
+    near = found.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     of_entity = found.groupBy("entity").agg(F.count_distinct("context").alias("n_entity"))
-    of_term, n = _counted(source)
+    of_term, n = _counted(source, found.select("term").distinct())
     n = max(1, n)
     lacking = F.greatest(F.lit(0), F.lit(min_support) - F.col("n_both"))
     pmi = F.log(F.lit(float(n)) * F.col("n_both") / ((F.col("n_entity") + lacking) * F.greatest("n_term", "n_both")))
@@ -192,10 +226,10 @@ def all_spans(text: str, spans: list[tuple[int, int, int]], terms: dict[int, str
     """Base spans and those of the disclosing terms, by start, then kind."""
     if not terms:
         return spans
-    out = list(spans)
+    out, base = list(spans), _Spans(spans)
     for m in _WORD.finditer(text):
         kind = terms.get(term_key(m.group().lower()))
-        if kind and not any(m.start() < e and s < m.end() for s, _, e in spans):
+        if kind and not base.touch(m.start(), m.end()):
             out.append((m.start(), KINDS.index(kind), m.end()))
     return sorted(out)
 
@@ -228,25 +262,26 @@ def _terms_of(text: str, spans, by_entity: dict[int, dict[int, str]]) -> dict[in
 
 
 def _lookup(df: DataFrame, text_col: str, options: dict):
-    """How a document finds its disclosing terms: a broadcast table where it is small, else a joined column ``__terms``."""
+    """How a document finds its disclosing terms: a broadcast table where it is small, else a joined column, whose name comes last."""
+    name, hashed = fresh(df, "__terms"), fresh(df, "__key")
     terms = written(disclosing_terms(df, text_col, **options))
     rows = small_rows(terms, BROADCAST_BYTES)
     if rows is not None:
         by_entity: dict[int, dict[int, str]] = {}
         for r in rows:
             by_entity.setdefault(r.entity, {})[r.term] = r.kind
-        return df.withColumn("__terms", F.lit(None).cast("array<struct<term:bigint,kind:string>>")), df.sparkSession.sparkContext.broadcast(by_entity)
+        return df.withColumn(name, F.lit(None).cast("array<struct<term:bigint,kind:string>>")), df.sparkSession.sparkContext.broadcast(by_entity), name
 
     def entities(batches):
         for batch in batches:
             rows = [(k, entity_key(t, s)) for k, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True) for s in base_spans(t)]
             cols = list(zip(*set(rows), strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["__key", "entity"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [hashed, "entity"])
 
     key: Column = F.xxhash64(F.col(f"`{text_col}`"))
-    held = df.select(key.alias("__key"), F.col(f"`{text_col}`").alias("text")).mapInArrow(entities, "__key long, entity long").distinct()
-    per_text = held.join(terms, "entity").groupBy("__key", "term").agg(F.max("kind").alias("kind")).groupBy("__key").agg(F.collect_list(F.struct("term", "kind")).alias("__terms"))
-    return df.withColumn("__key", key).join(per_text, "__key", "left").drop("__key"), None
+    held = df.select(key.alias(hashed), F.col(f"`{text_col}`").alias("text")).mapInArrow(entities, f"{hashed} long, entity long").distinct()
+    per_text = held.join(terms, "entity").groupBy(hashed, "term").agg(F.max("kind").alias("kind")).groupBy(hashed).agg(F.collect_list(F.struct("term", "kind")).alias(name))
+    return df.withColumn(hashed, key).join(per_text, hashed, "left").drop(hashed), None, name
 
 
 def _judged(text: str, joined, by_entity) -> tuple[list, list]:
@@ -257,8 +292,8 @@ def _judged(text: str, joined, by_entity) -> tuple[list, list]:
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per row: id, counts of the base kinds, ``base_sha256``, ``spans``; options as in ``disclosing_terms``."""
-    source = df.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("text"))
-    ready, shared = _lookup(source, "text", options)
+    source = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    ready, shared, name = _lookup(source, "text", options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_entity = shared.value if shared else {}
@@ -273,23 +308,23 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **option
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(digests, pa.string()), pa.array(joined, pa.string())], [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
     id_type = df.schema[id_col].dataType.simpleString()
-    return ready.select(f"`{id_col}`", "text", "__terms").mapInArrow(run, f"`{id_col}` {id_type}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return ready.select("id", "text", name).mapInArrow(run, f"`{id_col}` {id_type}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def sanitise(df: DataFrame, text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:
     """``df`` with every span of its texts replaced; a null text stays null. ``length_col``, if given, is set anew."""
-    ready, shared = _lookup(df, text_col, options)
+    ready, shared, name = _lookup(df, text_col, options)
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_entity = shared.value if shared else {}
         for batch in batches:
             arrays = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            terms = arrays.pop("__terms").to_pylist()
+            terms = arrays.pop(name).to_pylist()
             new = [None if t is None else redact(t, _judged(t, x, by_entity)[1]) for t, x in zip(arrays[text_col].to_pylist(), terms, strict=True)]
             arrays[text_col] = pa.array(new, pa.string())
             if length_col:
                 arrays[length_col] = pa.array([None if t is None else len(t) for t in new], pa.int64()).cast(arrays[length_col].type)
             yield pa.RecordBatch.from_arrays([arrays[n] for n in names], names)
 
-    return ready.select(*(f"`{n}`" for n in names), "__terms").mapInArrow(run, df.schema)
+    return ready.select(*(f"`{n}`" for n in names), name).mapInArrow(run, df.schema)

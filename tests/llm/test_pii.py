@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner.llm import pii
@@ -117,3 +119,33 @@ def test_redaction_joins_overlaps():
     text = "call +1 234 567 8901 2345 now"
     assert pii.redact(text, pii.base_spans(text)).count("[") == 1
     assert pii.redact("a zz b 12", [(2, 5, 4), (7, 5, 9)]) == "a [TERM] b [NUMBER]"
+
+
+def test_many_entities_and_long_runs_in_one_text():
+    import time
+
+    text = " ".join(f"word{i} a{i}@b.org" for i in range(100_000))
+    began = time.process_time()
+    spans = pii.base_spans(text)
+    assert len(spans) == 100_000
+    rows = sum(b.num_rows for b in pii._evidence(iter([pa.RecordBatch.from_arrays([pa.array([text])], ["text"])])))
+    assert rows >= 100_000
+    terms = {pii.term_key("word5"): "remove", pii.term_key("word99999"): "generalise"}
+    assert len(pii.all_spans(text, spans, terms)) == 100_002
+    assert pii.base_spans("0" * 10_000 + "1.1.1.255") == [(0, 1, 10_009)]
+    assert pii.base_spans("9" * 10_000 + ".1.1.1 1.1.1.256 1.2.3.4") == [(10_017, 1, 10_024)]
+    pii.base_spans("@" * 50_000 + "a." * 50_000 + "1." * 50_000 + "+1" * 50_000 + "1-" * 50_000)
+    assert time.process_time() - began < 60
+
+
+@pytest.mark.parametrize("size", [0, 32 << 20])
+def test_columns_of_clashing_names_are_kept(spark, monkeypatch, size):
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", size)
+    rows = [(i, f"call zorro{i % 3} at a{i % 3}@b.org now {i}", i, -i, "x") for i in range(40)] + [(None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __terms long, __key long, id string")
+    got = pii.sanitise(docs)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert len(rows) == 41 and all((r["__terms"], r["__key"], r.id) == (r.doc_id, -r.doc_id, "x") for r in rows if r.doc_id is not None)
+    assert all("@" not in r.text for r in rows if r.text)
+    assert pii.find(docs, id_col="__key").columns[0] == "__key"
