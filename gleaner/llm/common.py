@@ -46,6 +46,7 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     _FOLDERS.append(path)
+    spark.sparkContext._jvm.System.gc()  # what the driver no longer refers to, shuffle files among it, is cleaned on all machines
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -23,7 +23,6 @@ pieces, each window lying in one. A null doc_id is a value like any other. Other
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections import Counter
 from collections.abc import Iterator
 
@@ -114,12 +113,13 @@ def _anchors(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, inside: np
     return np.searchsorted(starts, every, "right") - 1, every, h[every], *ranges
 
 
-def packed_reach(anchor: int, ranges: list[int]) -> int:
+def packed_reach(anchor: np.ndarray, ranges: list[np.ndarray]) -> np.ndarray:
     """Both ranges as distances before the anchor, 9 bits each; 511 where there is none."""
-    f, l, g, m = ranges
-    a, b = (anchor - f, anchor - l) if l >= f else (511, 511)
-    c, d = (anchor - g, anchor - m) if m >= g else (511, 511)
-    return a | b << 9 | c << 18 | d << 27
+    out = np.zeros(len(anchor), np.int64)
+    for k, (first, last) in enumerate(zip(ranges[::2], ranges[1::2], strict=True)):
+        some = last >= first
+        out |= np.where(some, (anchor - first) | (anchor - last) << 9, 511 | 511 << 9) << 18 * k
+    return out
 
 
 def reach_of(packed: int) -> list[tuple[int, int] | None]:
@@ -134,8 +134,8 @@ def context_bounds(packed: int, spans: tuple[int, int]) -> tuple[int, int]:
     return min(a for a, _ in both), max(b for _, b in both)
 
 
-def anchors_of(many: list[bytes], spans: tuple[int, int] = (SPAN, PASSAGE), gram: int = GRAM) -> list[tuple]:
-    """(text, anchor, reach, anchor hash, context digest in two halves), places in bytes of each text."""
+def anchors_of(many: list[bytes], spans: tuple[int, int] = (SPAN, PASSAGE), gram: int = GRAM) -> list[np.ndarray]:
+    """Of each anchor: text, place in it, reach, hash, context digest in two halves."""
     pieces: list[list[tuple[int, int, bytes, int]]] = [[]]
     size, step = 0, _PIECE - spans[0] + 1
     for k, data in enumerate(many):
@@ -154,15 +154,17 @@ def anchors_of(many: list[bytes], spans: tuple[int, int] = (SPAN, PASSAGE), gram
             continue
         joined = b"".join(p[2] for p in piece)
         offsets = offsets_of([len(p[2]) for p in piece])
-        found = _anchors(np.frombuffer(joined, np.uint8), offsets[:-1], np.diff(offsets), np.array([p[3] for p in piece]), spans, gram)
-        text, anchor, key, *ranges = found
-        for t, c, h, *r in zip(text.tolist(), anchor.tolist(), key.view(np.int64).tolist(), *(x.tolist() for x in ranges), strict=True):
-            reach = packed_reach(c, r)
-            low, high = context_bounds(reach, spans)
-            digest = hashlib.blake2b(joined[c + low : c + high], digest_size=16, salt=struct.pack("<Q", reach))
-            k, at, _, _ = piece[t]
-            out.append((k, c - int(offsets[t]) + at, reach, h, *struct.unpack("<qq", digest.digest())))
-    return out
+        begins = np.array([p[1] for p in piece], np.int64) - offsets[:-1]
+        text, anchor, key, *ranges = _anchors(np.frombuffer(joined, np.uint8), offsets[:-1], np.diff(offsets), np.array([p[3] for p in piece]), spans, gram)
+        reach = packed_reach(anchor, ranges)
+        low = np.minimum(*(np.where(last >= first, first, len(joined)) for first, last in (ranges[:2], ranges[2:])))
+        high = np.maximum(*(np.where(last >= first, last + s, 0) for s, (first, last) in zip(spans, (ranges[:2], ranges[2:]), strict=True)))
+        view, digest = memoryview(joined), hashlib.blake2b
+        digests = [digest(view[a:b], digest_size=16, salt=r.to_bytes(8, "little")).digest() for a, b, r in zip(low.tolist(), high.tolist(), reach.tolist(), strict=True)]
+        halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).T
+        owner = np.array([p[0] for p in piece], np.int64)[text]
+        out.append((owner, anchor + begins[text], reach, key.view(np.int64), *halves))
+    return [np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)]) for k in range(6)]
 
 
 def suffix_order(hashes: PrefixHashes, data: np.ndarray, group: np.ndarray, place: np.ndarray, most: np.ndarray, leftward: bool) -> np.ndarray:
@@ -266,15 +268,14 @@ def repeated_windows(contexts: list[bytes], anchor: list[int], group: list[int],
     return out
 
 
-def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def merged_spans(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
     """Union of half-open stretches, touching ones joined."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    if not len(first):
+        return []
+    order = np.argsort(first, kind="stable")
+    first, reached = first[order], np.maximum.accumulate(last[order])
+    new = np.flatnonzero(np.concatenate([[True], first[1:] > reached[:-1]]))
+    return list(zip(first[new].tolist(), reached[np.append(new[1:] - 1, len(first) - 1)].tolist(), strict=True))
 
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,10 +305,9 @@ def spans(df: DataFrame, span: int = SPAN, passage: int = PASSAGE, gram: int = G
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in slices(big, "text", 4 << 20):
-                found = anchors_of([t.encode() for t in texts(batch.column(0))], both, gram)
-                cols = list(zip(*found, strict=True)) or [()] * 6
-                at = pa.array(cols[0], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], ["did", "th", "anchor", "reach", "akey", "c1", "c2"])
+                owner, anchor, *rest = anchors_of([t.encode() for t in texts(batch.column(0))], both, gram)
+                at = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array(anchor.astype(np.int32)), *map(pa.array, rest)], ["did", "th", "anchor", "reach", "akey", "c1", "c2"])
 
     found = written(rows.select("text", "did", "th").mapInArrow(anchors, "did long, th long, anchor int, reach long, akey long, c1 long, c2 long"))
     same = ["akey", "c1", "c2"]
@@ -401,10 +401,16 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in slices(big, "packed", 4 << 20):
+                wanted = batch.column(2)
+                ends, stretches = offsets_of(pa.compute.list_value_length(wanted).fill_null(0).to_numpy(zero_copy_only=False)), wanted.flatten()
+                level, first, last = (pa.compute.struct_field(stretches, i).to_numpy(zero_copy_only=False) for i in range(3))
                 rows = []
-                for doc, packed, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for doc, packed, s, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     data = _opened(packed)
-                    gone, passages = (merged_spans([(x["a"], x["b"]) for x in wanted or () if x["level"] == level]) for level in (0, 1))
+                    if s == e:
+                        rows.append((doc, len(data), 0, 0, data, []))
+                        continue
+                    gone, passages = (merged_spans(first[s:e][level[s:e] == k], last[s:e][level[s:e] == k]) for k in (0, 1))
                     edges = [0, *(p for s in gone for p in s), len(data)]
                     rows.append((doc, len(data), sum(b - a for a, b in gone), len(gone), b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), [{"start": a, "end": b} for a, b in passages]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)

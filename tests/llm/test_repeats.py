@@ -83,7 +83,7 @@ def test_long_text_in_pieces():
     data = bytes(rng.randrange(256) for _ in range(r._PIECE + 5000))
     found = r.anchors_of([b"x" * 10, data])
     for level, span in enumerate((r.SPAN, r.PASSAGE)):
-        windows = sorted((c - a, c - b) for _, c, reach, *_ in found for a, b in [r.reach_of(reach)[level] or (0, 1)] if a >= b)
+        windows = sorted((c - a, c - b) for c, reach in zip(found[1].tolist(), found[2].tolist(), strict=True) for a, b in [r.reach_of(reach)[level] or (0, 1)] if a >= b)
         assert windows[0][0] == 0 and windows[-1][1] == len(data) - span
         assert all(b + 1 == c for (_, b), (c, _) in zip(windows, windows[1:], strict=False))
 
