@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from gleaner.llm.common import slices, texts, written
+from gleaner.llm.common import fresh, slices, texts, written
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -75,8 +75,10 @@ def fingerprints_of(many: list[str], shingle: int = SHINGLE_WORDS) -> np.ndarray
 
 
 def with_fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "fp", shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """All columns of ``df`` and the fingerprint as a signed 64-bit number."""
+    """All columns of ``df`` and the fingerprint as a signed 64-bit number; ``out_col`` must be a new name."""
     names = df.columns
+    if fresh(df, out_col) != out_col:
+        raise ValueError(f"there is a column {out_col} already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -111,10 +113,10 @@ def links(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     return pairs.unionByName(spokes).distinct()
 
 
-def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, label: the smallest node reachable. Stars alternate until nothing changes; a node without edges is absent."""
+def component_labels(edges: DataFrame) -> DataFrame:
+    """node, label: the smallest node reachable. Stars alternate until nothing changes, as often as it takes; a node without edges is absent."""
     seen, edges = None, written(edges.select("a", "b"))
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.selectExpr("b AS a", "a AS b"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").selectExpr("m AS a", "b").where("a != b").distinct()
@@ -126,7 +128,6 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == seen:
             return edges.selectExpr("b AS node", "a AS label").unionByName(edges.selectExpr("a AS node", "a AS label").distinct())
         seen = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def _labelled(ids: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
@@ -157,16 +158,17 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """The rows of ``df`` that bear the smallest id of their component, one row for each component.
 
     Components are told apart by their fingerprints, as ids may be null or repeat. Of a component's rows that repeat this
-    id, the one with the smallest hash of its text stays. Columns of any name are kept.
+    id, the one with the smallest hash of its text stays. Columns of any name are kept as they are.
     """
-    keyed = with_fingerprint(df, text_col, "__fp", shingle)
-    ids = written(keyed.select(F.col(f"`{id_col}`").alias("doc_id"), F.col("__fp").alias("fp"), F.xxhash64(F.col(f"`{text_col}`")).alias("tie")))
+    texts_ = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("tie"))
+    ids = written(with_fingerprint(texts_, "text", "fp", shingle).select("doc_id", "fp", "tie"))
     kept = ids.join(_named(_labelled(ids.select("doc_id", "fp"))), "fp").where("doc_id <=> component_id")
     kept = kept.groupBy("label").agg(F.min(F.struct("tie", "doc_id")).alias("k"), F.count("*").alias("n"))
-    kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.tie").alias("__tie"), F.col("n").alias("__n"))
-    rows = df.withColumn("__t", F.xxhash64(F.col(f"`{text_col}`")))
-    joined = rows.join(kept, rows[f"`{id_col}`"].eqNullSafe(kept["__id"]) & (rows["__t"] == kept["__tie"]))
+    of_id, of_tie, count, tie = (fresh(df, n) for n in ("kept_id", "kept_tie", "kept_n", "tie"))
+    kept = kept.select(F.col("k.doc_id").alias(of_id), F.col("k.tie").alias(of_tie), F.col("n").alias(count))
     names = [F.col(f"`{n}`") for n in df.columns]
-    alone = joined.where("__n = 1").select(*names)
-    repeated = joined.where("__n > 1").dropDuplicates(["__id", "__tie"]).select(*names)
+    rows = df.withColumn(tie, F.xxhash64(F.col(f"`{text_col}`")))
+    joined = rows.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(of_id)) & (F.col(tie) == F.col(of_tie)))
+    alone = joined.where(F.col(count) == 1).select(*names)
+    repeated = joined.where(F.col(count) > 1).dropDuplicates([of_id, of_tie]).select(*names)
     return alone.unionByName(repeated)

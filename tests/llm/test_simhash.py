@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from gleaner.llm import simhash
@@ -82,3 +83,15 @@ def test_one_stays_of_each_component_whatever_its_ids(spark):
     rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (7, d.upper()), (5, c)]
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.text) for r in kept) == [("5", d), ("5", c), ("None", a), ("None", b)]
+
+
+def test_null_ids_and_clashing_names(spark):
+    words = ["alpha beta gamma delta epsilon zeta eta theta", "iota kappa lambda mu nu xi omicron pi", "rho sigma tau upsilon phi chi psi omega"]
+    rows = [(None, t, k, k, -k, "x", "y") for k, t in enumerate(words)] + [(5, words[0], 7, 7, -7, "x", "y"), (5, words[0], 7, 7, -7, "x", "y"), (6, "one two three four five six seven", 8, 8, -8, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __t long, __fp long, tie long, kept_id string, FP string")
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    rows = sorted((r.text, r["__t"], r["__fp"], r.tie) for r in got.collect())
+    assert rows == sorted([(words[0], 7, 7, -7), (words[1], 1, 1, -1), (words[2], 2, 2, -2), ("one two three four five six seven", 8, 8, -8)])
+    with pytest.raises(ValueError, match="already"):
+        simhash.with_fingerprint(docs)
