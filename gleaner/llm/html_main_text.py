@@ -3,8 +3,12 @@
 The standard library's parser streams events; they are cut into lines at block elements. A line's ratio is its
 text outside links over the tags it took, nothing for lines in menus, headers, footers, sidebars, notices, adverts, forms and
 comments, which elements and their class, id and role names tell. The ratios are smoothed by a Gaussian and
-clustered by a threshold, a share of their standard deviation: lines above it are content. A content line brings in the other lines of its
-article, or of its innermost container where the page has no article, so that headings and short paragraphs stay.
+clustered by a threshold, a share of their standard deviation: lines above it are content. Content lines choose the regions: their
+articles, or their innermost containers where the page has no article. A region's other lines stay, headings and short paragraphs,
+but for those that are neither near content by their smoothed ratio nor mostly text outside links.
+
+A form around an article is no form of its own, nor is one around all the text of a page. Of an article's own header the
+headings stay.
 
 Cases: null or empty html, and pages without text, give the empty string. Unclosed or crossed tags, unfinished references and
 text without any markup are read as they stand. Any length is parsed whole, in linear time. Repeated rows give repeated
@@ -14,6 +18,7 @@ results; other columns are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -41,7 +46,10 @@ _BLOCKS = _CONTAINERS | _BOILER | frozenset("html p h1 h2 h3 h4 h5 h6 li dl dt d
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements that end where the next block of their kind begins.
 _SELF_ENDING = frozenset("p li dt dd option".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: How sure it is that an element is no article text: not, a form, a header of an article, else.
+_PLAIN, _FORM, _HEADER, _OTHER = range(4)
 
 
 class Lines(HTMLParser):
@@ -49,8 +57,9 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, int, bool]] = []
-        self.stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]  # tag, container, article, boilerplate
+        self.lines: list[tuple[str, int, int, int, int, int]] = []
+        self.stack: list[tuple[str, int, int, int]] = [("", 0, 0, _PLAIN)]  # tag, container, article, boilerplate
+        self.open: Counter[str] = Counter()
         self.made = self.tags = self.linked = self.anchors = 0
         self.text: list[str] = []
 
@@ -62,37 +71,51 @@ class Lines(HTMLParser):
             self.tags = 0
         self.text, self.linked = [], 0
 
+    def push(self, tag: str, container: int, article: int, boiler: int) -> None:
+        self.stack.append((tag, container, article, boiler))
+        self.open[tag] += 1
+
+    def pop(self) -> str:
+        tag = self.stack.pop()[0]
+        self.open[tag] -= 1
+        return tag
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         block = tag in _BLOCKS
         if block:
             self.cut()
-            if self.stack[-1][0] in _SELF_ENDING:
-                self.stack.pop()
+            if self.stack[-1][0] in _SELF_ENDING or tag in _HEADINGS and self.stack[-1][0] in _HEADINGS:
+                self.pop()
             if tag in ("body", "main"):  # ends whatever was left open before it
                 while self.stack[-1][0] in _BOILER:
-                    self.stack.pop()
+                    self.pop()
         self.tags += 1
         if tag == "a":
             self.anchors += 1
         if tag in _VOID:
             return
         _, container, article, boiler = self.stack[-1]
-        marked = tag in _BOILER
-        if attrs and not marked and tag not in ("html", "body", "main", "article"):
+        own = _PLAIN
+        if tag in _BOILER:
+            own = _FORM if tag == "form" else _HEADER if tag == "header" and article else _OTHER
+        elif attrs and tag not in ("html", "body", "main", "article"):
             for name, value in attrs:
                 if value and name in ("class", "id", "role") and any(w.lower() in _MARKS for w in _NAME.findall(value)):
-                    marked = True
+                    own = _OTHER
                 elif name == "hidden" or name == "aria-hidden" and value == "true":
-                    marked = True
+                    own = _OTHER
         if tag in _CONTAINERS:
             self.made += 1
             container = self.made
             if tag in ("article", "main"):
                 article = self.made
-        if marked or tag in _CONTAINERS:
+                boiler = _PLAIN if boiler == _FORM else boiler
+        if tag in _HEADINGS and boiler == _HEADER and own == _PLAIN:
+            self.push(tag, container, article, _PLAIN)
+        elif own or tag in _CONTAINERS:
             if not block:
                 self.cut()
-            self.stack.append((tag, container, article, boiler or marked))
+            self.push(tag, container, article, max(boiler, own))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -104,12 +127,11 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag == "a":
             self.anchors = max(0, self.anchors - 1)
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == tag:
-                self.cut()
-                del self.stack[i:]
-                return
-        if block:
+        if self.open[tag]:
+            self.cut()
+            while self.pop() != tag:
+                pass
+        elif block:
             self.cut()
 
     def handle_data(self, data: str) -> None:
@@ -135,22 +157,33 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    boiler = np.array([x[5] for x in lines])
+    kind = np.array([x[5] for x in lines])
+    boiler = kind != _PLAIN
+    if boiler.all():  # a form around everything
+        boiler = kind != _FORM
     if boiler.all():
         return ""
-    ratio = np.array([0.0 if x[5] else max(0, len(x[0]) - x[2]) / max(1, x[1]) for x in lines])
+    free = np.array([max(0, len(x[0]) - x[2]) for x in lines])
+    ratio = np.where(boiler, 0.0, free / np.maximum(1, [x[1] for x in lines]))
     level = smoothed(ratio)
-    content = (level >= SPREAD * level.std()) & ~boiler & (ratio > 0)
-    articles = {x[4] for x in lines if x[4] and not x[5]}
-    if articles:  # regions compete as articles
-        chosen = {lines[i][4] for i in np.flatnonzero(content)} & articles
-        if not chosen:
-            chosen = {max(articles, key=lambda a: sum(len(x[0]) for x in lines if x[4] == a and not x[5]))}
-        return " ".join(x[0] for x in lines if x[4] in chosen and not x[5])
-    if not content.any():
-        content = ~boiler
-    chosen = {lines[i][3] for i in np.flatnonzero(content)}
-    return " ".join(x[0] for x in lines if x[3] in chosen and not x[5])
+    near = level >= SPREAD * level.std()
+    content = near & ~boiler & (ratio > 0)
+    # lines of a region that are far from content stay where they are mostly text of their own
+    kept = ~boiler & (near | (2 * free >= np.array([len(x[0]) for x in lines])))
+    articles = {x[4] for x, b in zip(lines, boiler, strict=True) if x[4] and not b}
+    place = 4 if articles else 3  # regions compete as articles, else as containers
+    sizes: Counter[int] = Counter()
+    for x, b, c in zip(lines, boiler, content, strict=True):
+        if not b:
+            sizes[x[place]] += len(x[0]) if c else 0
+    regions = articles or set(sizes)
+    chosen = {r for r in regions if sizes[r]}
+    if not chosen:  # no line stands out
+        whole: Counter[int] = Counter()
+        for x, b in zip(lines, boiler, strict=True):
+            whole[x[place]] += 0 if b else len(x[0])
+        chosen, kept = ({max(sorted(regions), key=whole.__getitem__)} if articles else regions), ~boiler
+    return " ".join(x[0] for x, k in zip(lines, kept, strict=True) if k and x[place] in chosen)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
