@@ -5,8 +5,8 @@ neighbouring diagonals. The q-grams of all items are indexed; each document's q-
 as wide as two edit budgets, each overlapping half of the next, and the bands that reach the bound are verified by a banded
 alignment of the whole item with the region. Text is compared in lower case with runs of white space as one space.
 
-The items are broadcast as an index in blocks of ``BLOCK_CHARS``, one pass over the documents for each block, so
-that an index of any total size fits; benchmarks of usual size are one block.
+The items are broadcast as an index in blocks of about ``BLOCK_CHARS`` characters, at most twice as many but for a single longer item, one pass over the documents
+for each block, so that an index of any total size fits; benchmarks of usual size are one block.
 
 Cases: null and empty texts hold nothing. An item shorter than ``MIN_CHARS`` has too few q-grams for edits and is searched
 verbatim, as whole words; a null one and one of white space are ignored. Part of an item is not searched. Repeated items
@@ -33,7 +33,7 @@ EDIT_RATE = 0.06
 #: Items under this size are searched verbatim.
 MIN_CHARS = 40
 #: Characters of items in one broadcast index.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 4 << 20
 _APART = 0x1C  # white space, so no normal text holds it
 _WORD = re.compile(r"\S+")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -104,11 +104,11 @@ class Index:
         for k, t in enumerate(self.texts):
             h = gram_hashes(points_of([t])[0])
             grams.append(h)
-            owner.append(np.full(len(h), k))
-            place.append(np.arange(len(h)))
+            owner.append(np.full(len(h), k, np.int32))
+            place.append(np.arange(len(h), dtype=np.int32))
         h = np.concatenate([np.zeros(0, np.uint64), *grams])
         order = np.argsort(h, kind="stable")
-        self.owner, self.place = (np.concatenate([np.zeros(0, np.int64), *x])[order] for x in (owner, place))
+        self.owner, self.place = (np.concatenate([np.zeros(0, np.int32), *x])[order] for x in (owner, place))
         self.grams, first = np.unique(h[order], return_index=True)
         self.first = np.append(first, len(h)).astype(np.int64)
         self.shift = np.uint64(64 - max(16, min(26, int(len(self.grams) * 64).bit_length())))
@@ -126,7 +126,7 @@ class Index:
         at, found = at[real], found[real]
         n = self.first[found + 1] - self.first[found]
         hit = spans_index(self.first[found], n)
-        item, at = self.owner[hit], np.repeat(at, n)
+        item, at = self.owner[hit].astype(np.int64), np.repeat(at, n)
         doc = np.searchsorted(starts, at, "right") - 1
         width = np.maximum(1, self.budget[item])
         shift = int(self.sizes.max()) if len(self.sizes) else 0
@@ -229,8 +229,14 @@ def indexes(bench: DataFrame, item_col: str = "item_id", text_col: str = "text",
     items = bench.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
+    while True:  # twice as many until each one fits, unless it is one item
+        block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+        sizes = items.groupBy(block.alias("b")).agg(F.sum(F.length("text")).alias("n"), F.count_distinct("item_id", "text").alias("k")).where(f"n > {2 * block_chars} AND k > 1")
+        if blocks == 1 or sizes.isEmpty():
+            break
+        blocks *= 2
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        rows = items.where(block == b).collect()
         yield bench.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text) for r in sorted(rows, key=lambda r: (r.item_id is None, r.item_id or 0))], rate))
 
 

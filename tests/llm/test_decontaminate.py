@@ -1,5 +1,8 @@
+import os
 import random
 
+import pytest
+
 from gleaner.llm import decontaminate as d
 
 
@@ -94,3 +97,31 @@ def test_tables(spark):
         assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [10, 12, 13]
     assert d.find(docs, bench.limit(0)).collect() == [] == d.find(docs.limit(0), bench).collect()
     assert d.clean(docs, bench.limit(0)).count() == 6
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/benchmark.parquet"), reason="no test tables")
+def test_recall_on_edited_items_of_the_tables(spark):
+    """Items of the tables with up to half the allowed edits, put into documents: at least 0.95 of them are found, and nothing else."""
+    rng = random.Random(41)
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in bench.collect() if r.text and len(d.normal(r.text)) >= d.MIN_CHARS][:150]
+    rows = []
+    for k, (i, text) in enumerate(items):
+        edited = list(text)
+        for _ in range(int(d.EDIT_RATE * len(text) / 2)):
+            at = rng.randrange(len(edited))
+            edited[at] = rng.choice(["", "x", edited[at] + "y"])
+        rows.append((k, "some words before it " + "".join(edited) + " and some after"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in d.find(docs, bench).collect()}
+    hit = sum((k, i) in found for k, (i, _) in enumerate(items))
+    assert hit >= 0.95 * len(items)
+
+
+def test_blocks_of_items_find_the_same(spark):
+    rng = random.Random(42)
+    items = [(i, " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(rng.randint(8, 40)))) for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"x y {t} z") for i, t in items], "doc_id long, text string")
+    one, many = (sorted(map(tuple, d.find(docs, bench, block_chars=n).collect())) for n in (10**6, 3000))
+    assert one == many and len(one) >= 40
