@@ -9,12 +9,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from gleaner.errors import GleanerError
 from gleaner.functions import text as T
 
 
@@ -28,6 +33,21 @@ class ExtractOptions:
     per_window_quota: int | None = None  # 0 and None: no quota
     nfkc: bool = False  # compatibility normalisation in Python, for texts that need it
 
+    def __post_init__(self) -> None:
+        if self.window_chars < 1 or not 0 <= self.min_words <= self.max_words or self.max_words < 1:
+            raise GleanerError("validation", "window_chars and max_words must be positive, min_words between 0 and max_words")
+        if not 0 <= self.jaccard_threshold <= 1:
+            raise GleanerError("validation", "jaccard_threshold must be from 0 to 1")
+        if (self.target_count or 0) < 0 or (self.per_window_quota or 0) < 0:
+            raise GleanerError("validation", "target_count and per_window_quota cannot be negative")
+
+
+def options(settings: dict) -> ExtractOptions:
+    """Options from settings as they come from JSON; names that are none are refused."""
+    if unknown := set(settings) - {f.name for f in fields(ExtractOptions)}:
+        raise GleanerError("validation", f"unknown settings: {', '.join(sorted(unknown))}")
+    return ExtractOptions(**settings)
+
 
 # Fixed value: a run without terminators, its terminators, then closing marks and white space, or the end.
 _SENTENCE = re.compile(r"""[^.!?]+[.!?]+(?=(?:[\\"')\]]*\s+)|$)""")
@@ -91,17 +111,59 @@ def sentences(df: DataFrame, size: int = 3500) -> DataFrame:
     return segment(df, size).selectExpr("doc_id", "inline(sentences)")
 
 
+#: Characters times sentences up to which each sentence is looked for by itself.
+_SMALL = 1 << 22
+
+
+def occurrences_of(text: str, sentences: list[str]) -> list[int]:
+    """One more than the places of each sentence that do not overlap, 0 for an empty one; long texts are read once, whatever the number of sentences."""
+    if len(text) * len(sentences) <= _SMALL:
+        return [text.count(s) + 1 if s else 0 for s in sentences]
+    automaton = ahocorasick.Automaton()
+    for s in set(sentences) - {""}:
+        automaton.add_word(s, s)
+    if not len(automaton):
+        return [0] * len(sentences)
+    automaton.make_automaton()
+    count, done = {"": 0}, {}
+    for last, s in automaton.iter(text):
+        if last - len(s) + 1 >= done.get(s, 0):
+            done[s] = last + 1
+            count[s] = count.get(s, 1) + 1
+    return [count.get(s, 1) for s in sentences]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of doc_id, n_chars, comparison form and sentences become a row a sentence, with the times it occurs."""
+    for b in batches:
+        lists = b.column(3)
+        size = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+        parts = lists.flatten()
+        doc = pa.array(np.repeat(np.arange(b.num_rows), size))
+        columns = [pc.struct_field(parts, i) for i in range(parts.type.num_fields)]
+        canon = columns[4].to_pylist()
+        occ, at = [], 0
+        for text, n in zip(b.column(2).to_pylist(), size.tolist(), strict=True):
+            occ += occurrences_of(text or "", canon[at : at + n])
+            at += n
+        yield pa.RecordBatch.from_arrays([b.column(0).take(doc), b.column(1).take(doc), *columns, pa.array(occ, pa.int64())], ["doc_id", "n_chars", "win", "start", "end", "text", "canon", "wc", "occ"])
+
+
 def candidates(df: DataFrame, opts: ExtractOptions = ExtractOptions()) -> DataFrame:
-    """doc_id, n_chars, win, start, end, text, canon, occ, wc, imp, score, q of the sentences in the word band."""
+    """doc_id, n_chars, win, start, end, text, canon, wc, occ, imp, score, q of the sentences in the word band."""
     docs = segment(df, opts.window_chars).withColumn("n_chars", F.length("text"))
     docs = docs.withColumn("doc_canon", T.canon_column("text", opts.nfkc))
     if opts.nfkc:
         flat = docs.selectExpr("doc_id", "n_chars", "doc_canon", "inline(sentences)").withColumn("canon", T.canon_column("text", True))
+        flat = flat.withColumn("wc", F.expr(T.words("canon"))).where(F.col("wc").between(opts.min_words, opts.max_words))
+        flat = flat.withColumn("occ", F.expr(T.occurrences("doc_canon", "canon"))).drop("doc_canon")
     else:
         inner = f"transform(sentences, s -> named_struct('win', s.win, 'start', s.start, 'end', s.end, 'text', s.text, 'canon', {T.canon('s.text')}))"
-        flat = docs.selectExpr("doc_id", "n_chars", "doc_canon", f"inline({inner})")
-    flat = flat.withColumn("wc", F.expr(T.words("canon"))).where(F.col("wc").between(opts.min_words, opts.max_words))
-    flat = flat.withColumn("occ", F.expr(T.occurrences("doc_canon", "canon"))).withColumn("imp", F.expr(T.imperative("canon"))).drop("doc_canon")
+        worded = f"transform({inner}, s -> named_struct('win', s.win, 'start', s.start, 'end', s.end, 'text', s.text, 'canon', s.canon, 'wc', {T.words('s.canon')}))"
+        banded = f"filter({worded}, s -> s.wc BETWEEN {opts.min_words} AND {opts.max_words})"
+        kind = df.schema["doc_id"].dataType.simpleString()
+        flat = docs.selectExpr("doc_id", "n_chars", "doc_canon", f"{banded} AS sentences").mapInArrow(_counted, f"doc_id {kind}, n_chars int, win int, start int, end int, text string, canon string, wc int, occ long")
+    flat = flat.withColumn("imp", F.expr(T.imperative("canon")))
     flat = flat.withColumn("score", F.expr(T.score("occ", "start", "n_chars", "wc", opts.max_words, "imp")))
     return flat.withColumn("q", F.expr(T.quant("score")))
 
@@ -119,16 +181,62 @@ def exact_dedup(c: DataFrame) -> DataFrame:
     return c.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def collapse_near(c: DataFrame, threshold: float) -> DataFrame:
-    """In text order, drop what is as similar as ``threshold`` to the last one kept: a fold over each document's own sentences."""
-    fields = [x for x in c.columns if x != "doc_id"]
-    item = F.struct("start", "text", *(F.col(x) for x in fields if x not in ("start", "text")), F.expr(T.trigrams("canon")).alias("_g"))
-    lists = c.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    similar = T.jaccard("acc.g", "xs[i]._g")
-    step = f"IF(size(acc.k) > 0 AND {similar} >= {threshold}D, acc, named_struct('k', concat(acc.k, array(i)), 'g', xs[i]._g))"
-    fold = f"aggregate(sequence(0, size(xs) - 1), named_struct('k', CAST(array() AS ARRAY<INT>), 'g', CAST(array() AS ARRAY<STRING>)), (acc, i) -> {step}).k"
-    kept = lists.selectExpr("doc_id", f"inline(transform({fold}, k -> xs[k]))")
-    return kept.select("doc_id", *fields)
+def _grams(canon: str) -> set[str]:
+    return {canon[i : i + 3] for i in range(len(canon) - 2)}
+
+
+def _alike(a: set[str], b: set[str]) -> float:
+    shared = len(a & b)
+    return shared / (len(a) + len(b) - shared) if a or b else 1.0
+
+
+def collapse_near(c: DataFrame, threshold: float, ranked: bool = False, dealt: bool = False) -> DataFrame:
+    """In text order, drop what is as similar as ``threshold`` to the last one kept of its document.
+
+    One pass over sorted partitions that holds one document's sentences at a time. ``ranked``: with the ``rank`` of those kept, as
+    ``rank_units`` gives it. ``dealt``: the rows of a document are in one partition already.
+    """
+    place = {n: c.columns.index(n) for n in ("doc_id", "start", "win", "canon", "q")}
+
+    def judged(rows: pa.RecordBatch) -> pa.RecordBatch:
+        keep, owner, last, doc = [], [], set(), object()
+        for d, canon in zip(rows.column(place["doc_id"]).to_pylist(), rows.column(place["canon"]).to_pylist(), strict=True):
+            grams, first = _grams(canon), d != doc
+            kept = first or _alike(last, grams) < threshold
+            if kept:
+                last, doc = grams, d
+            keep.append(kept)
+            owner.append(len(owner) and owner[-1] + int(first))
+        out = rows.filter(pa.array(keep, pa.bool_()))
+        if not ranked:
+            return out
+        owner = np.array(owner, np.int64)[np.array(keep, bool)]
+        win, start, q = (out.column(place[n]).to_numpy(zero_copy_only=False) for n in ("win", "start", "q"))
+        order = np.lexsort((start, win, -q, owner))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order)) - np.searchsorted(owner[order], owner[order], "left") + 1
+        return pa.RecordBatch.from_arrays([*out.columns, pa.array(rank)], [*out.schema.names, "rank"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            docs = b.column(place["doc_id"])
+            last = docs[-1].as_py()
+            cut = b.num_rows
+            while cut and docs[cut - 1].as_py() == last:
+                cut -= 1
+            if cut or held and held[-1].column(place["doc_id"])[-1].as_py() != last:  # what was held is whole now
+                yield judged(pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks().to_batches()[0])
+                held = []
+            held.append(b.slice(cut))
+        if held:
+            yield judged(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    schema = StructType([*c.schema.fields, *([StructField("rank", IntegerType())] if ranked else [])])
+    rows = c if dealt else c.repartition("doc_id")
+    return rows.sortWithinPartitions("doc_id", "start", "text").mapInArrow(run, schema)
 
 
 def rank_units(c: DataFrame) -> DataFrame:
@@ -138,16 +246,21 @@ def rank_units(c: DataFrame) -> DataFrame:
 def extract_units(df: DataFrame, opts: ExtractOptions = ExtractOptions()) -> DataFrame:
     """doc_id, id, text, start, end, score, win, rank of the units kept. ``df``: doc_id, text; blank texts give none."""
     c = candidates(df, opts).repartition("doc_id")  # what follows is grouped by document
-    ranked = rank_units(collapse_near(exact_dedup(window_quota(c, opts.per_window_quota)), opts.jaccard_threshold))
+    ranked = collapse_near(exact_dedup(window_quota(c, opts.per_window_quota)), opts.jaccard_threshold, ranked=True, dealt=True)
     target = F.lit(opts.target_count) if opts.target_count is not None else F.expr(T.target_count("n_chars"))
     return ranked.where(F.col("rank") <= target).select("doc_id", F.expr(T.unit_id("win", "start", "end")).alias("id"), "text", "start", "end", "score", "win", "rank")
 
 
+def transcript_hashes(df: DataFrame) -> DataFrame:
+    """doc_id and the SHA-256 of each text that is not blank."""
+    return df.where(F.col("text").rlike(r"\S")).select("doc_id", F.sha2("text", 256).alias("transcript_hash"))
+
+
 def extract_documents(df: DataFrame, opts: ExtractOptions = ExtractOptions(), include_meta: bool = True) -> DataFrame:
     """One row per document that is not blank: doc_id, transcript_hash, units in text order and, if asked for, meta."""
     unit = F.struct("start", "text", "id", "end", "score", "win")
     grouped = extract_units(df, opts).groupBy("doc_id").agg(F.array_sort(F.collect_list(unit)).alias("units"))
-    out = df.where(F.col("text").rlike(r"\S")).select("doc_id", F.sha2("text", 256).alias("transcript_hash")).join(grouped, "doc_id", "left")
+    out = transcript_hashes(df).join(grouped, "doc_id", "left")
     out = out.withColumn("units", F.coalesce("units", F.array().cast(grouped.schema["units"].dataType)))
     if include_meta:
         meta = {"version": "1", **{k: str(v) for k, v in vars(opts).items()}}

@@ -36,17 +36,31 @@ def with_titles(results: DataFrame, items: DataFrame, key: str = "video_id") ->
 
 
 def run_counters(results: DataFrame, total: int | None = None) -> DataFrame:
-    """One row over (video_id, status, error): counters, progress in percent and the failures."""
+    """One row over (video_id, status, error): counters and progress in percent; ``failures`` has a row for each failure."""
     n = F.lit(total) if total is not None else F.count("*")
     done = F.count_if(F.col("status").isin("completed", "failed", "skipped"))
     return results.agg(
         n.cast("long").alias("total"),
         *(F.count_if(F.col("status") == s).alias(s) for s in ("completed", "failed", "skipped")),
         F.when(n == 0, 100.0).otherwise(done * 100.0 / n).alias("progress"),
-        F.array_sort(F.collect_list(F.when(F.col("status") == "failed", F.struct("video_id", "error")))).alias("errors"),
     )
 
 
+def failures(results: DataFrame) -> DataFrame:
+    """video_id and error of each failed result."""
+    return results.where("status = 'failed'").select("video_id", "error")
+
+
+def fresh(table: DataFrame, name: str) -> str:
+    """``name`` with underscores in front until no column of the table has it."""
+    taken = {c.lower() for c in table.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def latest(table: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The newest row of each key."""
-    return table.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("_rn = 1").drop("_rn")
+    """The newest row of each key; of equally new ones the one with the smallest hash of all its columns."""
+    rn = fresh(table, "rn")
+    newest = Window.partitionBy(*keys).orderBy(F.desc(order), F.xxhash64(*(F.col(f"`{c}`") for c in table.columns)))
+    return table.withColumn(rn, F.row_number().over(newest)).where(f"{rn} = 1").drop(rn)

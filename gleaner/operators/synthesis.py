@@ -95,6 +95,7 @@ def stats(synthesized: DataFrame) -> DataFrame:
     return synthesized.groupBy("type").agg(F.count("*").alias("units"), F.sum(F.size("source_videos")).alias("source_links"))
 
 
+# The page's layout, its headings and labels.
 def unit_markdown(synthesized: DataFrame) -> DataFrame:
     """path and text of each unit's page; units of unknown types have no folder and are left out."""
     dirs = sql_map({k.split("-")[0]: v for k, v in TYPE_DIRS.items()})
@@ -105,12 +106,28 @@ def unit_markdown(synthesized: DataFrame) -> DataFrame:
     return synthesized.where(F.col("type").isin(*TYPE_DIRS)).select(F.expr(f"concat({sql_map(TYPE_DIRS)}[type], '/', id, '.md')").alias("path"), F.expr(lines).alias("value"))
 
 
-def index(synthesized: DataFrame) -> DataFrame:
-    """One row per type: heading with the number of units, and their lines by name; links lead to the real folders."""
-    item = F.struct("name", "id", F.size("source_videos").alias("n"))
-    grouped = synthesized.groupBy("type").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    folder, heading = f"coalesce({sql_map(TYPE_DIRS)}[type], concat(type, 's'))", f"coalesce({sql_map(TYPE_NAMES)}[type], initcap(type))"
-    return grouped.select("type", F.expr(f"concat('## ', {heading}, ' (', size(items), ')')").alias("heading"), F.expr(f"array_join(transform(items, x -> concat('- [', x.name, '](', {folder}, '/', x.id, '.md) - ', x.n, ' source(s)')), '\n')").alias("lines"), F.size("items").alias("n_units"))
+def headings(synthesized: DataFrame) -> DataFrame:
+    """One row per type: its heading in the index, with the number of units."""
+    heading = f"coalesce({sql_map(TYPE_NAMES)}[type], initcap(type))"
+    return synthesized.groupBy("type").agg(F.count("*").alias("n_units")).select("type", F.expr(f"concat('## ', {heading}, ' (', n_units, ')')").alias("heading"), "n_units")
+
+
+def index_lines(synthesized: DataFrame) -> DataFrame:
+    """type, name, id and line of each unit in the index, to be read in this order; links lead to the real folders."""
+    folder = f"coalesce({sql_map(TYPE_DIRS)}[type], concat(type, 's'))"
+    return synthesized.select("type", "name", "id", F.expr(f"concat('- [', name, '](', {folder}, '/', id, '.md) - ', size(source_videos), ' source(s)')").alias("line"))
+
+
+def videos(synthesized: DataFrame) -> DataFrame:
+    """The distinct sources."""
+    return synthesized.select(F.explode("source_videos").alias("video_id")).distinct()
+
+
+def totals(synthesized: DataFrame, analyses: DataFrame | None = None) -> DataFrame:
+    """One row: units, types, distinct sources, and analyses, which counts the rows of a table of analyses and not its distinct sources."""
+    whole = synthesized.agg(F.count("*").alias("units"), F.count_distinct("type").alias("types"), F.sum(F.size("cross_references")).alias("references"))
+    out = whole.crossJoin(videos(synthesized).agg(F.count("*").alias("sources")))  # one row each
+    return out if analyses is None else out.crossJoin(analyses.agg(F.count("*").alias("analyses")))
 
 
 def ordered(units: DataFrame, *by: str) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import formatting as fmt
 from gleaner.functions import text as T
-from gleaner.operators import cost, extract, history, normalize, parse, synthesis
+from gleaner.errors import GleanerError
+from gleaner.operators import analyze, compare, cost, extract, history, normalize, parse, runs, synthesis
 from gleaner.sources import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,21 +127,23 @@ def exact_dedup(spark, d):
 
 _GRAMS = "CASE WHEN length({c}) >= 3 THEN list_distinct(list_transform(generate_series(1, length({c}) - 2), lambda i: substr({c}, i, 3))) ELSE [] END"
 _JACCARD = "CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
-_NEAR = (
+_NEAR_SQL = (
     _DEDUP
     + f""",
 lined AS (SELECT *, {_GRAMS.format(c="canon")} AS g, row_number() OVER (PARTITION BY doc_id ORDER BY start, text) AS rn FROM uniq),
 walk AS (
   SELECT doc_id, rn, g AS last, true AS keep FROM lined WHERE rn = 1
   UNION ALL
-  SELECT l.doc_id, l.rn, CASE WHEN {_JACCARD.format(a="w.last", b="l.g")} >= 0.92 THEN w.last ELSE l.g END, {_JACCARD.format(a="w.last", b="l.g")} < 0.92 FROM walk w JOIN lined l ON l.doc_id = w.doc_id AND l.rn = w.rn + 1),
+  SELECT l.doc_id, l.rn, CASE WHEN {_JACCARD.format(a="w.last", b="l.g")} >= @limit THEN w.last ELSE l.g END, {_JACCARD.format(a="w.last", b="l.g")} < @limit FROM walk w JOIN lined l ON l.doc_id = w.doc_id AND l.rn = w.rn + 1),
 near AS (SELECT l.* FROM lined l JOIN walk w USING (doc_id, rn) WHERE w.keep)"""
 )
+_NEAR = _NEAR_SQL.replace("@limit", "0.92")
+_LOW = 0.2  # sentences of the tables are that much alike
 
 
-@query(f"WITH RECURSIVE {_NEAR} SELECT doc_id, win, start FROM near")
+@query(f"WITH RECURSIVE {_NEAR_SQL.replace('@limit', str(_LOW))} SELECT doc_id, win, start FROM near")
 def near_dup_collapse(spark, d):
-    return extract.collapse_near(extract.exact_dedup(extract.candidates(read(spark, d, "documents"))), 0.92).select("doc_id", "win", "start")
+    return extract.collapse_near(extract.exact_dedup(extract.candidates(read(spark, d, "documents"))), _LOW).select("doc_id", "win", "start")
 
 
 @query(
@@ -174,7 +177,7 @@ def trigram_jaccard(spark, d):
 
 @query("SELECT doc_id, sha256(text) AS transcript_hash FROM documents WHERE regexp_matches(text, '\\S')")
 def text_hash(spark, d):
-    return read(spark, d, "documents").where(F.col("text").rlike(r"\S")).select("doc_id", F.sha2("text", 256).alias("transcript_hash"))
+    return extract.transcript_hashes(read(spark, d, "documents"))
 
 
 # ---- captions, metadata, formats -------------------------------------------------------------------------------
@@ -330,7 +333,29 @@ def status_groups(spark, d):
 @query("SELECT count(*) AS total, count(*) FILTER (WHERE event_type = 'purchase') AS completed, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type = 'view') AS skipped, round(count(*) FILTER (WHERE event_type IN ('purchase', 'error', 'view')) * 100.0::DOUBLE / count(*), 6) AS progress, count(*) FILTER (WHERE event_type = 'error') AS n_errors FROM events")
 def run_progress(spark, d):
     e = read(spark, d, "events").selectExpr("CAST(event_id AS STRING) AS video_id", "CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'skipped' ELSE 'waiting' END AS status", "props AS error")
-    return history.run_counters(e).select("total", "completed", "failed", "skipped", F.round("progress", 6).alias("progress"), F.size("errors").cast("long").alias("n_errors"))
+    return history.run_counters(e).select("total", "completed", "failed", "skipped", F.round("progress", 6).alias("progress"), F.col("failed").alias("n_errors"))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS video_id, props AS error FROM events WHERE event_type = 'error'")
+def run_failures(spark, d):
+    e = read(spark, d, "events").selectExpr("CAST(event_id AS STRING) AS video_id", "IF(event_type = 'error', 'failed', 'completed') AS status", "props AS error")
+    return history.failures(e)
+
+
+@query("SELECT doc_id AS video_id, CASE WHEN doc_id % 7 = 0 THEN 'skipped' WHEN doc_id % 5 IN (0, 3) THEN 'failed' ELSE 'completed' END AS status, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 'not_found' WHEN doc_id % 5 = 3 THEN 'extraction_failed' END AS error, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 3 THEN 3 WHEN doc_id % 5 = 1 THEN 2 ELSE 1 END AS attempts, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 3 THEN 3.0::DOUBLE WHEN doc_id % 5 = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS delay FROM documents")
+def extraction_run(spark, d):
+    """Fetches that always fail, fail once, or are not there; no time is waited."""
+
+    def fetch(video_id, attempt):
+        if video_id % 5 == 0:
+            raise GleanerError("not_found")
+        if video_id % 5 == 3 or video_id % 5 == 1 and attempt == 0:
+            raise RuntimeError("no answer")
+        return f"text of {video_id}"
+
+    items = read(spark, d, "documents").selectExpr("doc_id AS video_id")
+    done = items.where("video_id % 7 = 0").withColumn("status", F.lit("completed"))
+    return runs.run_extraction(items, done, fetch, max_retries=2, jitter=0.0, sleep=lambda s: None).select("video_id", "status", "error", "attempts", "delay")
 
 
 @query("SELECT l.doc_id, coalesce(nullif(d.source, ''), CAST(l.doc_id AS VARCHAR)) AS title FROM labels l LEFT JOIN (SELECT doc_id, min(source) AS source FROM documents GROUP BY doc_id) d USING (doc_id)")
@@ -339,31 +364,32 @@ def result_titles(spark, d):
     return history.with_titles(read(spark, d, "labels").select("doc_id"), items, "doc_id")
 
 
-# ---- ids, references, synthesis (no table holds units, so these run on fixed rows) -----------------------------
+# ---- ids, references, synthesis: units made from the documents, a unit for each type and source ----------------
 
-_IDS = "('a-b'), ('technique-123'), (''), ('abc'), ('-a'), ('a-'), ('a--b'), ('a_b-c'), ('A-b'), ('a-b-c')"
+_CASES = "CASE doc_id % 9 WHEN 0 THEN 'a--b' WHEN 1 THEN '' WHEN 2 THEN source WHEN 3 THEN '-' || source WHEN 4 THEN lang || '-' WHEN 5 THEN lang || '_' || source || '-x' WHEN 6 THEN upper(lang) || '-' || source WHEN 7 THEN lang || '-' || source || '-' || doc_id ELSE lang || '-' || source END"
 
 
-@query(f"SELECT id, regexp_matches(id, '^[a-z0-9]+(-[a-z0-9]+)+$') AS valid FROM (VALUES {_IDS}) v(id)")
+@query(f"SELECT doc_id, regexp_matches({_CASES}, '^[a-z0-9]+(-[a-z0-9]+)+$') AS valid FROM documents")
 def valid_ids(spark, d):
-    return spark.sql(f"SELECT id FROM VALUES {_IDS} AS v(id)").selectExpr("id", f"{fmt.valid_id('id')} AS valid")
+    return read(spark, d, "documents").selectExpr("doc_id", f"{_CASES} AS id").selectExpr("doc_id", f"{fmt.valid_id('id')} AS valid")
 
 
-_UNITS = """(1, 'technique', 'technique-a', 'A', 'Para one\n\nShared  \n\nsee pattern-b and technique-a', 'v1'),
-(2, 'pattern', 'pattern-b', 'B', 'uses technique-a\n\n', 'v1'), (3, 'technique', 'technique-a', 'A2', 'shared\n\nPara two, Pattern-B, use-case-x', 'v2'),
-(4, 'use-case', 'use-case-x', 'X', 'See technique-a', ''), (5, 'issue', 'issue-z', 'Z', '', 'v3')"""
-_UNITS_SQL = _UNITS.replace("\\n", "\n")
-_FIX = f"u(ord, type, id, name, content, source_video_id) AS (VALUES {_UNITS_SQL})"
+_KINDS = ("technique", "pattern", "use-case", "issue", "component")
+_KIND = "CASE {} " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KINDS)) + " END"
+_UNIT = f"""SELECT doc_id AS ord, t AS type, t || '-' || source AS id, source || ' ' || lang AS name,
+  replace(text, chr(10), chr(10) || chr(10)) || chr(10) || chr(10) || 'see ' || t2 || '-src' || doc_id % 23 || ' and ' || t || '-' || source AS content, CASE WHEN doc_id % 11 = 0 THEN '' ELSE lang END AS source_video_id
+  FROM (SELECT *, {_KIND.format('doc_id % 5')} AS t, {_KIND.format('CAST(floor(doc_id / 5) AS BIGINT) % 5')} AS t2 FROM documents)"""
+_FIX = f"u AS ({_UNIT})"
 _REF = r"(?i)\b(?:technique|pattern|use-case|capability|integration|antipattern|component|issue|config|snippet)-[a-z0-9-]+\b"
 
 
-def _units(spark):
-    return spark.sql(f"SELECT * FROM VALUES {_UNITS} AS u(ord, type, id, name, content, source_video_id)")
+def _units(spark, d):
+    return spark.sql(_UNIT.replace("FROM documents", "FROM {documents}"), documents=read(spark, d, "documents"))
 
 
 @query(f"WITH {_FIX} SELECT ord, coalesce(list_aggregate(list_sort(list_filter(list_distinct(regexp_extract_all(content, '{_REF}')), lambda r: r <> id)), 'string_agg', ','), '') AS refs FROM u")
 def cross_refs(spark, d):
-    return _units(spark).selectExpr("ord", f"array_join({fmt.cross_references('content', 'id')}, ',') AS refs")
+    return _units(spark, d).selectExpr("ord", f"array_join({fmt.cross_references('content', 'id')}, ',') AS refs")
 
 
 _MERGED = r"""pieces AS (SELECT id, ord, unnest(string_split(content, chr(10) || chr(10))) AS raw, generate_subscripts(string_split(content, chr(10) || chr(10)), 1) AS pos FROM u),
@@ -378,45 +404,88 @@ s AS (SELECT syn.*, coalesce(merged.content, '') AS content, coalesce(ok.cross_r
 
 @query(f"WITH {_FIX}, {_MERGED} SELECT id, coalesce(content, '') AS content FROM (SELECT DISTINCT id FROM u) LEFT JOIN merged USING (id)")
 def merge_paragraphs(spark, d):
-    return synthesis.merge_paragraphs(_units(spark))
+    return synthesis.merge_paragraphs(_units(spark, d))
 
 
 @query(f"{_SYNTH} SELECT id, type, name, content, source_videos, cross_references FROM s")
 def synthesize_units(spark, d):
-    return synthesis.synthesize(_units(spark)).select("id", "type", "name", "content", F.array_join("source_videos", ",").alias("source_videos"), F.array_join("cross_references", ",").alias("cross_references"))
+    return synthesis.synthesize(_units(spark, d)).select("id", "type", "name", "content", F.array_join("source_videos", ",").alias("source_videos"), F.array_join("cross_references", ",").alias("cross_references"))
 
 
 @query(f"{_SYNTH}, e AS (SELECT id AS src, unnest(string_split(cross_references, ',')) AS dst FROM s) SELECT DISTINCT e.src AS a, e.dst AS b FROM e JOIN e f ON e.src = f.dst AND e.dst = f.src WHERE e.src < e.dst")
 def mutual_refs(spark, d):
-    return synthesis.mutual_references(synthesis.synthesize(_units(spark)))
+    return synthesis.mutual_references(synthesis.synthesize(_units(spark, d)))
 
 
-@query(f"{_SYNTH} SELECT type, CASE type WHEN 'technique' THEN '## Techniques (' WHEN 'pattern' THEN '## Patterns (' WHEN 'use-case' THEN '## Use Cases (' ELSE '## Troubleshooting (' END || count(*) || ')' AS heading, string_agg('- [' || name || '](' || CASE type WHEN 'technique' THEN 'techniques' WHEN 'pattern' THEN 'patterns' WHEN 'use-case' THEN 'use-cases' ELSE 'troubleshooting' END || '/' || id || '.md) - ' || n_sources || ' source(s)', chr(10) ORDER BY name) AS lines, CAST(count(*) AS INT) AS n_units FROM s GROUP BY type")
+_HEADS = "CASE type WHEN 'technique' THEN '## Techniques (' WHEN 'pattern' THEN '## Patterns (' WHEN 'use-case' THEN '## Use Cases (' WHEN 'issue' THEN '## Troubleshooting (' ELSE '## Architecture Components (' END"
+_FOLDERS = "CASE type WHEN 'issue' THEN 'troubleshooting' ELSE type || 's' END"
+
+
+@query(f"{_SYNTH} SELECT type, {_HEADS} || count(*) OVER (PARTITION BY type) || ')' AS heading, name, id, '- [' || name || '](' || {_FOLDERS} || '/' || id || '.md) - ' || n_sources || ' source(s)' AS line FROM s")
 def type_index(spark, d):
-    return synthesis.index(synthesis.synthesize(_units(spark)))
+    syn = synthesis.synthesize(_units(spark, d))
+    return synthesis.index_lines(syn).join(synthesis.headings(syn).select("type", "heading"), "type")
+
+
+@query(f"{_SYNTH} SELECT count(*) AS units, count(DISTINCT type) AS types, CAST(sum(CASE WHEN cross_references = '' THEN 0 ELSE len(string_split(cross_references, ',')) END) AS BIGINT) AS \"references\", (SELECT count(DISTINCT source_video_id) FROM u WHERE source_video_id <> '') AS sources, (SELECT count(*) FROM documents) AS analyses FROM s")
+def synthesis_totals(spark, d):
+    return synthesis.totals(synthesis.synthesize(_units(spark, d)), read(spark, d, "documents"))
 
 
 @query(f"{_SYNTH} SELECT id, name, type, length(content) AS content_length, CAST(len(string_split(content, chr(10) || chr(10))) AS INT) AS paragraph_count FROM s")
 def unit_metadata(spark, d):
-    return synthesis.metadata(synthesis.synthesize(_units(spark))).select("id", "name", "type", "content_length", "paragraph_count")
+    return synthesis.metadata(synthesis.synthesize(_units(spark, d))).select("id", "name", "type", "content_length", "paragraph_count")
 
 
 @query(f"{_SYNTH} SELECT type, count(*) AS units, CAST(sum(n_sources) AS BIGINT) AS source_links FROM s GROUP BY type")
 def synthesis_stats(spark, d):
-    return synthesis.stats(synthesis.synthesize(_units(spark)))
+    return synthesis.stats(synthesis.synthesize(_units(spark, d)))
 
 
 @query()
 def unit_pages(spark, d):
-    return synthesis.unit_markdown(synthesis.synthesize(_units(spark)))
+    return synthesis.unit_markdown(synthesis.synthesize(_units(spark, d)))
 
 
-_ANSWER = "## 1. Techniques Extracted\n\n### Technique: First One\n**ID**: `technique-first`\nBody of it.\n\n### Technique: Second\n**ID**: `technique-second`\nMore text.\n\n## 9. CONFIGURATION RECIPES\n### Configuration: Setup\n**ID**: `config-setup`\nkey = 1\n"
+_BODY = "regexp_replace(text, '[#`]', '', 'g')"
 
 
-@query()
+@query(
+    rf"""SELECT 'technique' AS type, 'technique-' || doc_id AS id, lang || ' ' || source AS name, '### Technique: ' || lang || ' ' || source || chr(10) || '**ID**: `technique-' || doc_id || '`' || chr(10) || regexp_replace({_BODY}, '^\s+|\s+$', '', 'g') AS content, doc_id AS source_video_id, 0 AS section, 0 AS ord FROM documents
+UNION ALL SELECT 'config', 'config-' || doc_id, 'Setup', '### Config: Setup' || chr(10) || '**ID**: `config-' || doc_id || '`' || chr(10) || 'key = ' || n_chars, doc_id, 8, 1 FROM documents
+UNION ALL SELECT 'config', 'config-x' || doc_id, 'First', '### Config: First' || chr(10) || '**ID**: `config-x' || doc_id || '`' || chr(10), doc_id, 8, 0 FROM documents"""
+)
 def parse_units(spark, d):
-    return parse.parse_units(spark.createDataFrame([("v1", _ANSWER)], "video_id string, raw string"))
+    answer = "concat('# Notes\n\n## 1. Techniques Extracted\n\n### Technique: ', lang, ' ', source, '\n**ID**: `technique-', doc_id, '`\n', regexp_replace(text, '[#`]', ''), '\n\n## 77. Unknown\n### Technique: No\n**ID**: `technique-no`\n\n## 9. CONFIGURATION RECIPES\n### Config: First\n**ID**: `config-x', doc_id, '`\n### Config: without id\nx\n### Configuration: Setup\n**ID**: `config-', doc_id, '`\nkey = ', n_chars, '\n')"
+    return parse.parse_units(read(spark, d, "documents").selectExpr("doc_id", f"{answer} AS raw"), "doc_id")
+
+
+_TALK = "t AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id)"
+_FIRST = "coalesce(nullif(trim(left(split_part(text, chr(10), 1), 40)), ''), '(empty)')"
+
+
+@query(f"WITH {_TALK} SELECT conv_id AS doc_id, CAST((length(text) + 25) // 4 AS BIGINT) AS input_tokens, CAST((length('## 1. Techniques Extracted') + 2 + length('### Technique: ' || {_FIRST}) + 1 + length('**ID**: `technique-' || length(text) || '`') + 1) // 4 AS BIGINT) AS output_tokens, {_FIRST} AS name, 'technique-' || length(text) AS id FROM t")
+def transcript_analysis(spark, d):
+    docs = inputs.transcripts(read(spark, d, "conversations"), "conv_id", "turn").selectExpr("conv_id AS doc_id", "transcript AS text")
+    answers, units = analyze.analyze_transcripts(docs, "Template")
+    return answers.join(units.withColumnRenamed("source_video_id", "doc_id"), "doc_id").select("doc_id", "input_tokens", "output_tokens", "name", "id")
+
+
+@query(f"WITH u AS (SELECT conv_id AS doc_id, CAST(turn AS VARCHAR) || chr(9) || text AS line FROM conversations) SELECT doc_id, count(*) AS n_units, sha256(string_agg(line, chr(10) ORDER BY line)) AS units_hash FROM u GROUP BY doc_id")
+def units_hash(spark, d):
+    return compare.unit_hashes(read(spark, d, "conversations").selectExpr("conv_id AS doc_id", "turn AS id", "text"))
+
+
+@query("SELECT count(*) AS documents, round(avg(CASE WHEN h = 1 THEN 1 ELSE 0 END) * 100, 6) AS rate FROM (SELECT source, count(DISTINCT sha256(text)) AS h FROM documents GROUP BY source, lang)")
+def determinism_rate(spark, d):
+    runs_ = read(spark, d, "documents").select(F.concat_ws("/", "source", "lang").alias("doc_id"), F.sha2("text", 256).alias("units_hash"))
+    return compare.determinism_rate(compare.determinism(runs_))
+
+
+@query("WITH n AS (SELECT conv_id, turn FROM conversations), p AS (SELECT conv_id, turn FROM conversations WHERE conv_id % 3 <> 0 AND turn % 2 = 0) SELECT n.conv_id AS doc_id, count(*) AS n_units, (SELECT nullif(count(*), 0) FROM p WHERE p.conv_id = n.conv_id) AS n_prior, (SELECT count(DISTINCT turn) FROM p WHERE p.conv_id = n.conv_id) AS n_shared FROM n GROUP BY n.conv_id")
+def prior_comparison(spark, d):
+    units = read(spark, d, "conversations").selectExpr("conv_id AS doc_id", "turn AS id")
+    return compare.against_prior(units, units.where("doc_id % 3 != 0 AND id % 2 = 0"))
 
 
 # ---- labels, cost ----------------------------------------------------------------------------------------------
@@ -434,12 +503,12 @@ def usage_totals(spark, d):
     return cost.totals(cost.with_cost(u)).withColumn("cost", F.round("cost", 6))
 
 
-_LABELS = "('u1', 'technique', 'n', 's', 0.5), ('u2', 'nope', 'n', 's', 0.5), ('u3', 'pattern', '', 's', 0.5), ('u4', 'pattern', 'n', 's', 1.5), ('u5', 'pattern', 'n', CAST(NULL AS {s}), 0.1), ('u6', 'code-snippet', repeat('n', 81), 's', 0.1), ('u7', 'use-case', repeat('n', 80), repeat('s', 300), 1.0)"
+_LABEL = "SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'technique' WHEN 1 THEN 'code-snippet' WHEN 2 THEN 'nope' ELSE 'pattern' END AS type, left(text, CAST(doc_id % 100 AS INT)) AS name, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE left(text, CAST(doc_id % 400 AS INT)) END AS summary, (doc_id % 13) / 11.0 AS confidence FROM documents"
 
 
-@query(f"SELECT id, coalesce(type IN {normalize.TYPES!r} AND length(name) BETWEEN 1 AND 80 AND length(summary) BETWEEN 1 AND 300 AND confidence BETWEEN 0 AND 1, false) AS ok FROM (VALUES {_LABELS.format(s='VARCHAR')}) v(id, type, name, summary, confidence)")
+@query(f"SELECT id, coalesce(type IN {normalize.TYPES!r} AND length(name) BETWEEN 1 AND 80 AND length(summary) BETWEEN 1 AND 300 AND confidence BETWEEN 0 AND 1, false) AS ok FROM ({_LABEL})")
 def schema_check(spark, d):
-    return spark.sql(f"SELECT * FROM VALUES {_LABELS.format(s='STRING')} AS v(id, type, name, summary, confidence)").selectExpr("id", f"{normalize.valid_unit()} AS ok")
+    return spark.sql(_LABEL.replace("FROM documents", "FROM {documents}"), documents=read(spark, d, "documents")).selectExpr("id", f"{normalize.valid_unit()} AS ok")
 
 
 def _split(spark, d):
@@ -459,15 +528,17 @@ def fallback_units(spark, d):
     return read(spark, d, "documents").selectExpr("CAST(doc_id AS STRING) AS id", "text").selectExpr(*normalize.fallback())
 
 
-@query("WITH f AS (SELECT source, doc_id, text FROM documents) SELECT source AS doc_id, count(*) AS n, count(*) AS fallbacks FROM f GROUP BY source")
+@query("SELECT conv_id AS doc_id, count(*) AS n, count(*) AS fallbacks FROM conversations GROUP BY conv_id")
 def provider_failures(spark, d):
-    c = read(spark, d, "documents").selectExpr("source AS doc_id", "doc_id AS ord", "CAST(doc_id AS STRING) AS id", "text")
+    c = read(spark, d, "conversations").selectExpr("conv_id AS doc_id", "CAST(turn AS BIGINT) AS ord", "CAST(turn AS STRING) AS id", "text")
     return normalize.ask(c, lambda doc, cs: [], 1).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("is_fallback").alias("fallbacks"))
 
 
 @query("SELECT lang, count(*) AS n, avg(n_chars) AS mean_chars, count(DISTINCT sha256(text)) AS hashes FROM documents GROUP BY lang")
 def quality_averages(spark, d):
-    return read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean_chars"), F.count_distinct(F.sha2("text", 256)).alias("hashes"))
+    docs = read(spark, d, "documents")
+    hashes = docs.groupBy("lang").agg(F.count_distinct(F.sha2("text", 256)).alias("hashes"))
+    return compare.averages(docs, "lang", "n_chars").withColumnRenamed("mean_n_chars", "mean_chars").join(hashes, "lang")
 
 
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")

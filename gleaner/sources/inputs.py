@@ -127,8 +127,8 @@ def with_overrides(videos: DataFrame, info: DataFrame) -> DataFrame:
 
 
 def transcript_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id (file stem) and text: what follows the transcript heading of each markdown file, all of it where there is none."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1).alias("doc_id"), "value")
+    """doc_id (the file's stem after its last underscore) and text: what follows the transcript heading of each markdown file, all of it where there is none."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/_]+)\.md$", 1).alias("doc_id"), "value")
     body = F.expr("IF(contains(value, '## Transcript'), split_part(value, '## Transcript', 2), value)")
     return files.select("doc_id", F.regexp_replace(body, r"(?U)^\s+|\s+$", "").alias("text"))
 

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.formatting import clock, thousands
 from gleaner.operators import synthesis
-from gleaner.operators.history import latest
+from gleaner.operators.history import fresh, latest
 
 
 def write_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+# The page's layout, its headings and labels.
 def video_markdown(videos: DataFrame) -> DataFrame:
     """path and value: the page of each video. ``videos``: video columns, transcript and extracted (a time as text)."""
     value = F.concat_ws(
@@ -48,8 +49,9 @@ def append_history(results: DataFrame, path: str) -> None:
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Both tables, new rows in place of old ones with the same keys; write the result beside the old table, then swap."""
-    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return latest(both, keys, "_new").drop("_new")
+    mark = fresh(old, "new")
+    both = old.withColumn(mark, F.lit(0)).unionByName(new.withColumn(mark, F.lit(1)))
+    return latest(both, keys, mark).drop(mark)
 
 
 def write_analyses(results: DataFrame, path: str) -> None:
@@ -59,7 +61,10 @@ def write_analyses(results: DataFrame, path: str) -> None:
 def write_knowledge_base(synthesized: DataFrame, path: str) -> None:
     """Unit pages, index and metadata under one layout: units (path, value), index by type, units and statistics as JSON."""
     synthesis.unit_markdown(synthesized).write.mode("overwrite").parquet(f"{path}/pages")
-    synthesis.index(synthesized).write.mode("overwrite").json(f"{path}/index")
+    synthesis.index_lines(synthesized).orderBy("type", "name", "id").write.mode("overwrite").json(f"{path}/index")
+    synthesis.headings(synthesized).write.mode("overwrite").json(f"{path}/headings")
+    synthesis.totals(synthesized).write.mode("overwrite").json(f"{path}/totals")
+    synthesis.videos(synthesized).write.mode("overwrite").json(f"{path}/videos")
     synthesis.metadata(synthesized).write.mode("overwrite").json(f"{path}/units")
     synthesis.stats(synthesized).write.mode("overwrite").json(f"{path}/synthesis")
 

@@ -108,7 +108,7 @@ def test_parser_and_its_traps(spark):
     raw = "## 1. TECHNIQUES EXTRACTED\n### Technique: No id\ntext\n### Technique: Has id\n**ID**: `technique-x`\nbody\n## code comment\nrest\n## 9. Configuration Recipes\n### Configuration: C\n**ID**: `config-c`\nk\n"
     rows = parse.parse_units(spark.createDataFrame([("v", raw), ("w", "nothing"), (None, None)], "video_id string, raw string")).collect()
     assert [(r.type, r.id) for r in rows] == [("technique", "technique-x"), ("config", "config-c")]
-    assert rows[0].name.startswith("No id") and "rest" not in rows[0].content  # a block without an id runs into the next; ## ends a body
+    assert rows[0].name == "Has id" and rows[0].content.endswith("body")  # a block without an id is none; ## ends a body
     assert rows[1].content == "### Config: C\n**ID**: `config-c`\nk"
     missing = parse.missing_sections(spark.createDataFrame([("KNOWLEDGE UNITS EXTRACTION 1. Techniques Extracted",)], "template string")).first().missing
     assert len(missing) == 9
@@ -146,7 +146,11 @@ def test_history(spark):
     assert [r.seq for r in history.recent(h, 2).collect()] == [3, 2] and history.recent(h, 0).count() == 3
     runs = spark.createDataFrame([("a", "completed", None), ("b", "failed", "boom"), ("c", "skipped", None)], "video_id string, status string, error string")
     r = history.run_counters(runs, 10).first()
-    assert (r.completed, r.failed, r.skipped, r.progress, r.errors[0].error) == (1, 1, 1, 30.0, "boom")
+    assert (r.completed, r.failed, r.skipped, r.progress) == (1, 1, 1, 30.0)
+    assert [tuple(f) for f in history.failures(runs).collect()] == [("b", "boom")]
+    twice = spark.createDataFrame([("a", 1, "x", 5), ("a", 1, "y", 6), ("b", 2, "z", 7)], "k string, t int, rn string, _rn int")
+    assert history.latest(twice, ["k"], "t").columns == twice.columns and history.latest(twice, ["k"], "t").count() == 2
+    assert history.latest(twice.repartition(3), ["k"], "t").where("k = 'a'").collect() == history.latest(twice, ["k"], "t").where("k = 'a'").collect()
     assert history.run_counters(runs.limit(0)).first().progress == 100.0
 
 
@@ -169,7 +173,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert "**Views:** 1,500 views" in page and "a, b" in page and "No transcript available" in page and "**Duration:** 5:00" in page
     (tmp_path / "t").mkdir()
     (tmp_path / "t/doc_1.md").write_text("# T\n\n## Transcript\n\n the words \n")
-    assert [tuple(r) for r in inputs.transcript_files(spark, str(tmp_path / "t/*.md")).collect()] == [("doc_1", "the words")]
+    assert [tuple(r) for r in inputs.transcript_files(spark, str(tmp_path / "t/*.md")).collect()] == [("1", "the words")]
     old, new = spark.createDataFrame([("a", 1), ("b", 1)], "k string, n int"), spark.createDataFrame([("b", 2)], "k string, n int")
     assert sorted(tuple(r) for r in sinks.upsert(old, new, ["k"]).collect()) == [("a", 1), ("b", 2)]
     syn = synthesis.synthesize(units(spark, [(1, "config", "config-a", "A", "x", "v1")]))
