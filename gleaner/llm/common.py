@@ -42,12 +42,24 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     The files survive the loss of executors, unlike cached blocks; ``release`` deletes them.
     """
     spark = df.sparkSession
+    tidy(spark)
     path = scratch_dir(spark)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    writer.option("compression", "zstd").parquet(path)
     _FOLDERS.append(path)
-    spark.sparkContext._jvm.System.gc()  # what the driver no longer refers to, shuffle files among it, is cleaned on all machines
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the folder of a table that ``written`` gave; neither it nor what is derived from it may be read again."""
+    release(table.sparkSession, _FOLDERS.index(table.scratch), _FOLDERS.index(table.scratch) + 1)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Shuffle files of DataFrames that the driver no longer refers to are deleted on all machines, as its collector finds them."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def folders() -> int:

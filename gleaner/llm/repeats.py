@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.chunks import spans_index
-from gleaner.llm.common import offsets_of, slices, texts, written
+from gleaner.llm.common import discard, offsets_of, slices, texts, tidy, written
 
 SPAN, PASSAGE, GRAM = 400, 240, 64
 #: Different contexts of one anchor that are sorted together.
@@ -309,14 +309,19 @@ def spans(df: DataFrame, span: int = SPAN, passage: int = PASSAGE, gram: int = G
                 at = pa.array(owner)
                 yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array(anchor.astype(np.int32)), *map(pa.array, rest)], ["did", "th", "anchor", "reach", "akey", "c1", "c2"])
 
-    found = written(rows.select("text", "did", "th").mapInArrow(anchors, "did long, th long, anchor int, reach long, akey long, c1 long, c2 long"))
+    every = written(rows.select("text", "did", "th").mapInArrow(anchors, "did long, th long, anchor int, reach long, akey long, c1 long, c2 long"))
+    # most anchors are met once: their rows go before anything wider moves
+    found = written(every.join(every.groupBy("akey").agg(F.count("*").alias("n")).where("n > 1").select("akey"), "akey", "left_semi"))
+    discard(every)
     same = ["akey", "c1", "c2"]
     # one row for each different context, copies summed before the shuffle: an anchor's rows are as many as its contexts
-    distinct = written(found.groupBy(*same, "reach").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "anchor")).alias("r")).select(*same, "reach", "n", "r.*"))
-    whole = distinct.where("n > 1").select(*same, "reach")
+    distinct = found.groupBy(*same, "reach").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "anchor")).alias("r")).select(*same, "reach", "n", "r.*")
     groups = distinct.groupBy("akey").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select("akey", "m")
-    asked = distinct.join(groups, "akey")
-    reps = asked.groupBy("did", "th").agg(F.collect_list(F.struct(*same, "reach", "n", "m", "anchor")).alias("asked"))
+    # most contexts are alone: only those with copies, and those whose anchor has others, are kept; both sides read one exchange
+    kept = written(distinct.join(groups, "akey", "left").where("n > 1 OR m IS NOT NULL"))
+    del distinct, groups
+    whole = kept.where("n > 1").select(*same, "reach")
+    reps = kept.where("m IS NOT NULL").groupBy("did", "th").agg(F.collect_list(F.struct(*same, "reach", "n", "m", "anchor")).alias("asked"))
     names = ["akey", "c1", "c2", "reach", "n", "m", "data"]
     schema = pa.schema([*((x, pa.int64()) for x in names[:6]), ("data", pa.binary())])
 
@@ -390,6 +395,7 @@ def spans(df: DataFrame, span: int = SPAN, passage: int = PASSAGE, gram: int = G
     windows = F.expr(f"coalesce(windows, filter(array({full}), x -> x IS NOT NULL))")
     hits = found.drop("reach").join(verdict, same).select("did", "th", "anchor", windows.alias("windows"))
     placed = hits.select("did", "th", F.expr("transform(windows, x -> struct(x.level AS level, anchor + x.a AS a, anchor + x.b AS b))").alias("s"))
+    tidy(df.sparkSession)
     return keyed, placed.groupBy("did", "th").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
