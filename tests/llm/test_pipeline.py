@@ -51,3 +51,22 @@ def test_odd_input(spark):
             assert d.columns == docs.columns
             d.collect()
         cp.STAGES[-1][1](spark, d, ROOT).collect()
+
+
+def test_stages_keep_rows_of_null_ids_and_columns_of_any_name(spark, tmp_path):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["north", "river", "stone", "green", "lamp", "seven", "cloud", "paper"]) for _ in range(40)) for _ in range(30)]
+    rows = [(None if i % 3 == 0 else i, t, "en", "s", len(t), i, -i, "x", i, i) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __t long, __fp long, __terms string, __key long, weight long")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "no such benchmark question in these documents at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = docs
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, out, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert sorted(out.select("text", "__t", "__fp", "__terms", "__key", "weight").collect()) == sorted(docs.select("text", "__t", "__fp", "__terms", "__key", "weight").collect()), name
+    assert out.where(F.col("doc_id").isNull()).count() == 10 and cp.STAGES[-1][1](spark, out, str(tmp_path)).count() == 30
