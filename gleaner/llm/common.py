@@ -42,7 +42,6 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     The files survive the loss of executors, unlike cached blocks; ``release`` deletes them.
     """
     spark = df.sparkSession
-    tidy(spark)
     path = scratch_dir(spark)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.option("compression", "zstd").parquet(path)
@@ -58,7 +57,7 @@ def discard(table: DataFrame) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Shuffle files of DataFrames that the driver no longer refers to are deleted on all machines, as its collector finds them."""
+    """Shuffle files of DataFrames that the driver no longer refers to are deleted on all machines, as its collector finds them. It takes a while on a large heap."""
     spark.sparkContext._jvm.System.gc()
 
 
