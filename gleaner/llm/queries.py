@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, decontaminate, html_main_text, pii, quality, repeats, simhash, spotsigs, token_files, url_rules
+from gleaner.llm import bpe, decontaminate, html_main_text, pii, quality, repeats, simhash, spotsigs, token_files, url_rules, vector_codes
 from gleaner.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.summary(vector_codes.compress(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_benchmark_qgrams": op2_benchmark_qgrams,
@@ -65,7 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_pii": op9_pii,
     "op10_spotsigs": op10_spotsigs,
+    "op12_vector_codes": op12_vector_codes,
 }
 ORACLES: dict[str, str] = {
     "op6_url_rules": url_rules.ORACLE_SQL,
+    "op12_vector_codes": vector_codes.ORACLE_SQL,
 }
