@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, decontaminate, html_main_text, pii, quality, repeats, simhash, spotsigs, token_files, url_rules, vector_codes
+from gleaner.llm import bpe, conversations, decontaminate, html_main_text, pii, quality, repeats, simhash, spotsigs, token_files, url_rules, vector_codes
 from gleaner.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.summary(vector_codes.compress(table(spark, sf_dir, "embeddings")))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.summary(conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_benchmark_qgrams": op2_benchmark_qgrams,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_spotsigs": op10_spotsigs,
     "op12_vector_codes": op12_vector_codes,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {
     "op6_url_rules": url_rules.ORACLE_SQL,
