@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, conversations, decontaminate, html_main_text, pii, quality, repeats, simhash, spotsigs, token_files, url_rules, vector_codes
+from gleaner.llm import bpe, conversations, decontaminate, html_main_text, language_codes, pii, quality, repeats, simhash, spotsigs, token_files, url_rules, vector_codes
 from gleaner.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_codes.predict(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.summary(vector_codes.compress(table(spark, sf_dir, "embeddings")))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_pii": op9_pii,
     "op10_spotsigs": op10_spotsigs,
+    "op11_language_codes": op11_language_codes,
     "op12_vector_codes": op12_vector_codes,
     "op13_conversation_repair": op13_conversation_repair,
 }
