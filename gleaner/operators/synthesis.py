@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.formatting import cross_references
+from gleaner.operators.running import running_sum
 
 # Folders and headings of the unit types.
 TYPE_DIRS = {
@@ -45,38 +48,86 @@ def aliased_types(units: DataFrame) -> DataFrame:
     return units.withColumn("raw_type", F.col("type")).withColumn("type", F.expr(f"coalesce({sql_map(TYPE_ALIASES)}[type], type)"))
 
 
-def merge_paragraphs(units: DataFrame) -> DataFrame:
-    """id and content: each group's paragraphs in input order, the first of those equal but for case. ``units``: id, ord, content.
+#: Characters of a part of a merged text.
+PART_CHARS = 1 << 20
 
-    Order is by ``ord``, then place. Paragraphs are shuffled once by group, and repeats go before they are gathered.
-    """
+
+def first_paragraphs(units: DataFrame) -> DataFrame:
+    """id, ord, pos, p: each group's paragraphs without white space at their ends, the first of those equal but for case. ``units``: id, ord, content."""
     pieces = units.select("id", "ord", F.posexplode(F.split("content", "\n\n", -1)).alias("pos", "p"))
     pieces = pieces.withColumn("p", F.regexp_replace("p", r"(?U)^\s+|\s+$", "")).where("p != ''")
-    kept = pieces.groupBy("id", F.lower("p").alias("k")).agg(F.min(F.struct("ord", "pos", "p")).alias("f"))
-    merged = kept.groupBy("id").agg(F.array_sort(F.collect_list("f")).alias("fs")).select("id", F.expr("array_join(transform(fs, f -> f.p), '\n\n')").alias("content"))
-    return units.select("id").distinct().join(merged, "id", "left").select("id", F.coalesce("content", F.lit("")).alias("content"))
+    return pieces.groupBy("id", F.sha2(F.lower("p"), 256).alias("k")).agg(F.min(F.struct("ord", "pos", "p")).alias("f")).select("id", "f.*")
 
 
-def synthesize(units: DataFrame) -> DataFrame:
-    """One row per id: type, name, content, source_videos, cross_references (only to ids that exist here).
+def placed_paragraphs(units: DataFrame) -> DataFrame:
+    """id, ord, pos, p, size, at: the first paragraphs of a group by ``ord``, then place, then text; ``at`` is the sum of the sizes, two more than the lengths, before each."""
+    sized = first_paragraphs(units).withColumn("size", F.length("p").cast("long") + 2)
+    return running_sum(sized, "id", ["ord", "pos", "p"], "size", "at")
+
+
+def _parts(units: DataFrame, placed: DataFrame, part_chars: int) -> DataFrame:
+    pieces = placed.selectExpr("id", "IF(at = 0, 0L, at - 2) AS at", "IF(at = 0, p, concat('\n\n', p)) AS piece")
+    chunk = f"transform(sequence(at div {part_chars}, (at + length(piece) - 1) div {part_chars}), k -> struct(k AS part, substring(piece, CAST(greatest(k * {part_chars} - at, 0) AS INT) + 1, CAST((k + 1) * {part_chars} - greatest(at, k * {part_chars}) AS INT)) AS chunk))"
+    chunks = pieces.select("id", "at", F.explode(F.expr(chunk)).alias("c")).select("id", "at", "c.*")
+    parts = chunks.groupBy("id", "part").agg(F.array_sort(F.collect_list(F.struct("at", "chunk"))).alias("cs"))
+    parts = parts.select("id", "part", (F.col("part") * part_chars).alias("offset"), F.expr("array_join(transform(cs, c -> c.chunk), '')").alias("text"))
+    some = F.max(F.coalesce(F.col("content").rlike(r"(?U)\S"), F.lit(False)))
+    none = units.groupBy("id").agg(some.alias("some")).where("NOT some").selectExpr("id", "0L AS part", "0L AS offset", "'' AS text")
+    return parts.unionByName(none)
+
+
+def merge_paragraphs(units: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """id, part, offset, text: each group's paragraphs joined by blank lines, by ``ord`` and then place, and cut every ``part_chars`` characters.
+
+    The texts of an id's parts in order are its merged content; ``offset`` is where a part begins in it. Repeats are told by the hash of a
+    paragraph, its place in the merged content by running sums over ranges, so no task, row or value holds more than one part and one paragraph,
+    however many paragraphs an id has. A group without paragraphs has one empty part. ``units``: id, ord, content.
+    """
+    return _parts(units, placed_paragraphs(units), part_chars)
+
+
+@dataclass(frozen=True)
+class Synthesis:
+    """Units that became one for each id, as tables none of whose rows grows with the number of units.
 
-    ``units``: type, id, name, content, source_video_id, ord, where ``ord`` is the input order. The first unit
-    names the type; a group whose types differ has ``mixed_types`` set.
+    ``heads``: type, id, name, mixed_types, n_sources, n_references, content_length, paragraph_count. ``parts``: id, part, offset, text.
+    ``sources``: id, video_id. ``references``: id, ref, only to ids that exist here.
     """
-    refs = units.withColumn("refs", F.expr(cross_references("content", "id")))
-    groups = refs.groupBy("id").agg(
-        F.min_by(F.struct("type", "name"), "ord").alias("first"),
-        F.array_sort(F.collect_set(F.expr("nullif(source_video_id, '')"))).alias("source_videos"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("refs"),
-        (F.min("type") != F.max("type")).alias("mixed_types"),
-    )
-    known = groups.select(F.col("id").alias("ref"))
-    valid = groups.select("id", F.explode("refs").alias("ref")).join(known, "ref", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("ref")).alias("cross_references"))
-    return (
-        groups.join(merge_paragraphs(units), "id")
-        .join(valid, "id", "left")
-        .select("first.type", "id", "first.name", "content", "source_videos", F.coalesce("cross_references", F.array().cast("array<string>")).alias("cross_references"), "mixed_types")
-    )
+
+    heads: DataFrame
+    parts: DataFrame
+    sources: DataFrame
+    references: DataFrame
+
+
+def synthesis(units: DataFrame, part_chars: int = PART_CHARS) -> Synthesis:
+    """``units``: type, id, name, content, source_video_id, ord, where ``ord`` is the input order. The first unit names the type; a group whose types differ has ``mixed_types`` set."""
+    sources = units.where("source_video_id != ''").select("id", F.col("source_video_id").alias("video_id")).distinct()
+    refs = units.select("id", F.explode(F.expr(cross_references("content", "id"))).alias("ref")).distinct()
+    references = refs.join(units.select(F.col("id").alias("ref")).distinct(), "ref", "left_semi").select("id", "ref")
+    placed = placed_paragraphs(units)
+    counts = [
+        placed.groupBy("id").agg(F.count("*").alias("paragraph_count"), (F.sum("size") - 2).alias("content_length")),
+        sources.groupBy("id").agg(F.count("*").alias("n_sources")),
+        references.groupBy("id").agg(F.count("*").alias("n_references")),
+    ]
+    heads = units.groupBy("id").agg(F.min_by(F.struct("type", "name"), "ord").alias("first"), (F.min("type") != F.max("type")).alias("mixed_types"))
+    for one in counts:
+        heads = heads.join(one, "id", "left")
+    heads = heads.fillna({"n_sources": 0, "n_references": 0, "content_length": 0, "paragraph_count": 1})  # an empty text splits into one piece
+    return Synthesis(heads.select("first.type", "id", "first.name", "mixed_types", "n_sources", "n_references", "content_length", "paragraph_count"), _parts(units, placed, part_chars), sources, references)
+
+
+def synthesize(units: DataFrame) -> DataFrame:
+    """One row per id: type, name, content, source_videos, cross_references, mixed_types, for groups whose merged content fits a value; ``synthesis`` is for any."""
+    s = synthesis(units)
+    content = s.parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("ps")).select("id", F.expr("array_join(transform(ps, p -> p.text), '')").alias("content"))
+    lists = [t.groupBy("id").agg(F.array_sort(F.collect_list(c)).alias(name)) for t, c, name in ((s.sources, "video_id", "source_videos"), (s.references, "ref", "cross_references"))]
+    out = s.heads.select("type", "id", "name", "mixed_types").join(content, "id")
+    for one in lists:
+        out = out.join(one, "id", "left")
+    none = F.array().cast("array<string>")
+    return out.select("type", "id", "name", "content", F.coalesce("source_videos", none).alias("source_videos"), F.coalesce("cross_references", none).alias("cross_references"), "mixed_types")
 
 
 def mutual_references(synthesized: DataFrame) -> DataFrame:
@@ -128,8 +179,3 @@ def totals(synthesized: DataFrame, analyses: DataFrame | None = None) -> DataFra
     whole = synthesized.agg(F.count("*").alias("units"), F.count_distinct("type").alias("types"), F.sum(F.size("cross_references")).alias("references"))
     out = whole.crossJoin(videos(synthesized).agg(F.count("*").alias("sources")))  # one row each
     return out if analyses is None else out.crossJoin(analyses.agg(F.count("*").alias("analyses")))
-
-
-def ordered(units: DataFrame, *by: str) -> DataFrame:
-    """Numbers units within ``result_ord`` so that (result_ord, unit_ord) becomes one ``ord``."""
-    return units.withColumn("ord", F.struct(*by) if by else F.row_number().over(Window.partitionBy("source_video_id").orderBy("id")))

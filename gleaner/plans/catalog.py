@@ -11,7 +11,9 @@ from gleaner.functions import formatting as fmt
 from gleaner.functions import text as T
 from gleaner.errors import GleanerError
 from gleaner.operators import analyze, compare, cost, extract, history, normalize, parse, runs, synthesis
+from gleaner.operators.skew import with_group
 from gleaner.sources import inputs
+from gleaner.sources.scratch import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -402,16 +404,40 @@ syn AS (SELECT id, min_by(type, ord) AS type, min_by(name, ord) AS name, coalesc
 s AS (SELECT syn.*, coalesce(merged.content, '') AS content, coalesce(ok.cross_references, '') AS cross_references FROM syn LEFT JOIN merged USING (id) LEFT JOIN ok USING (id))"""
 
 
-@query(f"WITH {_FIX}, {_MERGED} SELECT id, coalesce(content, '') AS content FROM (SELECT DISTINCT id FROM u) LEFT JOIN merged USING (id)")
+_PART = 4000
+_PARTS = f"parts AS (SELECT id, k AS part, k * {_PART} AS \"offset\", substr(content, k * {_PART} + 1, {_PART}) AS text FROM (SELECT id, content, unnest(range(greatest(1, CAST(ceil(length(content) / {_PART}.0) AS BIGINT)))) AS k FROM (SELECT id, coalesce(content, '') AS content FROM (SELECT DISTINCT id FROM u) LEFT JOIN merged USING (id))))"
+
+
+@query(f"WITH {_FIX}, {_MERGED}, {_PARTS} SELECT id, part, \"offset\", text FROM parts")
 def merge_paragraphs(spark, d):
-    return synthesis.merge_paragraphs(_units(spark, d))
+    return synthesis.merge_paragraphs(_units(spark, d), _PART)
 
 
-@query(f"{_SYNTH} SELECT id, type, name, content, source_videos, cross_references FROM s")
+@query(
+    f"""{_SYNTH}, {_PARTS} SELECT id, type, name, part, "offset", text, n_sources, CASE WHEN cross_references = '' THEN 0 ELSE len(string_split(cross_references, ',')) END AS n_references,
+    length(content) AS content_length, CAST(len(string_split(content, chr(10) || chr(10))) AS BIGINT) AS paragraph_count FROM s JOIN parts USING (id)"""
+)
 def synthesize_units(spark, d):
+    s = synthesis.synthesis(_units(spark, d), _PART)
+    heads = s.heads.drop("mixed_types").withColumn("n", F.col("content_length") / _PART + 1)
+    return with_group(stored(s.parts), heads, "id")
+
+
+@query(f"{_SYNTH} SELECT id, type, name, content, source_videos, cross_references FROM s")
+def synthesize_whole(spark, d):
     return synthesis.synthesize(_units(spark, d)).select("id", "type", "name", "content", F.array_join("source_videos", ",").alias("source_videos"), F.array_join("cross_references", ",").alias("cross_references"))
 
 
+@query(f"WITH {_FIX} SELECT DISTINCT id, source_video_id AS video_id FROM u WHERE source_video_id <> ''")
+def unit_sources(spark, d):
+    return synthesis.synthesis(_units(spark, d)).sources
+
+
+@query(f"{_SYNTH}, r AS (SELECT id, unnest(string_split(cross_references, ',')) AS ref FROM s WHERE cross_references <> '') SELECT id, ref FROM r")
+def unit_references(spark, d):
+    return synthesis.synthesis(_units(spark, d)).references
+
+
 @query(f"{_SYNTH}, e AS (SELECT id AS src, unnest(string_split(cross_references, ',')) AS dst FROM s) SELECT DISTINCT e.src AS a, e.dst AS b FROM e JOIN e f ON e.src = f.dst AND e.dst = f.src WHERE e.src < e.dst")
 def mutual_refs(spark, d):
     return synthesis.mutual_references(synthesis.synthesize(_units(spark, d)))
