@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -119,3 +120,14 @@ def test_one_language_and_copies(spark):
 def test_clashing_columns(spark):
     rows = [(i, "the thing" if i % 2 else "schei", "en" if i % 2 else "de", "x", 1) for i in range(40)]
     assert L.predict(spark.createDataFrame(rows, SCHEMA + ", held_out string, h int")).count() == 40
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_held_out_accuracy_on_the_tables(spark, sf):
+    path = f"/root/testdata/{sf}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    docs = spark.read.parquet(path)
+    lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    fold = [r for r in L.predict(docs).collect() if r.held_out]
+    assert sum(r.lang_pred == lang[r.doc_id] for r in fold) >= 0.99 * len(fold)
