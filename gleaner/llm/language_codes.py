@@ -36,6 +36,7 @@ PIECE = 1 << 18
 #: Texts of each language that the model is fitted on, at most.
 PER_LANGUAGE = 1000
 FOLDS = 5
+SALTS = 64
 SMOOTH = 0.5
 EXHAUSTIVE, BITS_A_DOUBLING, TRIES, SEED = 5, 10, 200, 11
 CALM = 20
@@ -183,8 +184,10 @@ def held_out(doc_id: str) -> Column:
 def _sample(rows: DataFrame, per_language: int) -> DataFrame:
     """lang and text of the texts that the model is fitted on: of each language those of the smallest hashes, each once."""
     known = rows.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("text", "lang"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = known.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("h").alias("last"))
+    hashes = known.select("lang", "h", (F.col("h") % SALTS).alias("salt")).distinct()
+    for by in (["lang", "salt"], ["lang"]):  # the least of each share of a language first, as one language may have most texts
+        hashes = hashes.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("rank") <= per_language)
+    last = F.broadcast(hashes.groupBy("lang").agg(F.max("h").alias("last")))  # a row for each language; the model has a hundred kilobytes for each
     return known.join(last, "lang").where("h <= last").select("lang", "text").distinct()
 
 
