@@ -11,6 +11,7 @@ from gleaner.functions import formatting as fmt
 from gleaner.functions import text as T
 from gleaner.errors import GleanerError
 from gleaner.operators import analyze, compare, cost, extract, history, normalize, parse, runs, synthesis
+from gleaner.operators.similarity import similar
 from gleaner.operators.skew import with_group
 from gleaner.sources import inputs
 from gleaner.sources.scratch import stored
@@ -177,6 +178,32 @@ def trigram_jaccard(spark, d):
     return g.join(y, "item_id").selectExpr("item_id AS a", "b", f"{T.quant(T.jaccard('g', 'h'))} AS q")
 
 
+def _similar_sql(table: str, key: str, text: str, threshold: float) -> str:
+    """Similarity of all pairs that share a trigram, by counting the trigrams they share; no pair is left out."""
+    return f"""t AS (SELECT {key} AS id, {_canon(text)} AS c FROM {table}), sets AS (SELECT id, {_GRAMS.format(c='c')} AS g FROM t),
+named AS (SELECT id, len(g) AS n, list_sort(g) AS k, min(id) OVER (PARTITION BY list_sort(g)) AS class_id FROM sets), flat AS (SELECT id, n, class_id, unnest(k) AS gram FROM named),
+met AS (SELECT x.id AS a, y.id AS b, any_value(x.class_id) AS ca, any_value(y.class_id) AS cb, count(*) / (any_value(x.n) + any_value(y.n) - count(*))::DOUBLE AS s FROM flat x JOIN flat y ON x.gram = y.gram AND x.id <> y.id GROUP BY x.id, y.id
+  UNION ALL SELECT x.id, y.id, x.class_id, y.class_id, 1 FROM named x JOIN named y ON x.n = 0 AND y.n = 0 AND x.id <> y.id),
+alike AS (SELECT * FROM met WHERE s >= {threshold})"""
+
+
+_ALIKE = 0.3
+
+
+@query(f"WITH {_similar_sql('benchmark', 'item_id', 'text', _ALIKE)} SELECT DISTINCT ca AS a, cb AS b, CAST(round_even(s * 1000000, 0) AS BIGINT) AS q FROM alike WHERE ca < cb")
+def similar_items(spark, d):
+    return similar(read(spark, d, "benchmark"), _ALIKE, "item_id").pairs.selectExpr("a", "b", f"{T.quant('similarity')} AS q")
+
+
+_OPENING = "regexp_extract(text, '^[^.!?]*', 0)"
+
+
+@query(f"WITH {_similar_sql('documents', 'doc_id', _OPENING, 0.6)} SELECT n.id, n.class_id, (SELECT count(*) FROM alike WHERE a = n.id) AS n_links FROM named n")
+def similar_openings(spark, d):
+    """First sentences of the documents, each against all others."""
+    return similar(read(spark, d, "documents").selectExpr("doc_id AS id", f"{_OPENING} AS text"), 0.6).members
+
+
 @query("SELECT doc_id, sha256(text) AS transcript_hash FROM documents WHERE regexp_matches(text, '\\S')")
 def text_hash(spark, d):
     return extract.transcript_hashes(read(spark, d, "documents"))
