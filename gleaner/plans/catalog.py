@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import formatting as fmt
 from gleaner.functions import text as T
 from gleaner.errors import GleanerError
-from gleaner.operators import analyze, compare, cost, extract, history, normalize, parse, runs, synthesis
+from gleaner.operators import analyze, compare, cost, extract, fold, history, normalize, parse, runs, synthesis
 from gleaner.operators.similarity import similar
 from gleaner.operators.skew import with_group
 from gleaner.sources import inputs
@@ -157,6 +157,17 @@ def top_units(spark, d):
     return extract.extract_units(read(spark, d, "documents")).select("doc_id", "id", "text", "start", "end", F.expr(T.quant("score")).alias("q"), "rank")
 
 
+@query(ORACLES["top_units"])
+def long_units(spark, d):
+    """All documents taken as long ones: their sentences lie in ranges, not by document."""
+    return fold.extract_long_units(read(spark, d, "documents")).select("doc_id", "id", "text", "start", "end", F.expr(T.quant("score")).alias("q"), "rank")
+
+
+@query(ORACLES["near_dup_collapse"])
+def near_dup_fold(spark, d):
+    return fold.collapse_long(extract.exact_dedup(extract.candidates(read(spark, d, "documents"))), _LOW).select("doc_id", "win", "start")
+
+
 @query("SELECT doc_id, CAST(least(greatest(round_even(length(text) / 2500.0, 0), 40), 90) AS INT) AS target FROM documents")
 def target_counts(spark, d):
     return read(spark, d, "documents").selectExpr("doc_id", f"{T.target_count('length(text)')} AS target")
