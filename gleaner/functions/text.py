@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import unicodedata
 
 import pandas as pd
@@ -34,16 +36,63 @@ def canon(s: str) -> str:
     return collapse(f"lower({strip_marks(s)})")
 
 
+@functools.cache
+def _touched() -> list[bool]:
+    """For each code point, whether a text with it may change under NFKC: it changes itself, has a combining class, or joins with one before it."""
+    out = [unicodedata.combining(c) != 0 or not unicodedata.is_normalized("NFKC", c) for c in map(chr, range(0x110000))]
+    for c in map(chr, range(0x110000)):
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            out[int(parts[1], 16)] = True
+    for jamo in (range(0x1161, 0x1176), range(0x11A8, 0x11C3)):  # fixed values: vowels and tails of syllables
+        for i in jamo:
+            out[i] = True
+    return out
+
+
+def _runs(flags: list[bool], value: bool) -> list[tuple[int, int]]:
+    """First and last of each run of ``value``, surrogates left out."""
+    out, start = [], None
+    for i in range(len(flags) + 1):
+        inside = i < len(flags) and flags[i] == value and not 0xD800 <= i <= 0xDFFF
+        if inside and start is None:
+            start = i
+        elif not inside and start is not None:
+            out.append((start, i - 1))
+            start = None
+    return out
+
+
+@functools.cache
+def touched() -> re.Pattern:
+    """A character that NFKC may change."""
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _runs(_touched(), True)) + "]")
+
+
+@functools.cache
+def outside_plain(long_run: int = 1000, alphabets: int = 0x3100) -> str:
+    """Pattern of a character outside the long runs of those that NFKC leaves alone and outside the shorter runs among the first alphabets: few texts that NFKC does not touch have one."""
+    runs = [(a, b) for a, b in _runs(_touched(), False) if b - a >= long_run or a < 0x530 and b - a >= 2 or a < alphabets and b - a >= 40]
+    return "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
+def strip_and_normalise(s: str) -> str:
+    """Each punctuation or symbol character becomes a space, then NFKC."""
+    return unicodedata.normalize("NFKC", "".join(" " if unicodedata.category(c)[0] in "PS" else c for c in s))
+
+
 @F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    return s.map(lambda x: None if x is None else strip_and_normalise(x) if touched().search(x) else None)
 
 
 def canon_column(c: str, nfkc: bool = True) -> Column:
-    """Comparison form of a column: marks to spaces, NFKC, lower case, white space collapsed."""
+    """Comparison form of a column: marks to spaces, NFKC, lower case, white space collapsed. Only texts with a rare character leave the JVM, only those that NFKC touches come back."""
     stripped = F.expr(strip_marks(c))
-    plain = F.lower(_nfkc(stripped) if nfkc else stripped)
-    return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
+    if nfkc:
+        rare = F.when(F.col(c).rlike(outside_plain()), F.col(c))
+        stripped = F.coalesce(_nfkc(rare), stripped)
+    return F.trim(F.regexp_replace(F.lower(stripped), r"(?U)\s+", " "))
 
 
 def words(canon_s: str) -> str:

@@ -31,7 +31,7 @@ class ExtractOptions:
     max_words: int = 24
     jaccard_threshold: float = 0.92
     per_window_quota: int | None = None  # 0 and None: no quota
-    nfkc: bool = False  # compatibility normalisation in Python, for texts that need it
+    nfkc: bool = True  # compatibility normalisation, in Python for the texts that it touches
 
     def __post_init__(self) -> None:
         if self.window_chars < 1 or not 0 <= self.min_words <= self.max_words or self.max_words < 1:
@@ -69,13 +69,15 @@ def sentences_of(text: str) -> list[tuple[int, int]]:
 
 
 _WINDOWS = "array<struct<idx:int,start:int,end:int,text:string>>"
-_SENTENCES = "array<struct<win:int,start:int,end:int,text:string>>"
+_SENTENCES = "array<struct<win:int,start:int,end:int,text:string,plain:string>>"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table that scans as fewer partitions than there are cores (one small file) is dealt out before per-row Python work."""
+    """A table too small to give each core a scan partition (one small file) is dealt out before per-row Python work; told from the plan's statistics, without a job."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    scan = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df.repartition(cores) if size < cores * scan else df
 
 
 def windows(df: DataFrame, size: int = 3500) -> DataFrame:
@@ -91,24 +93,33 @@ def windows(df: DataFrame, size: int = 3500) -> DataFrame:
     return spread(df.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, idx int, start int, end int, text string")
 
 
-def segment(df: DataFrame, size: int = 3500) -> DataFrame:
-    """doc_id, text and all sentences of its windows; start and end are places in the text before the sentence is trimmed."""
-    struct = pa.list_(pa.struct([("win", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
+def segment(df: DataFrame, size: int = 3500, nfkc: bool = True) -> DataFrame:
+    """doc_id, text and all sentences of its windows; start and end are places in the text before the sentence is trimmed.
+
+    ``plain`` of the text and of a sentence is what it is without marks and after NFKC, null for those that NFKC leaves alone, nearly all.
+    """
+    struct = pa.list_(pa.struct([("win", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("plain", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        touched = T.touched()
         for b in batches:
-            out = []
+            out, plain = [], []
             for t in b.column(1).to_pylist():
                 t = t or ""
-                out.append([{"win": i, "start": s + a, "end": s + z, "text": t[s + a : s + z].strip()} for i, (s, e) in enumerate(windows_of(t, size)) for a, z in sentences_of(t[s:e])])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, struct)], ["doc_id", "text", "sentences"])
+                normal = T.strip_and_normalise if nfkc and touched.search(t) else None
+                plain.append(normal and normal(t))
+                rows = [{"win": i, "start": s + a, "end": s + z, "text": t[s + a : s + z].strip(), "plain": None} for i, (s, e) in enumerate(windows_of(t, size)) for a, z in sentences_of(t[s:e])]
+                for r in rows if normal else ():
+                    r["plain"] = normal(r["text"]) if touched.search(r["text"]) else None
+                out.append(rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(plain, pa.string()), pa.array(out, struct)], ["doc_id", "text", "plain", "sentences"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return spread(df.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, text string, sentences {_SENTENCES}")
+    return spread(df.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, text string, plain string, sentences {_SENTENCES}")
 
 
 def sentences(df: DataFrame, size: int = 3500) -> DataFrame:
-    return segment(df, size).selectExpr("doc_id", "inline(sentences)")
+    return segment(df, size, nfkc=False).selectExpr("doc_id", "inline(sentences)").drop("plain")
 
 
 #: Characters times sentences up to which each sentence is looked for by itself.
@@ -151,18 +162,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(df: DataFrame, opts: ExtractOptions = ExtractOptions()) -> DataFrame:
     """doc_id, n_chars, win, start, end, text, canon, wc, occ, imp, score, q of the sentences in the word band."""
-    docs = segment(df, opts.window_chars).withColumn("n_chars", F.length("text"))
-    docs = docs.withColumn("doc_canon", T.canon_column("text", opts.nfkc))
-    if opts.nfkc:
-        flat = docs.selectExpr("doc_id", "n_chars", "doc_canon", "inline(sentences)").withColumn("canon", T.canon_column("text", True))
-        flat = flat.withColumn("wc", F.expr(T.words("canon"))).where(F.col("wc").between(opts.min_words, opts.max_words))
-        flat = flat.withColumn("occ", F.expr(T.occurrences("doc_canon", "canon"))).drop("doc_canon")
-    else:
-        inner = f"transform(sentences, s -> named_struct('win', s.win, 'start', s.start, 'end', s.end, 'text', s.text, 'canon', {T.canon('s.text')}))"
-        worded = f"transform({inner}, s -> named_struct('win', s.win, 'start', s.start, 'end', s.end, 'text', s.text, 'canon', s.canon, 'wc', {T.words('s.canon')}))"
-        banded = f"filter({worded}, s -> s.wc BETWEEN {opts.min_words} AND {opts.max_words})"
-        kind = df.schema["doc_id"].dataType.simpleString()
-        flat = docs.selectExpr("doc_id", "n_chars", "doc_canon", f"{banded} AS sentences").mapInArrow(_counted, f"doc_id {kind}, n_chars int, win int, start int, end int, text string, canon string, wc int, occ long")
+    canon = lambda row: T.collapse(f"lower(coalesce({row}plain, {T.strip_marks(f'{row}text')}))")
+    docs = segment(df, opts.window_chars, opts.nfkc).withColumn("n_chars", F.length("text")).withColumn("doc_canon", F.expr(canon("")))
+    inner = f"transform(sentences, s -> named_struct('win', s.win, 'start', s.start, 'end', s.end, 'text', s.text, 'canon', {canon('s.')}))"
+    worded = f"transform({inner}, s -> named_struct('win', s.win, 'start', s.start, 'end', s.end, 'text', s.text, 'canon', s.canon, 'wc', {T.words('s.canon')}))"
+    banded = f"filter({worded}, s -> s.wc BETWEEN {opts.min_words} AND {opts.max_words})"
+    kind = df.schema["doc_id"].dataType.simpleString()
+    flat = docs.selectExpr("doc_id", "n_chars", "doc_canon", f"{banded} AS sentences").mapInArrow(_counted, f"doc_id {kind}, n_chars int, win int, start int, end int, text string, canon string, wc int, occ long")
     flat = flat.withColumn("imp", F.expr(T.imperative("canon")))
     flat = flat.withColumn("score", F.expr(T.score("occ", "start", "n_chars", "wc", opts.max_words, "imp")))
     return flat.withColumn("q", F.expr(T.quant("score")))

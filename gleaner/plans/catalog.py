@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,7 +52,18 @@ _C = f"c AS (SELECT doc_id, text, {_canon('text')} AS canon FROM documents)"
 
 @query(f"WITH {_C} SELECT doc_id, canon FROM c")
 def canon_text(spark, d):
-    return read(spark, d, "documents").selectExpr("doc_id", f"{T.canon('text')} AS canon")
+    return read(spark, d, "documents").select("doc_id", T.canon_column("text").alias("canon"))
+
+
+def _wide(spark, d):
+    """The documents in full-width letters and circled digits, character for character; NFKC makes the plain ones of them."""
+    wide = "".join(chr(0xFF41 + i) for i in range(26)) + "".join(chr(0xFF21 + i) for i in range(26)) + "".join(chr(0x2460 + i) for i in range(9))
+    return read(spark, d, "documents").select("doc_id", F.translate("text", string.ascii_letters + "123456789", wide).alias("text"))
+
+
+@query(f"WITH {_C} SELECT doc_id, canon FROM c")
+def canon_wide_text(spark, d):
+    return _wide(spark, d).select("doc_id", T.canon_column("text").alias("canon"))
 
 
 @query(f"WITH {_C} SELECT doc_id, {_WC.format(c='canon')} AS words FROM c")
@@ -157,6 +169,12 @@ def top_units(spark, d):
     return extract.extract_units(read(spark, d, "documents")).select("doc_id", "id", "text", "start", "end", F.expr(T.quant("score")).alias("q"), "rank")
 
 
+@query(ORACLES["top_units"].replace('"end" AS id, text, start', '"end" AS id, start'))
+def wide_units(spark, d):
+    """Units of the documents in full-width letters: the same places and scores."""
+    return extract.extract_units(_wide(spark, d)).select("doc_id", "id", "start", "end", F.expr(T.quant("score")).alias("q"), "rank")
+
+
 @query(ORACLES["top_units"])
 def long_units(spark, d):
     """All documents taken as long ones: their sentences lie in ranges, not by document."""
