@@ -157,6 +157,24 @@ def unit_markdown(synthesized: DataFrame) -> DataFrame:
     return synthesized.where(F.col("type").isin(*TYPE_DIRS)).select(F.expr(f"concat({sql_map(TYPE_DIRS)}[type], '/', id, '.md')").alias("path"), F.expr(lines).alias("value"))
 
 
+# As above.
+def unit_page_rows(s: Synthesis) -> DataFrame:
+    """path, section, place, key, value: the pages of ``unit_markdown`` row by row, to be joined in this order, so that no row grows with a unit's sources, content or references."""
+    dirs = sql_map({k.split("-")[0]: v for k, v in TYPE_DIRS.items()})
+    heads = s.heads.where(F.col("type").isin(*TYPE_DIRS)).select("id", "type", "name", "n_sources", "n_references", F.expr(f"concat({sql_map(TYPE_DIRS)}[type], '/', id, '.md')").alias("path"))
+    fixed = {
+        0: "concat('# ', name, '\n\n**ID**: `', id, '`  \n**Type**: ', type, '  \n**Sources**: ', n_sources, ' video(s)\n\n', IF(n_sources > 0, '## Source Videos\n\n', ''))",
+        2: "concat(IF(n_sources > 0, '\n', ''), '## Content\n\n')",
+        4: "IF(n_references > 0, '\n\n## Related Knowledge\n\n', '\n')",
+    }
+    lines = heads.select("path", F.explode(F.array(*(F.struct(F.lit(k).alias("section"), F.lit(0).cast("long").alias("place"), F.lit("").alias("key"), F.expr(v).alias("value")) for k, v in fixed.items()))).alias("l")).select("path", "l.*")
+    pages = heads.select("id", "path", (F.col("n_sources") + F.col("n_references") + 1).alias("n"))
+    reference = f"concat('- [', ref, '](../', coalesce({dirs}[split_part(ref, '-', 1)], concat(split_part(ref, '-', 1), 's')), '/', ref, '.md)\n')"
+    for table, section, place, key, value in ((s.sources, 1, "0L", "video_id", "concat('- `', video_id, '`\n')"), (s.parts, 3, "part", "''", "text"), (s.references, 5, "0L", "ref", reference)):
+        lines = lines.unionByName(table.join(pages, "id").selectExpr("path", f"{section} AS section", f"{place} AS place", f"{key} AS key", f"{value} AS value"))
+    return lines
+
+
 def headings(synthesized: DataFrame) -> DataFrame:
     """One row per type: its heading in the index, with the number of units."""
     heading = f"coalesce({sql_map(TYPE_NAMES)}[type], initcap(type))"

@@ -14,7 +14,8 @@ from gleaner.errors import GleanerError
 from gleaner.operators import analyze, compare, cost, extract, fold, history, normalize, parse, runs, synthesis
 from gleaner.operators.similarity import similar
 from gleaner.operators.skew import with_group
-from gleaner.sources import inputs
+from gleaner.sources import inputs, scratch
+from gleaner.sources.page_files import read_pages, write_pages
 from gleaner.sources.scratch import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -524,11 +525,26 @@ def synthesis_stats(spark, d):
     return synthesis.stats(synthesis.synthesize(_units(spark, d)))
 
 
-@query()
+_NL = "chr(10)"
+_LINKS = f"list_aggregate(list_transform(string_split(cross_references, ','), lambda r: '- [' || r || '](../' || CASE split_part(r, '-', 1) WHEN 'issue' THEN 'troubleshooting' WHEN 'use' THEN 'use-cases' ELSE split_part(r, '-', 1) || 's' END || '/' || r || '.md)' || {_NL}), 'string_agg', '')"
+_PAGES = f"""{_SYNTH}, pages AS (SELECT {_FOLDERS} || '/' || id || '.md' AS path, '# ' || name || {_NL} || {_NL} || '**ID**: `' || id || '`  ' || {_NL} || '**Type**: ' || type || '  ' || {_NL} || '**Sources**: ' || n_sources || ' video(s)' || {_NL} || {_NL}
+  || CASE WHEN n_sources > 0 THEN '## Source Videos' || {_NL} || {_NL} || list_aggregate(list_transform(string_split(source_videos, ','), lambda v: '- `' || v || '`' || {_NL}), 'string_agg', '') || {_NL} ELSE '' END
+  || '## Content' || {_NL} || {_NL} || content || {_NL} || CASE WHEN cross_references <> '' THEN {_NL} || '## Related Knowledge' || {_NL} || {_NL} || {_LINKS} ELSE '' END AS value FROM s)"""
+
+
+@query(f"{_PAGES} SELECT path, value FROM pages")
 def unit_pages(spark, d):
     return synthesis.unit_markdown(synthesis.synthesize(_units(spark, d)))
 
 
+@query(f"{_PAGES} SELECT path, length(value) AS n_chars, sha256(value) AS digest FROM pages")
+def page_files(spark, d):
+    """A file for each unit, written part by part and read back."""
+    root = scratch.folder(spark)
+    write_pages(synthesis.unit_page_rows(synthesis.synthesis(_units(spark, d), _PART)), root, "section", "place", "key")
+    return read_pages(spark, root).select("path", F.length("value").cast("long").alias("n_chars"), F.sha2("value", 256).alias("digest"))
+
+
 _BODY = "regexp_replace(text, '[#`]', '', 'g')"
 
 

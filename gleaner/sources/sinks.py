@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.formatting import clock, thousands
 from gleaner.operators import synthesis
 from gleaner.operators.history import fresh, latest
+from gleaner.sources.page_files import write_pages
 
 
 def write_records(df: DataFrame, path: str) -> None:
@@ -59,8 +60,8 @@ def write_analyses(results: DataFrame, path: str) -> None:
 
 
 def write_knowledge_base(synthesized: DataFrame, path: str) -> None:
-    """Unit pages, index and metadata under one layout: units (path, value), index by type, units and statistics as JSON."""
-    synthesis.unit_markdown(synthesized).write.mode("overwrite").parquet(f"{path}/pages")
+    """Under one layout a file for each unit in the folder of its type; index by type, units and statistics as JSON."""
+    write_pages(synthesis.unit_markdown(synthesized), path)
     synthesis.index_lines(synthesized).orderBy("type", "name", "id").write.mode("overwrite").json(f"{path}/index")
     synthesis.headings(synthesized).write.mode("overwrite").json(f"{path}/headings")
     synthesis.totals(synthesized).write.mode("overwrite").json(f"{path}/totals")

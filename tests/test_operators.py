@@ -178,7 +178,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sorted(tuple(r) for r in sinks.upsert(old, new, ["k"]).collect()) == [("a", 1), ("b", 2)]
     syn = synthesis.synthesize(units(spark, [(1, "config", "config-a", "A", "x", "v1")]))
     sinks.write_knowledge_base(syn, str(tmp_path / "kb"))
-    assert spark.read.parquet(str(tmp_path / "kb/pages")).first().path == "configurations/config-a.md"
+    assert (tmp_path / "kb/configurations/config-a.md").read_text().startswith("# A\n\n**ID**: `config-a`")
     d = inputs.discover(spark.createDataFrame([("v1", 2), ("v1", 1), ("zz", 3)], "video_id string, relevance int"), v)
     assert [r.video_id for r in d.collect()] == ["v1"]
     over = inputs.with_overrides(v, spark.createDataFrame([("v1", None, 7, None)], "video_id string, description string, duration int, upload_date string")).first()
