@@ -143,5 +143,6 @@ def seconds_left(left: str, per_minute: str) -> str:
 
 def retryable(status: str, message: str) -> str:
     """Server errors and rate limits, or a message that names a passing fault."""
+    # Fixed value: the words.
     words = literal("timeout|connection|rate limit|server error|service unavailable|internal error")
     return f"coalesce({status} >= 500 OR {status} = 429, lower({message}) RLIKE {words}, false)"

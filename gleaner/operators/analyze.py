@@ -15,6 +15,7 @@ from gleaner.operators.cost import with_cost
 from gleaner.operators.parse import parse_units
 from gleaner.operators.requests import transcript_prompts
 from gleaner.sources.inputs import fetch_misses
+from gleaner.sources import scratch
 
 #: What a model's answer holds, as far as it is read.
 RESPONSE = "model string, stop_reason string, content array<struct<type:string,text:string>>, usage struct<input_tokens:bigint,output_tokens:bigint>"
@@ -68,17 +69,20 @@ def json_answers(texts: DataFrame, schema: str, text_col: str = "text") -> DataF
 
 
 def analyze_transcripts(docs: DataFrame, template: str, chat: Callable[[str], str] = stub_chat, max_retries: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Answers with usage and errors, a row a transcript (doc_id, text), and the units parsed from them."""
-    answers = parse_responses(ask_model(transcript_prompts(docs, template), chat, max_retries))
+    """Answers with usage and errors, a row a transcript (doc_id, text, and title and url if there are), and the units parsed from them.
+
+    The model is asked here, once for each transcript, and its answers are stored: both tables are read from them, however often.
+    """
+    answers = parse_responses(scratch.stored(ask_model(transcript_prompts(docs, template), chat, max_retries)))
     return answers, parse_units(answers.where("error_code IS NULL"), "doc_id", "text")
 
 
 def fill_store(requests: DataFrame, stored: DataFrame, fetch: Callable[[str], str], key: str = "request_key", request: str = "request") -> tuple[DataFrame, DataFrame]:
     """(key, answer, error_code) of all requests, and what the store gains. ``stored``: key, answer; only requests without a stored answer are fetched.
 
-    Errors are not stored, so that a later run asks again; 403 and 404 come as ``quota`` and ``not_found`` from ``fetch``.
+    The requests are fetched here, once each. Errors are not kept, so that a later run asks again; 403 and 404 come as ``quota`` and ``not_found`` from ``fetch``.
     """
     misses = fetch_misses(requests, stored, key).select(F.col(key).alias("doc_id"), F.col(request).alias("prompt"))
-    new = ask_model(misses, fetch, 0).select(F.col("doc_id").alias(key), F.col("raw").alias("answer"), "error_code")
+    new = scratch.stored(ask_model(misses, fetch, 0)).select(F.col("doc_id").alias(key), F.col("raw").alias("answer"), "error_code")
     held = stored.join(requests.select(key).distinct(), key, "left_semi").select(key, "answer", F.lit(None).cast("string").alias("error_code"))
     return held.unionByName(new), new.where("error_code IS NULL").select(key, "answer")

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.sources.scratch import stored
+
 # The labels, and the bounds of their texts.
 TYPES = ("technique", "pattern", "use-case", "capability", "integration", "anti-pattern", "component", "troubleshooting", "configuration", "code-snippet")
 NAME_MAX, SUMMARY_MAX, FALLBACK_SUMMARY, FALLBACK_CONFIDENCE = 80, 300, 280, 0.3
@@ -98,9 +100,12 @@ def ask(candidates: DataFrame, provider: Provider | Callable = stub_provider, ma
 
 
 def normalize(candidates: DataFrame, cache: DataFrame, sig: str, provider: Provider | Callable = stub_provider, max_retries: int = 1) -> tuple[DataFrame, DataFrame]:
-    """All labels in input order (doc_id, ord), and the cache with the new ones in place of old ones and of other signatures."""
+    """All labels in input order (doc_id, ord), and the cache with the new ones in place of old ones and of other signatures.
+
+    The provider is asked here, once for each document that needs it, and its labels are stored: the cache gets those that are returned.
+    """
     hits, misses = cache_split(candidates, cache, sig)
-    fresh = ask(misses, provider, max_retries)
+    fresh = stored(ask(misses, provider, max_retries))
     columns = ["doc_id", "ord", *FIELDS]
     new = fresh.select(F.col("doc_id").alias("video_id"), F.col("id").alias("unit_id"), "type", "name", "summary", "confidence", F.lit(sig).alias("normalizer_sig"))
     kept = cache.where(F.col("normalizer_sig") == sig).join(new.select("video_id", "unit_id"), ["video_id", "unit_id"], "left_anti")

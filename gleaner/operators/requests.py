@@ -31,8 +31,14 @@ def user_prompts(candidates: DataFrame, text_cap: int = 350) -> DataFrame:
 
 
 def transcript_prompts(docs: DataFrame, template: str) -> DataFrame:
-    """doc_id and prompt: the template, then the transcript's body."""
-    return docs.select("doc_id", F.concat(F.lit(template), F.lit("\n\n## Transcript\n\n"), "text").alias("prompt"))
+    """doc_id and prompt: the template, id, title and url where the table has them (an empty url is left out), then the transcript's body."""
+    lines = [F.lit(template)]
+    if "title" in docs.columns:
+        lines.append(F.concat(F.lit("\n**Video ID**: "), F.col("doc_id").cast("string"), F.lit("\n**Title**: "), F.coalesce("title", F.lit(""))))  # fixed value: the labels
+    if "url" in docs.columns:
+        lines.append(F.concat(F.lit("**URL**: "), F.expr("nullif(url, '')")))
+    head = F.concat_ws("\n", *lines)
+    return docs.select("doc_id", F.concat(head, F.lit("\n\n## Transcript\n\n"), "text").alias("prompt"))
 
 
 def invalid_reason(model: str = "model", max_tokens: str = "max_tokens", temperature: str = "temperature", top_p: str = "top_p", roles: str = "roles") -> str:

@@ -1,4 +1,4 @@
-"""Extraction runs: every item fetched with retries and growing delays, every outcome a row, the history kept up."""
+"""Extraction runs: every item fetched with retries and growing delays, every outcome a row; a recorded run adds its outcomes to the history."""
 
 from __future__ import annotations
 
@@ -6,11 +6,14 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gleaner.errors import CODES, GleanerError
+from gleaner.functions.formatting import percent, rate_per_minute, seconds_left
 from gleaner.operators.requests import backoff_delay
+from gleaner.sources.scratch import stored
+from gleaner.sources.sinks import append_history, read_history
 
 #: Errors that another attempt cannot mend.
 FINAL = ("not_found", "validation", "authentication", "invalid_video", "cancelled", "blank")
@@ -60,3 +63,24 @@ def run_extraction(items: DataFrame, history: DataFrame, fetch: Callable[[object
     fresh = extract_items(items.join(done, "video_id", "left_anti"), fetch, **options)
     held = items.join(done, "video_id", "left_semi").select("video_id", F.lit("skipped").alias("status"))
     return fresh.unionByName(held, allowMissingColumns=True)
+
+
+def record_run(items: DataFrame, path: str, fetch: Callable[[object, int], str | None], at: str, **options) -> DataFrame:
+    """Run what the history under ``path`` has not completed, fetch each item once, store the results and add them to the history under the time ``at``; skipped items are not added."""
+    results = stored(run_extraction(items, read_history(items.sparkSession, path, items.schema["video_id"].dataType.simpleString()), fetch, **options))
+    append_history(results.where("status != 'skipped'"), path, at)
+    return results
+
+
+def observed(results: DataFrame) -> tuple[DataFrame, Observation]:
+    """``results`` (status) that are counted while they are written, by the job that writes them: completed, failed, skipped and total."""
+    seen = Observation()
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("completed", "failed", "skipped")]
+    return results.observe(seen, F.count(F.lit(1)).alias("total"), *counts), seen
+
+
+def progress(counts: DataFrame) -> DataFrame:
+    """Adds progress in percent, rate per minute and seconds left to rows of (total, completed, failed, skipped, seconds)."""
+    done = "(completed + failed + skipped)"
+    out = counts.withColumn("progress", F.expr(percent(done, "total"))).withColumn("rate", F.expr(rate_per_minute(done, "seconds")))
+    return out.withColumn("left", F.expr(seconds_left(f"(total - {done})", "rate")))

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from gleaner.functions import formatting as fmt
 from gleaner.functions import text as T
 from gleaner.errors import GleanerError
-from gleaner.operators import analyze, compare, cost, extract, fold, history, normalize, parse, runs, synthesis
+from gleaner.operators import analyze, compare, cost, extract, fold, history, normalize, parse, runs, synthesis, validate
 from gleaner.operators.similarity import similar
 from gleaner.operators.skew import with_group
-from gleaner.sources import inputs, scratch
+from gleaner.sources import inputs, scratch, versions
 from gleaner.sources.page_files import read_pages, write_pages
 from gleaner.sources.scratch import stored
 
@@ -344,7 +344,8 @@ def display_lines(spark, d):
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01 00:00:00' AND o_orderdate <= TIMESTAMP '1996-12-31 23:59:59'")
 def date_window(spark, d):
-    return read(spark, d, "orders").where("o_orderdate >= timestamp'1995-01-01 00:00:00' AND o_orderdate <= timestamp'1996-12-31 23:59:59'").select("o_orderkey", "o_custkey")
+    o = read(spark, d, "orders").withColumn("upload_date", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return inputs.published_between(o, "1995-01-01", "1996-12-31").select("o_orderkey", "o_custkey")
 
 
 @query("SELECT o_orderkey AS video_id, CAST(o_totalprice AS BIGINT) AS view_count FROM orders ORDER BY CAST(o_totalprice AS BIGINT) DESC, o_orderkey LIMIT 50")
@@ -353,9 +354,22 @@ def ordered_limit(spark, d):
     return inputs.discover(o.selectExpr("video_id", "video_id AS relevance"), o, 120, "viewCount").select("video_id", "view_count")
 
 
-@query("SELECT count(*) AS total_videos, CAST(coalesce(sum(p_size), 0) AS BIGINT) AS seconds, CAST(sum(p_size) // 3600 AS BIGINT) || ' hour' || CASE WHEN sum(p_size) // 3600 = 1 THEN '' ELSE 's' END || CASE WHEN (sum(p_size) % 3600) // 60 > 0 THEN ' ' || CAST((sum(p_size) % 3600) // 60 AS BIGINT) || ' minutes' ELSE '' END AS formatted FROM part")
+@query("SELECT o_orderkey AS video_id, strftime(o_orderdate, '%Y-%m-%d') AS upload_date FROM orders WHERE o_orderdate <= TIMESTAMP '1997-06-30 23:59:59' ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, o_orderkey LIMIT 50")
+def newest_first(spark, d):
+    o = read(spark, d, "orders").selectExpr("o_orderkey AS video_id", "date_format(o_orderdate, 'yyyy-MM-dd') AS upload_date")
+    return inputs.discover(o.selectExpr("video_id", "video_id AS relevance"), o, None, "date", before="1997-06-30").select("video_id", "upload_date")
+
+
+@query("SELECT p_partkey AS video_id FROM part JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey ORDER BY -n, p_partkey LIMIT 20")
+def most_relevant(spark, d):
+    ids = read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("video_id")).agg((-F.count("*")).alias("relevance"))
+    parts = read(spark, d, "part").selectExpr("p_partkey AS video_id", "'' AS upload_date")
+    return inputs.discover(ids, parts, 20).select("video_id")
+
+
+@query("SELECT count(*) AS total_videos, CAST(coalesce(sum(CAST(floor(p_retailprice) AS BIGINT)), 0) AS BIGINT) AS views, CAST(coalesce(sum(p_size), 0) AS BIGINT) AS seconds, CAST(sum(p_size) // 3600 AS BIGINT) || ' hour' || CASE WHEN sum(p_size) // 3600 = 1 THEN '' ELSE 's' END || CASE WHEN (sum(p_size) % 3600) // 60 > 0 THEN ' ' || CAST((sum(p_size) % 3600) // 60 AS BIGINT) || ' minutes' ELSE '' END AS formatted FROM part")
 def selection_summary(spark, d):
-    return read(spark, d, "part").agg(F.count("*").alias("total_videos"), F.coalesce(F.sum("p_size"), F.lit(0)).alias("seconds")).selectExpr("total_videos", "seconds", f"{fmt.human_duration('seconds')} AS formatted")
+    return inputs.selection_summary(read(spark, d, "part").selectExpr("p_size AS duration_seconds", "CAST(floor(p_retailprice) AS BIGINT) AS view_count"))
 
 
 # ---- history and joins -----------------------------------------------------------------------------------------
@@ -395,6 +409,31 @@ def run_progress(spark, d):
     return history.run_counters(e).select("total", "completed", "failed", "skipped", F.round("progress", 6).alias("progress"), F.col("failed").alias("n_errors"))
 
 
+_RUN = "count(*) AS total, count(*) FILTER (WHERE event_type = 'purchase') AS completed, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type = 'view') AS skipped"
+_DONE = "(completed + failed + skipped)"
+_RATE = f"CASE WHEN seconds <= 0 THEN 0.0::DOUBLE ELSE {_DONE} * 60.0::DOUBLE / seconds END"
+
+
+@query(f"SELECT *, CASE WHEN total = 0 THEN 100.0::DOUBLE ELSE {_DONE} * 100.0::DOUBLE / total END AS progress FROM (SELECT {_RUN} FROM events)")
+def observed_progress(spark, d):
+    """Counted by the job that writes the results."""
+    e = read(spark, d, "events").selectExpr("event_id", "CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'skipped' ELSE 'waiting' END AS status")
+    results, seen = runs.observed(e)
+    stored(results)
+    counts = spark.createDataFrame([seen.get], "total long, completed long, failed long, skipped long").withColumn("seconds", F.lit(0))
+    return runs.progress(counts).select("total", "completed", "failed", "skipped", "progress")
+
+
+@query(
+    f"""WITH r AS (SELECT user_id, {_RUN}, epoch(max(ts)) - epoch(min(ts)) AS seconds FROM events GROUP BY user_id), x AS (SELECT *, {_RATE} AS rate FROM r)
+SELECT user_id, round({_DONE} * 100.0::DOUBLE / total, 6) AS progress, round(rate, 6) AS rate, round(CASE WHEN rate <= 0 THEN 0.0::DOUBLE ELSE (total - {_DONE}) * 60.0::DOUBLE / rate END, 3) AS "left" FROM x"""
+)
+def run_rates(spark, d):
+    e = read(spark, d, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    counts = e.groupBy("user_id").agg(F.count("*").alias("total"), *(F.count_if(F.col("event_type") == t).alias(s) for s, t in (("completed", "purchase"), ("failed", "error"), ("skipped", "view"))), (F.max("s") - F.min("s")).alias("seconds"))
+    return runs.progress(counts).select("user_id", F.round("progress", 6).alias("progress"), F.round("rate", 6).alias("rate"), F.round("left", 3).alias("left"))
+
+
 @query("SELECT CAST(event_id AS VARCHAR) AS video_id, props AS error FROM events WHERE event_type = 'error'")
 def run_failures(spark, d):
     e = read(spark, d, "events").selectExpr("CAST(event_id AS STRING) AS video_id", "IF(event_type = 'error', 'failed', 'completed') AS status", "props AS error")
@@ -574,6 +613,14 @@ def units_hash(spark, d):
     return compare.unit_hashes(read(spark, d, "conversations").selectExpr("conv_id AS doc_id", "turn AS id", "text"))
 
 
+_LANES = " || ".join(f"printf('%015x', CAST(sum(CAST('0x' || substr(h, {15 * i + 1}, 15) AS HUGEINT)) % 1152921504606846976 AS BIGINT))" for i in range(4))
+
+
+@query(f"SELECT source AS doc_id, count(*) AS n_units, {_LANES} AS units_hash FROM (SELECT source, sha256(CAST(doc_id AS VARCHAR) || chr(9) || text) AS h FROM documents) GROUP BY source")
+def units_multiset_hash(spark, d):
+    return compare.multiset_hashes(read(spark, d, "documents").selectExpr("source AS doc_id", "doc_id AS id", "text"))
+
+
 @query("SELECT count(*) AS documents, round(avg(CASE WHEN h = 1 THEN 1 ELSE 0 END) * 100, 6) AS rate FROM (SELECT source, count(DISTINCT sha256(text)) AS h FROM documents GROUP BY source, lang)")
 def determinism_rate(spark, d):
     runs_ = read(spark, d, "documents").select(F.concat_ws("/", "source", "lang").alias("doc_id"), F.sha2("text", 256).alias("units_hash"))
@@ -609,6 +656,25 @@ def schema_check(spark, d):
     return spark.sql(_LABEL.replace("FROM documents", "FROM {documents}"), documents=read(spark, d, "documents")).selectExpr("id", f"{normalize.valid_unit()} AS ok")
 
 
+_BAD = {"short": "length(text) < 100", "no_space": "instr(text, ' ') = 0", "shouting": "upper(text) = text", "long": "length(text) > 10000", "lang": "lang IS NULL OR lang NOT IN ('en', 'de', 'fr')"}
+_BROKEN = "list_filter([" + ", ".join(f"CASE WHEN {r} THEN '{n}' END" for n, r in _BAD.items()) + "], lambda e: e IS NOT NULL)"
+
+
+@query(f"SELECT doc_id, array_to_string({_BROKEN}, ',') AS errors FROM documents WHERE len({_BROKEN}) > 0")
+def document_rejects(spark, d):
+    checked = validate.check_rows(read(spark, d, "documents"), _BAD, scratch.folder(spark))
+    return checked.rejects.select("doc_id", F.array_join("errors", ",").alias("errors"))
+
+
+_VIDEO = "SELECT CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_partkey END AS video_id, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_name END AS title, CASE p_partkey % 5 WHEN 0 THEN '12.5' WHEN 1 THEN NULL ELSE CAST(p_size AS VARCHAR(9)) END AS duration_seconds, '2024-01-01' AS upload_date, p_partkey FROM part"
+
+
+@query(f"SELECT p_partkey, array_to_string(list_filter([CASE WHEN video_id IS NULL THEN 'video_id' END, CASE WHEN title IS NULL THEN 'title' END, CASE WHEN duration_seconds IS NULL OR duration_seconds = '12.5' THEN 'duration_seconds' END], lambda e: e IS NOT NULL), ',') AS problem FROM ({_VIDEO}) WHERE video_id IS NULL OR title IS NULL OR duration_seconds IS NULL OR duration_seconds = '12.5'")
+def video_rejects(spark, d):
+    videos = spark.sql(_VIDEO.replace("FROM part", "FROM {part}"), part=read(spark, d, "part"))
+    return inputs.invalid_videos(videos).select("p_partkey", "problem")
+
+
 def _split(spark, d):
     docs = read(spark, d, "documents").selectExpr("source AS doc_id", "doc_id AS ord", "CAST(doc_id AS STRING) AS id", "text")
     held = read(spark, d, "labels").join(read(spark, d, "documents"), "doc_id").selectExpr("source AS video_id", "CAST(doc_id AS STRING) AS unit_id", "'pattern' AS type", "'n' AS name", "'s' AS summary", "0.5D AS confidence", "IF(quality = 1, 'now', 'old') AS normalizer_sig")
@@ -644,6 +710,16 @@ def latest_rows(spark, d):
     return history.latest(read(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id")
 
 
+@query("SELECT user_id, max(event_id) AS event_id, count(*) AS n FROM events GROUP BY user_id")
+def versioned_upsert(spark, d):
+    """Each user's row, brought up to date by three versions of a table."""
+    events, root = read(spark, d, "events"), scratch.folder(spark)
+    for upto in (3, 6, 10):
+        now = events.where(f"event_id % 10 < {upto}").groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.count("*").alias("n"))
+        versions.upsert_table(now.where(f"user_id % 2 = {upto % 2} OR {upto} = 10"), root, ["user_id"], 8)
+    return versions.read_table(spark, root, "user_id long, event_id long, n long")
+
+
 @query()
 def knowledge_run(spark, d):
     from gleaner.plans.workflow import knowledge

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.formatting import iso_date, iso_duration, safe_int
+from gleaner.functions.formatting import human_duration, iso_date, iso_duration, safe_int
+from gleaner.operators.validate import VIDEO_RULES, tagged
 
 #: Fixed value: nested shape of an API item; counts arrive as strings.
 VIDEO_ITEM = "id STRING, snippet STRUCT<title: STRING, description: STRING, publishedAt: STRING, channelId: STRING, channelTitle: STRING, thumbnails: STRUCT<maxresdefault: STRUCT<url: STRING>>, tags: ARRAY<STRING>, categoryId: STRING>, contentDetails STRUCT<duration: STRING>, statistics STRUCT<viewCount: STRING, likeCount: STRING, commentCount: STRING>"
@@ -62,21 +66,39 @@ def parse_channels(items: DataFrame) -> DataFrame:
     )
 
 
+def published_between(videos: DataFrame, after: str | None = None, before: str | None = None) -> DataFrame:
+    """Videos whose ``upload_date`` (year-month-day) is in the window, both ends included; a missing end is open."""
+    for bound, keep in ((after, F.col("upload_date") >= after), (before, F.col("upload_date") <= before)):
+        videos = videos.where(keep) if bound else videos
+    return videos
+
+
+def selection_summary(videos: DataFrame) -> DataFrame:
+    """One row over (duration_seconds, view_count): how many, total seconds, total views and the time as a text; zeros for none."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    out = videos.agg(F.count("*").alias("total_videos"), total("duration_seconds").alias("seconds"), total("view_count").alias("views"))
+    return out.withColumn("formatted", F.expr(human_duration("seconds")))
+
+
 def discover(search_ids: DataFrame, details: DataFrame, max_results: int | None = None, order: str = "relevance", after: str | None = None, before: str | None = None) -> DataFrame:
     """Search ids met by their details, in the order asked for, one page at most. ``search_ids``: video_id, relevance."""
-    videos = details.join(search_ids.groupBy("video_id").agg(F.min("relevance").alias("relevance")), "video_id")
-    if after:
-        videos = videos.where(F.col("upload_date") >= after)
-    if before:
-        videos = videos.where(F.col("upload_date") <= before)
+    videos = published_between(details, after, before).join(search_ids.groupBy("video_id").agg(F.min("relevance").alias("relevance")), "video_id")
     by = {"relevance": F.asc("relevance"), "date": F.desc("upload_date"), "viewCount": F.desc("view_count")}[order]
     return videos.orderBy(by, "video_id").limit(min(max_results or PAGE_MAX, PAGE_MAX)).drop("relevance")
 
 
-def resolve_channels(refs: DataFrame, channels: DataFrame) -> DataFrame:
-    """``refs`` (type, id) with channel_id: ids pass through, names are looked up in ``channels`` (kind, name, channel_id)."""
-    names = channels.groupBy(F.col("kind").alias("type"), F.col("name").alias("id")).agg(F.min("channel_id").alias("found"))
-    return refs.join(names, ["type", "id"], "left").withColumn("channel_id", F.when(F.col("type") == "channel_id", F.col("id")).otherwise(F.col("found"))).drop("found")
+def resolve_channels(refs: DataFrame, channels: DataFrame, search: DataFrame | None = None) -> DataFrame:
+    """``refs`` (type, id) with channel_id: ids pass through, names are looked up in ``channels`` (kind, name, channel_id).
+
+    A name of type c that is not found there, be it as c or as handle, is the first hit of ``search`` (name, rank, channel_id).
+    """
+    kinds = channels.unionByName(channels.where("kind = 'handle'").withColumn("kind", F.lit("c")))
+    names = kinds.groupBy(F.col("kind").alias("type"), F.col("name").alias("id")).agg(F.min("channel_id").alias("found"))
+    out = refs.join(names, ["type", "id"], "left")
+    if search is not None:
+        first = search.groupBy(F.col("name").alias("id")).agg(F.min_by("channel_id", F.struct("rank", "channel_id")).alias("hit"))
+        out = out.join(first, "id", "left").withColumn("found", F.when(F.col("type") == "c", F.coalesce("found", "hit")).otherwise(F.col("found"))).drop("hit")
+    return out.select("type", "id", *(c for c in refs.columns if c not in ("type", "id")), F.when(F.col("type") == "channel_id", F.col("id")).otherwise(F.col("found")).alias("channel_id"))
 
 
 def require_rows(df: DataFrame, error: str) -> DataFrame:
@@ -138,6 +160,19 @@ def templates(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"_(v[0-9.]+[0-9])\.md$", 1).alias("version"), F.col("value").alias("template")).orderBy("version")
 
 
+def settings(spark: SparkSession, path: str, defaults: dict) -> dict:
+    """Settings of a JSON file, as they stand there; ``defaults`` only if there is no file, nothing if it holds no JSON object."""
+    try:
+        value = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return dict(defaults)
+    except (ValueError, TypeError):
+        return {}
+    return value if isinstance(value, dict) else {}
+
+
 def label_cache(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object file of cached labels keyed ``video:unit`` as a table with two key columns."""
     raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, struct<type:string,name:string,summary:string,confidence:double,normalizer_sig:string>>")).alias("k", "v"))
@@ -146,8 +181,7 @@ def label_cache(spark: SparkSession, path: str) -> DataFrame:
 
 def invalid_videos(videos: DataFrame) -> DataFrame:
     """Rows that lack a required field or whose duration is no whole number, with what is wrong."""
-    problem = F.concat_ws(",", *(F.when(F.col(c).isNull(), F.lit(c)) for c in ("video_id", "title", "duration_seconds", "upload_date")))
-    return videos.withColumn("problem", problem).where("problem != ''")
+    return tagged(videos, VIDEO_RULES, "problem").withColumn("problem", F.array_join("problem", ",")).where("problem != ''")
 
 
 def first_per_video(details: DataFrame, key: str, order: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.formatting import clock, thousands
@@ -43,9 +44,33 @@ def video_markdown(videos: DataFrame) -> DataFrame:
     return videos.select(F.concat("channel_title", F.lit("/transcripts/"), "video_id", F.lit(".md")).alias("path"), value.alias("value"))
 
 
-def append_history(results: DataFrame, path: str) -> None:
-    """``results``: video_id, success, output_path, error, file_size, title, timestamp; the status follows from success."""
-    results.withColumn("status", F.when(F.col("success"), "completed").otherwise("failed")).write.mode("append").parquet(path)
+#: Columns of a history beside video_id.
+HISTORY = {"timestamp": "string", "success": "boolean", "output_path": "string", "error": "string", "file_size": "bigint", "title": "string", "status": "string"}
+
+
+def append_history(results: DataFrame, path: str, at: str | None = None) -> None:
+    """Add ``results`` to the history: video_id and ``success`` or ``status``, of which one follows from the other, and any other columns of HISTORY.
+
+    Missing ones are null, the title empty, the time ``at``. Other columns are left out.
+    """
+    known = results
+    if "success" not in known.columns:
+        known = known.withColumn("success", F.col("status") == "completed")
+    known = known.withColumn("status", F.when(F.col("success"), "completed").otherwise("failed"))
+    default = {"timestamp": F.lit(at), "title": F.lit("")}
+    columns = [(F.col(c) if c in known.columns else default.get(c, F.lit(None))).cast(t).alias(c) for c, t in HISTORY.items()]
+    known.select("video_id", *columns).write.mode("append").parquet(path)
+
+
+def read_history(spark: SparkSession, path: str, id_type: str = "string") -> DataFrame:
+    """The history under ``path``; empty if there is none yet."""
+    schema = ", ".join(f"{c} {t}" for c, t in ({"video_id": id_type} | HISTORY).items())
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

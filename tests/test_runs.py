@@ -55,6 +55,77 @@ def test_transcripts_through_a_model(spark):
     assert [r.ok for r in analyze.json_answers(texts, "a int, b string").collect()] == [True, False, False, False]
 
 
+def test_each_answer_is_asked_for_once(spark):
+    """However often the tables made of the answers are read."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def chat(prompt):
+        calls.add(1)
+        return analyze.stub_chat(prompt)
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    answers, units = analyze.analyze_transcripts(docs, "T", chat)
+    assert (answers.count(), units.count(), units.count(), calls.value) == (20, 20, 20, 20)
+
+    def provider(doc, candidates):
+        calls.add(1)
+        return normalize.stub_provider(doc, candidates)
+
+    calls.value = 0
+    cs = spark.createDataFrame([(i % 20, i, str(i), f"text {i}") for i in range(60)], "doc_id long, ord long, id string, text string")
+    empty = spark.createDataFrame([], "video_id long, unit_id string, type string, name string, summary string, confidence double, normalizer_sig string")
+    labels, cache = normalize.normalize(cs, empty, "s", provider)
+    assert (labels.count(), cache.count(), cache.count(), calls.value) == (60, 60, 60, 20)
+
+    calls.value = 0
+    requests = spark.createDataFrame([(str(i), "q") for i in range(10)], "request_key string, request string")
+    every, new = analyze.fill_store(requests, spark.createDataFrame([("3", "old")], "request_key string, answer string"), chat)
+    assert (every.count(), new.count(), new.count(), calls.value) == (10, 9, 9, 9)
+
+
+def test_a_run_that_records_its_history(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def fetch(video_id, attempt):
+        calls.add(1)
+        return None if video_id == 2 else f"text {video_id}"
+
+    items = spark.createDataFrame([(i,) for i in range(5)], "video_id long")
+    path = str(tmp_path / "history")
+    first = runs.record_run(items, path, fetch, "2024-01-01T00:00:00", max_retries=0)
+    assert sorted((r.video_id, r.status) for r in first.collect()) == [(i, "failed" if i == 2 else "completed") for i in range(5)]
+    again = runs.record_run(items, path, fetch, "2024-01-02T00:00:00", max_retries=0)
+    assert again.count() == 5 and {r.video_id for r in again.where("status = 'skipped'").collect()} == {0, 1, 3, 4}
+    assert calls.value == 6
+    h = sinks.read_history(spark, path, "bigint")
+    assert sorted((r.video_id, r.success, r.status, r.timestamp[:10], r.error) for r in h.where("video_id > 1").collect()) == [(2, False, "failed", "2024-01-01", "blank"), (2, False, "failed", "2024-01-02", "blank"), (3, True, "completed", "2024-01-01", None), (4, True, "completed", "2024-01-01", None)]
+    sinks.append_history(spark.createDataFrame([(9, True, "x")], "video_id long, success boolean, other string"), path)
+    assert sinks.read_history(spark, path, "bigint").where("video_id = 9").first().status == "completed"
+
+
+def test_prompts_name_the_video(spark):
+    docs = spark.createDataFrame([(1, "T", "http://u", "words"), (2, None, "", "more")], "doc_id long, title string, url string, text string")
+    from gleaner.operators.requests import transcript_prompts
+
+    got = {r.doc_id: r.prompt for r in transcript_prompts(docs, "Template").collect()}
+    assert got[1] == "Template\n\n**Video ID**: 1\n**Title**: T\n**URL**: http://u\n\n## Transcript\n\nwords"
+    assert "URL" not in got[2] and "**Title**: \n" in got[2]
+
+
+def test_settings_and_channels(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"window_chars": 100}')
+    (tmp_path / "bad.json").write_text("{")
+    default = {"min_words": 2}
+    assert inputs.settings(spark, str(tmp_path / "s.json"), default) == {"window_chars": 100}
+    assert inputs.settings(spark, str(tmp_path / "none.json"), default) == default and inputs.settings(spark, str(tmp_path / "bad.json"), default) == {}
+    assert extract.options(inputs.settings(spark, str(tmp_path / "s.json"), default)).window_chars == 100
+    refs = spark.createDataFrame([("c", "a"), ("c", "h"), ("c", "s"), ("handle", "s"), ("channel_id", "UC1"), ("c", "none")], "type string, id string")
+    channels = spark.createDataFrame([("c", "a", "UCa"), ("handle", "h", "UCh")], "kind string, name string, channel_id string")
+    search = spark.createDataFrame([("s", 2, "UCy"), ("s", 1, "UCx"), ("a", 1, "UCz")], "name string, rank int, channel_id string")
+    got = {(r.type, r.id): r.channel_id for r in inputs.resolve_channels(refs, channels, search).collect()}
+    assert got == {("c", "a"): "UCa", ("c", "h"): "UCh", ("c", "s"): "UCx", ("handle", "s"): None, ("channel_id", "UC1"): "UC1", ("c", "none"): None}
+
+
 def test_answers_are_fetched_once(spark):
     requests = spark.createDataFrame([("a", "qa"), ("b", "qb"), ("c", "qc")], "request_key string, request string")
     stored = spark.createDataFrame([("a", "old"), ("z", "other")], "request_key string, answer string")
