@@ -8,10 +8,13 @@ articles, or their innermost containers where the page has no article. A region'
 but for those that are neither near content by their smoothed ratio nor mostly text outside links.
 
 A form around an article is no form of its own, nor is one around all the text of a page. Of an article's own header the
-headings stay.
+headings stay. Inside an article a name marks only if all its words do or tell nothing ("cookie-notice", "ad-slot", not "social-good"). On a page without an
+article the first and last containers go while they have little text beside the largest (``EDGE`` of its content) and no main heading: a title of a
+sidebar, a line of copyright.
 
 Cases: null or empty html, and pages without text, give the empty string. Unclosed or crossed tags, unfinished references and
-text without any markup are read as they stand. Any length is parsed whole, in linear time. Repeated rows give repeated
+text without any markup are read as they stand; a comment that never ends hides the rest of the page, a tag that never ends is text. Any length is
+parsed whole, in linear time. Repeated rows give repeated
 results; other columns are not read; an empty table gives an empty result.
 """
 
@@ -31,6 +34,8 @@ from gleaner.llm.common import slices, texts
 
 SIGMA, SPREAD = 1.0, 0.25  # of the smoothing, in lines; share of the standard deviation that a content line must reach
 
+#: Share of the largest container's content under which one at either end of a page without articles is none.
+EDGE = 0.2
 #: Elements whose text is never shown as part of an article.
 _HIDDEN = frozenset("head title script style noscript template svg math iframe object canvas audio video select option button textarea input dialog".split())
 _BOILER = frozenset("nav header footer aside form menu".split()) | _HIDDEN
@@ -41,23 +46,49 @@ _MARKS = frozenset(
     "notice notices alert popup modal overlay newsletter subscribe signup login social share sharing related recommended teaser teasers widget widgets "
     "pagination pager complementary contentinfo search form hidden".split()
 )
+#: Words in such names that tell nothing.
+_NEUTRAL = frozenset("slot box block container wrapper wrap inner outer area panel list item items bar link links unit section group row col column post posts article articles site page main top bottom left right content js is has".split())
 _CONTAINERS = frozenset("body article main section div td table ul ol figure details blockquote".split())
 _BLOCKS = _CONTAINERS | _BOILER | frozenset("html p h1 h2 h3 h4 h5 h6 li dl dt dd tr th thead tbody tfoot caption pre hr br address fieldset figcaption summary center".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements that end where the next block of their kind begins.
 _SELF_ENDING = frozenset("p li dt dd option".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_UNPARSED = re.compile(r"<!--|<(script|style)\b", re.I)
+_COMMENT_END = re.compile(r"--!?>")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: How sure it is that an element is no article text: not, a form, a header of an article, else.
 _PLAIN, _FORM, _HEADER, _OTHER = range(4)
 
 
+def marks(value: str, in_article: bool) -> bool:
+    """Whether a class, id or role tells of boilerplate."""
+    if not in_article:
+        return any(w.lower() in _MARKS for w in _NAME.findall(value))
+    names = ([w.lower() for w in _NAME.findall(name)] for name in value.split())
+    return any(any(w in _MARKS for w in words) and all(w in _MARKS or w in _NEUTRAL for w in words) for words in names)
+
+
+def finished(html: str) -> str:
+    """The page without a comment that never ends, and with what looks like a tag behind the last one as text: the parser would look for their ends again and again."""
+    at = 0
+    while m := _UNPARSED.search(html, at):
+        end = re.compile(f"</{m[1]}", re.I).search(html, m.end()) if m[1] else _COMMENT_END.search(html, m.end())
+        if not end:
+            html = html if m[1] else html[: m.start()]
+            break
+        at = end.end()
+    last = html.rfind(">") + 1
+    return html[:last] + html[last:].replace("<", "&lt;")
+
+
 class Lines(HTMLParser):
     """Collects (text, tags, characters in links, container, article, boilerplate) of each block of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int, int, int]] = []
+        self.titled: set[int] = set()  # containers with a main heading
         self.stack: list[tuple[str, int, int, int]] = [("", 0, 0, _PLAIN)]  # tag, container, article, boilerplate
         self.open: Counter[str] = Counter()
         self.made = self.tags = self.linked = self.anchors = 0
@@ -100,7 +131,7 @@ class Lines(HTMLParser):
             own = _FORM if tag == "form" else _HEADER if tag == "header" and article else _OTHER
         elif attrs and tag not in ("html", "body", "main", "article"):
             for name, value in attrs:
-                if value and name in ("class", "id", "role") and any(w.lower() in _MARKS for w in _NAME.findall(value)):
+                if value and name in ("class", "id", "role") and marks(value, article > 0):
                     own = _OTHER
                 elif name == "hidden" or name == "aria-hidden" and value == "true":
                     own = _OTHER
@@ -110,6 +141,8 @@ class Lines(HTMLParser):
             if tag in ("article", "main"):
                 article = self.made
                 boiler = _PLAIN if boiler == _FORM else boiler
+        if tag in ("h1", "h2"):
+            self.titled.add(container)
         if tag in _HEADINGS and boiler == _HEADER and own == _PLAIN:
             self.push(tag, container, article, _PLAIN)
         elif own or tag in _CONTAINERS:
@@ -151,7 +184,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     parser = Lines()
-    parser.feed(html)
+    parser.feed(finished(html))
     parser.close()
     parser.cut()
     lines = parser.lines
@@ -178,6 +211,14 @@ def main_text(html: str | None) -> str:
             sizes[x[place]] += len(x[0]) if c else 0
     regions = articles or set(sizes)
     chosen = {r for r in regions if sizes[r]}
+    if chosen and not articles:
+        order = [r for r in dict.fromkeys(x[3] for x in lines) if r in chosen]
+        least = EDGE * max(sizes.values())
+        for ends in (order, order[::-1]):
+            for r in ends:
+                if sizes[r] >= least or r in parser.titled:
+                    break
+                chosen.discard(r)
     if not chosen:  # no line stands out
         whole: Counter[int] = Counter()
         for x, b in zip(lines, boiler, strict=True):

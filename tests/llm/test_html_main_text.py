@@ -73,6 +73,44 @@ def test_crossed_tags_take_linear_time():
     assert time.process_time() - began < 20
 
 
+def test_unfinished_markup_takes_linear_time():
+    import time
+
+    began = time.process_time()
+    for piece, n in (("<a href='", 110_000), ("<!--", 250_000), ("<!-- x > ", 110_000), ("<![CDATA[", 110_000), ("<?x", 300_000), ("</a", 300_000), ("<script>", 120_000), ("<!", 500_000), ('<p class="', 100_000), ("<script><!--", 90_000), ("&", 1_000_000), ("<a b=c ", 140_000)):
+        main_text("<p>Text before.</p>" + piece * n)
+        main_text("<p>Text before.</p>" + piece * n + ">")
+    assert time.process_time() - began < 60
+
+
+def test_unfinished_markup():
+    assert main_text("<p>Some text.</p><!-- never ends <p>more</p>") == "Some text."
+    assert main_text("<p>Some text.</p><!-- ends --><p>More text.</p>") == "Some text. More text."
+    assert main_text('<p>Some text.</p><script>var s = "<!--";</script><p>More text.</p>') == "Some text. More text."
+    assert main_text("<p>Some text.</p> and a < b") == "Some text. and a < b"
+
+
+@pytest.mark.parametrize("mark", ['class="mw-header"', 'class="social-good"', 'class="search-results-note"', 'id="alert-levels"', 'class="shareholders comment-worthy"', 'id="bannerman"'])
+def test_names_that_only_sound_like_boilerplate(mark):
+    page = f"<article><h1>Title</h1><p>A paragraph of the article with some words.</p><div {mark}><p>Another paragraph that belongs to it.</p></div><p>The end of it.</p></article>"
+    assert main_text(page) == "Title A paragraph of the article with some words. Another paragraph that belongs to it. The end of it."
+
+
+@pytest.mark.parametrize("mark", ['class="ad"', 'class="ad-slot"', 'class="cookie-notice"', 'id="related-posts"', 'class="big social-share-links"', 'role="navigation"', 'class="newsletterSignup"'])
+def test_names_that_tell_of_boilerplate(mark):
+    page = f"<article><h1>Title</h1><p>A paragraph of the article with some words.</p><div {mark}><p>Another paragraph that does not belong to it.</p></div><p>The end of it.</p></article>"
+    assert main_text(page) == "Title A paragraph of the article with some words. The end of it."
+
+
+def test_unnamed_footers_and_sidebars():
+    text = "".join(f"<p>Paragraph {i} of the page, which says a few things about it.</p>" for i in range(6))
+    page = f"<body><div><a href=/>Home</a> <a href=/a>About</a></div><div><h1>The title</h1></div><div>{text}</div><div><h4>Latest</h4><ul><li><a href=1>One story</a><li><a href=2>Other story</a></ul></div><div><p>Copyright 2020 Example Corp. All rights reserved.</p><a href=t>Terms</a> <a href=p>Privacy</a></div></body>"
+    want = "The title " + " ".join(f"Paragraph {i} of the page, which says a few things about it." for i in range(6))
+    assert main_text(page) == want
+    parts = f"<body><div>{text}</div><div><p>A short part.</p></div><div>{text}</div></body>"
+    assert "A short part." in main_text(parts)
+
+
 def test_smoothing_keeps_a_constant():
     import numpy as np
 
