@@ -328,9 +328,13 @@ def spans(df: DataFrame, span: int = SPAN, passage: int = PASSAGE, gram: int = G
     schema = pa.schema([*((x, pa.int64()) for x in names[:6]), ("data", pa.binary())])
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # of a row that is there many times a task gives the contexts once
         for batch in batches:
             rows = []
-            for packed, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for did, th, packed, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (did, th) in seen:
+                    continue
+                seen.add((did, th))
                 data = _opened(packed)
                 for x in wanted:
                     low, high = context_bounds(x["reach"], both)
@@ -341,7 +345,7 @@ def spans(df: DataFrame, span: int = SPAN, passage: int = PASSAGE, gram: int = G
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    contexts = written(keyed.select("did", "th", "packed").join(reps, ["did", "th"]).select("packed", "asked").mapInArrow(cut_out, "akey long, c1 long, c2 long, reach long, n long, m long, data binary"))
+    contexts = written(keyed.select("did", "th", "packed").join(reps, ["did", "th"]).select("did", "th", "packed", "asked").mapInArrow(cut_out, "akey long, c1 long, c2 long, reach long, n long, m long, data binary"))
     window_type = "array<struct<level:int,a:int,b:int>>"
     verdict_schema = pa.schema([*((x, pa.int64()) for x in names[:4]), ("windows", pa.list_(pa.struct([("level", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])))])
 
@@ -398,7 +402,7 @@ def spans(df: DataFrame, span: int = SPAN, passage: int = PASSAGE, gram: int = G
     hits = found.drop("reach").join(verdict, same).select("did", "th", "anchor", windows.alias("windows"))
     placed = hits.select("did", "th", F.expr("transform(windows, x -> struct(x.level AS level, anchor + x.a AS a, anchor + x.b AS b))").alias("s"))
     tidy(df.sparkSession)
-    return keyed, placed.groupBy("did", "th").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    return keyed, placed.groupBy("did", "th").agg(F.flatten(F.collect_set("s")).alias("spans"))  # rows that repeat id and text give the same stretches
 
 
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -105,3 +105,16 @@ def test_odd_rows(spark):
     n = len(long)
     assert got == [("1", 0, 0, 0), ("2", 1, 0, 0), ("None", n, n, 1), ("None", n, n, 1)]
     assert r.remove(docs.limit(0)).collect() == []
+
+
+def test_many_copies_of_one_row_are_bounded(spark):
+    """100,000 rows with the same id and text: each stretch is gathered once, not once a row."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(150))
+    docs = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    one = r.spans(docs.limit(2))[1].select(F.size("spans").alias("n")).first().n
+    assert [x.n for x in r.spans(docs)[1].select(F.size("spans").alias("n")).collect()] == [one]
+    got = r.summary(r.remove(docs)).groupBy("n_removed", "n_spans", "kept_sha256").count().collect()
+    assert [(x.n_removed, x.n_spans, x["count"]) for x in got] == [(len(text), 1, 100_000)]
