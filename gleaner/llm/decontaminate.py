@@ -225,8 +225,8 @@ def matches(index: Index, many: list[str]) -> list[tuple[int, object, int, int,
 
 
 def indexes(bench: DataFrame, item_col: str = "item_id", text_col: str = "text", rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> Iterator:
-    """Broadcast indexes of the items, block after block; the sizes are summed before any text is collected."""
-    items = bench.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
+    """Broadcast indexes of the items, block after block; the sizes are summed before any text is collected. An item that is listed again with the same id and text is one."""
+    items = bench.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{text_col}`").alias("text")).where("text is not null").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     while True:  # twice as many until each one fits, unless it is one item

@@ -125,3 +125,13 @@ def test_blocks_of_items_find_the_same(spark):
     docs = spark.createDataFrame([(i, f"x y {t} z") for i, t in items], "doc_id long, text string")
     one, many = (sorted(map(tuple, d.find(docs, bench, block_chars=n).collect())) for n in (10**6, 3000))
     assert one == many and len(one) >= 40
+
+
+def test_an_item_listed_many_times_is_one(spark):
+    from pyspark.sql import functions as F
+
+    item = "a question about the benchmark that is long enough to be an item of its own"
+    bench = spark.range(20_000).select(F.lit(3).cast("long").alias("item_id"), F.lit(item).alias("text"))
+    docs = spark.createDataFrame([(1, "before " + item + " after"), (2, "nothing here")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id, r.edits) for r in d.find(docs, bench, block_chars=1000).collect()] == [(1, 3, 0)]
+    assert [r.doc_id for r in d.clean(docs, bench, block_chars=1000).collect()] == [2]
