@@ -158,7 +158,8 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """The rows of ``df`` that bear the smallest id of their component, one row for each component.
 
     Components are told apart by their fingerprints, as ids may be null or repeat. Of a component's rows that repeat this
-    id, the one with the smallest hash of its text stays. Columns of any name are kept as they are.
+    id, the one with the smallest hash of its text stays, and of rows that repeat both the one with the smallest hash of all its columns (of
+    maps none). Columns of any name are kept as they are.
     """
     texts_ = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("tie"))
     ids = written(with_fingerprint(texts_, "text", "fp", shingle).select("doc_id", "fp", "tie"))
@@ -170,5 +171,6 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     rows = df.withColumn(tie, F.xxhash64(F.col(f"`{text_col}`")))
     joined = rows.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(of_id)) & (F.col(tie) == F.col(of_tie)))
     alone = joined.where(F.col(count) == 1).select(*names)
-    repeated = joined.where(F.col(count) > 1).dropDuplicates([of_id, of_tie]).select(*names)
+    told = F.xxhash64(*(F.col(f"`{n}`") for n, kind in df.dtypes if "map<" not in kind))
+    repeated = joined.where(F.col(count) > 1).groupBy(of_id, of_tie).agg(F.min_by(F.struct(*names), told).alias(of_tie + "_row")).select(f"{of_tie}_row.*")
     return alone.unionByName(repeated)

@@ -95,3 +95,12 @@ def test_null_ids_and_clashing_names(spark):
     assert rows == sorted([(words[0], 7, 7, -7), (words[1], 1, 1, -1), (words[2], 2, 2, -2), ("one two three four five six seven", 8, 8, -8)])
     with pytest.raises(ValueError, match="already"):
         simhash.with_fingerprint(docs)
+
+
+def test_rows_that_repeat_id_and_text_but_not_the_rest(spark):
+    """The one that stays does not hang on the order of the rows."""
+    rows = [(5, "one two three four", k, {"k": k}) for k in range(40)] + [(6, "other words entirely here", 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra long, m map<string,long>")
+    first = sorted((r.doc_id, r.extra) for r in simhash.one_of_each(docs.repartition(3)).collect())
+    again = sorted((r.doc_id, r.extra) for r in simhash.one_of_each(docs.orderBy("extra", ascending=False).repartition(5)).collect())
+    assert first == again and [d for d, _ in first] == [5, 6]
