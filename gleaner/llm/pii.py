@@ -7,12 +7,11 @@ of evidence. With N distinct texts, an entity e in n(e) contexts and a term t in
     PMI(e; t) = log(N * n(e, t) / (n(e) * n(t))),   IC(e) = log(N / n(e)),   disclosure = PMI / IC  (1: t gives e away).
 
 A term is removed where disclosure reaches ``remove_at`` and generalised to a class where it reaches ``generalise_at``,
-in documents that hold e; other documents stay as they are. Every term near every entity is judged. One met in fewer than
-``min_support`` distinct contexts of e is judged on a lower bound: each context it lacks counts as one more of e without it,
+in documents that hold e; other documents stay as they are. Every term near every entity is counted. One met in fewer than
+``min_seen`` distinct contexts of e is no evidence, as every word beside an entity that is met once is there as often as the entity: it stays,
+however rare. One met in fewer than ``min_support`` is judged on a lower bound: each context it lacks counts as one more of e without it,
 
-    PMI(e; t) >= log(N * n(e, t) / ((n(e) + max(0, min_support - n(e, t))) * n(t))),
-
-so that one sighting alone generalises a term in a large corpus, and removes it only where N is beyond 3^20.
+    PMI(e; t) >= log(N * n(e, t) / ((n(e) + max(0, min_support - n(e, t))) * n(t))).
 
 A text that occurs c times weighs 1/c wherever it occurs, so texts need not move to be counted once; the texts that
 repeat are known by hash.
@@ -45,6 +44,8 @@ LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"
 CONTEXT_WORDS = 8
 #: Distinct contexts of one entity that hold a term before its estimate is taken as it is; with fewer it is lowered.
 MIN_SUPPORT = 3
+#: Distinct contexts of one entity that hold a term before it is judged at all.
+MIN_SEEN = 2
 REMOVE_AT, GENERALISE_AT = 0.95, 0.8
 #: Largest table of disclosing terms that is broadcast; a larger one is joined.
 BROADCAST_BYTES = 32 << 20
@@ -206,14 +207,14 @@ def _counted(source: DataFrame, asked: DataFrame | None = None) -> tuple[DataFra
     return counts.groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n_term")), groups.count()
 
 
-def disclosing_terms(df: DataFrame, text_col: str = "text", min_support: int = MIN_SUPPORT, remove_at: float = REMOVE_AT, generalise_at: float = GENERALISE_AT) -> DataFrame:
+def disclosing_terms(df: DataFrame, text_col: str = "text", min_support: int = MIN_SUPPORT, min_seen: int = MIN_SEEN, remove_at: float = REMOVE_AT, generalise_at: float = GENERALISE_AT) -> DataFrame:
     """entity, term (hashes), kind: the terms of this corpus that give an entity away."""
     source = df.select(F.col(f"`{text_col}`").alias("text"))
     found = source.where(F.col("text").rlike("[0-9@]")).mapInArrow(_evidence, "entity long, term long, context long")
     found = written(found.distinct())  # copies of a text say nothing new
-    near = found.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    near = found.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_seen)
     of_entity = found.groupBy("entity").agg(F.count_distinct("context").alias("n_entity"))
-    of_term, n = _counted(source, found.select("term").distinct())
+    of_term, n = _counted(source, near.select("term").distinct())
     n = max(1, n)
     lacking = F.greatest(F.lit(0), F.lit(min_support) - F.col("n_both"))
     pmi = F.log(F.lit(float(n)) * F.col("n_both") / ((F.col("n_entity") + lacking) * F.greatest("n_term", "n_both")))
