@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from gleaner.llm.common import fresh, slices, texts, written
+from gleaner.llm.common import discard, fresh, slices, texts, written
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -123,7 +123,8 @@ def component_labels(edges: DataFrame) -> DataFrame:
         down = large.selectExpr("greatest(a, b) AS a", "least(a, b) AS b")
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").selectExpr("m AS a", "b").where("a != b").unionByName(low.selectExpr("m AS a", "a AS b")).distinct()
-        edges = written(small)
+        before, edges = edges, written(small)
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.selectExpr("b AS node", "a AS label").unionByName(edges.selectExpr("a AS node", "a AS label").distinct())
