@@ -8,7 +8,7 @@
 
 Every stage passes on all columns of its input but the last. Null texts, empty tables and repeated rows are handled as
 each operator says. ``run`` writes each stage's rows as Parquet into the shared scratch folder and reads them
-again, so that a lost executor costs one stage at most.
+again, so that a lost executor costs one stage at most. Scratch tables of a stage are deleted once its rows stand.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm import bpe, decontaminate, pii, quality, simhash
-from gleaner.llm.common import table, written
+from gleaner.llm.common import folders, release, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, first = table(spark, sf_dir, "documents"), folders()
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        release(spark, first, folders() - 1)  # what the stage has read and left, now that its rows stand
+        first = folders() - 1
     return STAGES[-1][1](spark, docs, sf_dir)
