@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +78,21 @@ def analyze_transcripts(docs: DataFrame, template: str, chat: Callable[[str], st
     return answers, parse_units(answers.where("error_code IS NULL"), "doc_id", "text")
 
 
+def extend_store(requests: DataFrame, path: str, fetch: Callable[[str], str], key: str = "request_key", request: str = "request") -> DataFrame:
+    """``fill_store`` over the answers kept under ``path``, to which the new ones are added: what any run has fetched, no later one asks for."""
+    schema = f"`{key}` {requests.schema[key].dataType.simpleString()}, answer string"
+    try:
+        held = requests.sparkSession.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        held = requests.sparkSession.createDataFrame([], schema)
+    every, new = fill_store(requests, held, fetch, key, request)
+    every = scratch.stored(every)  # before the folder that it reads changes
+    new.write.mode("append").parquet(path)
+    return every
+
+
 def fill_store(requests: DataFrame, stored: DataFrame, fetch: Callable[[str], str], key: str = "request_key", request: str = "request") -> tuple[DataFrame, DataFrame]:
     """(key, answer, error_code) of all requests, and what the store gains. ``stored``: key, answer; only requests without a stored answer are fetched.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.formatting import file_size
+
 HISTORY_CAP = 1000
 
 
@@ -19,6 +21,17 @@ def recent(history: DataFrame, limit: int | None = None, order: str = "seq") ->
     return history.orderBy(F.desc(order)).limit(min(limit, HISTORY_CAP) if limit else HISTORY_CAP)
 
 
+def status_lines(history: DataFrame, limit: int = 20, order: str = "seq") -> DataFrame:
+    """The newest entries as a status list shows them: video, status, size and date, over (video_id, title, status, file_size, timestamp)."""
+    return recent(history, limit, order).select(
+        order,
+        F.coalesce("title", F.col("video_id").cast("string"), F.lit("Unknown")).alias("video"),
+        F.expr("IF(status = 'completed', 'Success', 'Failed')").alias("status"),
+        F.expr(f"IF(coalesce(file_size, 0) = 0, '-', {file_size('file_size')})").alias("size"),
+        F.expr("coalesce(nullif(replace(left(timestamp, 16), 'T', ' '), ''), 'Unknown')").alias("date"),
+    )
+
+
 def pending(items: DataFrame, history: DataFrame, key: str) -> DataFrame:
     """Items that no run has completed."""
     return items.join(history.where("status = 'completed'").select(key), key, "left_anti")

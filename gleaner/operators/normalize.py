@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.formatting import truncated
 from gleaner.sources.scratch import stored
 
 # The labels, and the bounds of their texts.
@@ -74,7 +75,7 @@ def cache_split(candidates: DataFrame, cache: DataFrame, sig: str) -> tuple[Data
 
 def ask(candidates: DataFrame, provider: Provider | Callable = stub_provider, max_retries: int = 1, text_cap: int = 350) -> DataFrame:
     """Labels from the provider, document by document; after ``max_retries`` more attempts, fallbacks."""
-    lists = candidates.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", F.left("text", F.lit(text_cap)).alias("text"), F.left("text", F.lit(FALLBACK_SUMMARY)).alias("head")))).alias("cs"))
+    lists = candidates.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", F.expr(truncated("text", text_cap)).alias("text"), F.left("text", F.lit(FALLBACK_SUMMARY)).alias("head")))).alias("cs"))
     struct = pa.list_(pa.struct([("ord", pa.int64()), *((f, pa.string()) for f in FIELDS[:4]), ("confidence", pa.float64()), ("is_fallback", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,20 @@ def system_prompt(types: tuple[str, ...] = TYPES) -> str:
     return f"You label candidate units of a transcript. Answer with JSON only: an array of objects with id, type (one of {', '.join(types)}), name (80 characters at most), summary (300 at most) and confidence from 0 to 1, one for each candidate in the given order."
 
 
+def model_provider(chat: Callable[[str], str], types: tuple[str, ...] = TYPES, text_cap: int = 350) -> Callable[[object, list[dict]], list[dict]]:
+    """A provider of labels (``normalize.Provider``) out of a model: the system prompt and a document's candidates go in, its JSON with or without a fence comes out."""
+    opening = system_prompt(types)
+
+    def provider(doc_id, candidates: list[dict]) -> list[dict]:
+        body = json.dumps({"video_id": str(doc_id), "candidates": [{"id": c["id"], "text": c["text"][:text_cap]} for c in candidates]}, ensure_ascii=False)
+        answer = chat(f"{opening}\n\n{body}").strip()
+        if answer.startswith("```"):
+            answer = answer.split("\n", 1)[-1].rsplit("```", 1)[0]
+        return json.loads(answer)
+
+    return provider
+
+
 def user_prompts(candidates: DataFrame, text_cap: int = 350) -> DataFrame:
     """doc_id and prompt: the candidates of each document as JSON, in order. ``candidates``: doc_id, ord, id, text."""
     item = F.struct("ord", "id", F.left("text", F.lit(text_cap)).alias("text"))

@@ -13,7 +13,8 @@ from gleaner.errors import CODES, GleanerError
 from gleaner.functions.formatting import percent, rate_per_minute, seconds_left
 from gleaner.operators.requests import backoff_delay
 from gleaner.sources.scratch import stored
-from gleaner.sources.sinks import append_history, read_history
+from gleaner.sources.page_files import write_pages
+from gleaner.sources.sinks import append_history, read_history, video_markdown
 
 #: Errors that another attempt cannot mend.
 FINAL = ("not_found", "validation", "authentication", "invalid_video", "cancelled", "blank")
@@ -72,6 +73,23 @@ def record_run(items: DataFrame, path: str, fetch: Callable[[object, int], str |
     return results
 
 
+def extract_pages(videos: DataFrame, root: str, history: str, fetch: Callable[[object, int], str | None], at: str, **options) -> DataFrame:
+    """Videos that the history has not completed, fetched, rendered and written as a page each under ``root``; outcomes with path and size go to the history and come back.
+
+    ``videos``: the columns of ``sinks.video_markdown`` but transcript and extracted. ``file_size`` is that of the page in bytes; a failed video has no page.
+    """
+    kind = videos.schema["video_id"].dataType.simpleString()
+    results = stored(run_extraction(videos.select("video_id"), read_history(videos.sparkSession, history, kind), fetch, **options))
+    ready = videos.join(results.where("status = 'completed'").select("video_id", "transcript"), "video_id").withColumn("extracted", F.lit(at))
+    pages = stored(video_markdown(ready, "video_id"))
+    write_pages(pages.select("path", "value"), root, mode="append")
+    sized = pages.select("video_id", F.col("path").alias("output_path"), F.octet_length("value").cast("long").alias("page_size"))
+    named = results.join(sized, "video_id", "left").join(videos.select("video_id", "title"), "video_id", "left")
+    out = stored(named.withColumn("file_size", F.coalesce("page_size", "file_size")).drop("page_size", "transcript"))
+    append_history(out.where("status != 'skipped'"), history, at)
+    return out
+
+
 def observed(results: DataFrame) -> tuple[DataFrame, Observation]:
     """``results`` (status) that are counted while they are written, by the job that writes them: completed, failed, skipped and total."""
     seen = Observation()

@@ -52,6 +52,15 @@ def aliased_types(units: DataFrame) -> DataFrame:
 PART_CHARS = 1 << 20
 
 
+def union_units(*analyses: DataFrame) -> DataFrame:
+    """The units of several analyses (each with ``ord``) one after another; ``ord`` becomes (analysis, ord), in which the first analysis names a unit."""
+    ordered = [u.withColumn("ord", F.struct(F.lit(i).alias("analysis"), F.col("ord").alias("ord"))) for i, u in enumerate(analyses)]
+    out = ordered[0]
+    for u in ordered[1:]:
+        out = out.unionByName(u)
+    return out
+
+
 def first_paragraphs(units: DataFrame) -> DataFrame:
     """id, ord, pos, p: each group's paragraphs without white space at their ends, the first of those equal but for case. ``units``: id, ord, content."""
     pieces = units.select("id", "ord", F.posexplode(F.split("content", "\n\n", -1)).alias("pos", "p"))

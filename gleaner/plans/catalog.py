@@ -389,6 +389,21 @@ def history_recent(spark, d):
     return history.recent(_history(spark, d), 25).select("seq", "user_id")
 
 
+_SIZE = "CASE WHEN {n} < 1024 THEN {n} || ' B' ELSE printf('%.1f', {n} / 1024.0::DOUBLE) || ' KB' END"
+
+
+@query(f"SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS video, CASE WHEN event_type <> 'error' THEN 'Success' ELSE 'Failed' END AS status, CASE WHEN coalesce(CAST(floor(value * 40) AS BIGINT), 0) = 0 THEN '-' ELSE {_SIZE.format(n='CAST(floor(value * 40) AS BIGINT)')} END AS size, strftime(ts, '%Y-%m-%d %H:%M') AS date FROM events ORDER BY event_id DESC LIMIT 40")
+def status_lines(spark, d):
+    h = read(spark, d, "events").selectExpr("event_id AS seq", "user_id AS video_id", "CAST(NULL AS STRING) AS title", "IF(event_type = 'error', 'failed', 'completed') AS status", "CAST(floor(value * 40) AS BIGINT) AS file_size", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") AS timestamp")
+    return history.status_lines(h, 40)
+
+
+@query("SELECT c_custkey AS channel_id, c_name AS channel, format('{:,}', CAST(floor(greatest(c_acctbal, 0) * 1000) AS BIGINT)) AS subscribers, format('{:,}', c_nationkey) AS videos, '2024-01-15' AS created, CASE WHEN length(repeat(c_mktsegment, c_nationkey)) > 200 THEN left(repeat(c_mktsegment, c_nationkey), 200) || '...' ELSE repeat(c_mktsegment, c_nationkey) END AS description FROM customer")
+def channel_panels(spark, d):
+    c = read(spark, d, "customer").selectExpr("c_custkey AS channel_id", "c_name AS channel_title", "CAST(floor(greatest(c_acctbal, 0) * 1000) AS BIGINT) AS subscriber_count", "c_nationkey AS video_count", "'2024-01-15T10:00:00Z' AS created_date", "repeat(c_mktsegment, c_nationkey) AS description")
+    return inputs.channel_info(c)
+
+
 def _done(spark, d):
     return read(spark, d, "labels").selectExpr("doc_id", "IF(quality = 1, 'completed', 'failed') AS status")
 
@@ -524,6 +539,18 @@ def synthesize_whole(spark, d):
     return synthesis.synthesize(_units(spark, d)).select("id", "type", "name", "content", F.array_join("source_videos", ",").alias("source_videos"), F.array_join("cross_references", ",").alias("cross_references"))
 
 
+_LATER = "(SELECT ord + CASE WHEN ord % 2 = 0 THEN 0 ELSE 1000000000 END AS ord, type, id, name, content, source_video_id FROM (" + _UNIT + "))"
+_LATER_MERGED = _MERGED.replace("FROM u)", f"FROM {_LATER})", 1)
+
+
+@query(f"WITH {_LATER_MERGED}, named AS (SELECT id, min_by(name, ord) AS name FROM {_LATER} GROUP BY id) SELECT id, name, sha256(coalesce(content, '')) AS digest FROM named LEFT JOIN merged USING (id)")
+def union_of_analyses(spark, d):
+    """Two analyses, the documents with even ids first: the earlier one names a unit and its paragraphs come first."""
+    u = _units(spark, d)
+    s = synthesis.synthesize(synthesis.union_units(u.where("ord % 2 = 0"), u.where("ord % 2 = 1")))
+    return s.select("id", "name", F.sha2("content", 256).alias("digest"))
+
+
 @query(f"WITH {_FIX} SELECT DISTINCT id, source_video_id AS video_id FROM u WHERE source_video_id <> ''")
 def unit_sources(spark, d):
     return synthesis.synthesis(_units(spark, d)).sources

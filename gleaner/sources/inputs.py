@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.formatting import human_duration, iso_date, iso_duration, safe_int
+from gleaner.functions.formatting import human_duration, iso_date, iso_duration, safe_int, thousands
 from gleaner.operators.validate import VIDEO_RULES, tagged
 
 #: Fixed value: nested shape of an API item; counts arrive as strings.
@@ -66,6 +66,23 @@ def parse_channels(items: DataFrame) -> DataFrame:
     )
 
 
+def rejected_items(items: DataFrame) -> DataFrame:
+    """API items that ``parse_videos`` leaves out, with what they lack."""
+    marked = tagged(items, {"id": "id IS NULL", "title": "snippet.title IS NULL"})
+    return marked.where(F.size("errors") > 0)
+
+
+def channel_info(channels: DataFrame) -> DataFrame:
+    """Channels as an info panel shows them: numbers with separators, the date's day, 200 characters of the description."""
+    return channels.select(
+        "channel_id",
+        F.coalesce("channel_title", F.lit("Unknown")).alias("channel"),
+        *(F.expr(thousands(f"coalesce({c}, 0)")).alias(n) for c, n in (("subscriber_count", "subscribers"), ("video_count", "videos"))),
+        F.expr("coalesce(left(created_date, 10), 'Unknown')").alias("created"),
+        F.expr("IF(length(description) > 200, concat(left(description, 200), '...'), coalesce(description, 'No description available'))").alias("description"),
+    )
+
+
 def published_between(videos: DataFrame, after: str | None = None, before: str | None = None) -> DataFrame:
     """Videos whose ``upload_date`` (year-month-day) is in the window, both ends included; a missing end is open."""
     for bound, keep in ((after, F.col("upload_date") >= after), (before, F.col("upload_date") <= before)):
@@ -182,7 +199,3 @@ def label_cache(spark: SparkSession, path: str) -> DataFrame:
 def invalid_videos(videos: DataFrame) -> DataFrame:
     """Rows that lack a required field or whose duration is no whole number, with what is wrong."""
     return tagged(videos, VIDEO_RULES, "problem").withColumn("problem", F.array_join("problem", ",")).where("problem != ''")
-
-
-def first_per_video(details: DataFrame, key: str, order: str) -> DataFrame:
-    return details.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_rn = 1").drop("_rn")

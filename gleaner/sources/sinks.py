@@ -17,8 +17,8 @@ def write_records(df: DataFrame, path: str) -> None:
 
 
 # The page's layout, its headings and labels.
-def video_markdown(videos: DataFrame) -> DataFrame:
-    """path and value: the page of each video. ``videos``: video columns, transcript and extracted (a time as text)."""
+def video_markdown(videos: DataFrame, *kept: str) -> DataFrame:
+    """path and value: the page of each video, after the columns ``kept``. ``videos``: video columns, transcript and extracted (a time as text)."""
     value = F.concat_ws(
         "\n",
         F.concat(F.lit("# "), "title"),
@@ -41,7 +41,7 @@ def video_markdown(videos: DataFrame) -> DataFrame:
         F.expr("coalesce(nullif(transcript, ''), 'No transcript available for this video')"),
         F.lit("\n---\n"),
     )
-    return videos.select(F.concat("channel_title", F.lit("/transcripts/"), "video_id", F.lit(".md")).alias("path"), value.alias("value"))
+    return videos.select(*kept, F.concat("channel_title", F.lit("/transcripts/"), "video_id", F.lit(".md")).alias("path"), value.alias("value"))
 
 
 #: Columns of a history beside video_id.

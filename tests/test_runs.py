@@ -231,3 +231,61 @@ def test_small_functions(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "records")).count() == 2 == spark.read.json(str(tmp_path / "analyses")).count()
     paths = sinks.channel_paths(spark.createDataFrame([("chan",)], "name string")).first()
     assert paths.knowledge_base == "channels/chan/knowledge-base"
+
+
+def test_videos_become_pages(spark, tmp_path):
+    columns = "video_id string, title string, channel_title string, upload_date string, duration_seconds long, view_count long, like_count long, comment_count long, channel_id string, description string, tags array<string>"
+    videos = spark.createDataFrame([(f"v{i}", f"T{i}", "ch", "2024-01-01", 61, 1500, 3, 4, "c1", "d", ["x"]) for i in range(4)], columns)
+
+    def fetch(video_id, attempt):
+        if video_id == "v2":
+            raise GleanerError("not_found")
+        return f"words of {video_id} é"
+
+    root, path = str(tmp_path / "out"), str(tmp_path / "history")
+    got = {r.video_id: r for r in runs.extract_pages(videos, root, path, fetch, "2024-05-01").collect()}
+    page = tmp_path / "out/ch/transcripts/v1.md"
+    assert "words of v1 é" in page.read_text() and got["v1"].file_size == page.stat().st_size and got["v1"].output_path == "ch/transcripts/v1.md"
+    assert got["v2"].status == "failed" and not (tmp_path / "out/ch/transcripts/v2.md").exists()
+    again = {r.video_id: r.status for r in runs.extract_pages(videos, root, path, lambda v, a: "later", "2024-05-02").collect()}
+    assert again == {"v0": "skipped", "v1": "skipped", "v2": "completed", "v3": "skipped"} and "words of v1" in page.read_text()
+    h = sinks.read_history(spark, path)
+    assert sorted((r.video_id, r.status, r.title, r.output_path) for r in h.where("video_id = 'v2'").collect()) == [("v2", "completed", "T2", "ch/transcripts/v2.md"), ("v2", "failed", "T2", None)]
+
+
+def test_labels_by_a_model(spark):
+    from gleaner.operators.requests import model_provider, system_prompt
+
+    def chat(prompt):
+        assert prompt.startswith(system_prompt())
+        asked = json.loads(prompt.split("\n\n", 1)[1])
+        if asked["video_id"] == "2":
+            return "no json"
+        return "```json\n" + json.dumps([{"id": c["id"], "type": "pattern", "name": c["text"][:5], "summary": c["text"], "confidence": 1} for c in asked["candidates"]]) + "\n```"
+
+    cs = spark.createDataFrame([(1, 0, "a", "first text"), (1, 1, "b", "x" * 400), (2, 0, "c", "other")], "doc_id long, ord long, id string, text string")
+    got = {r.id: r for r in normalize.ask(cs, model_provider(chat), text_cap=300).collect()}
+    assert (got["a"].name, got["a"].is_fallback, got["c"].name, got["c"].is_fallback) == ("first", False, "(unclear)", True)
+    assert got["b"].summary == "x" * 300
+
+
+def test_a_store_that_grows(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def fetch(request):
+        calls.add(1)
+        if request == "q3":
+            raise GleanerError("quota")
+        return request.upper()
+
+    ask = lambda n: spark.createDataFrame([(f"k{i}", f"q{i}") for i in range(n)], "request_key string, request string")
+    path = str(tmp_path / "store")
+    assert analyze.extend_store(ask(3), path, fetch).count() == 3 and calls.value == 3
+    got = {r.request_key: (r.answer, r.error_code) for r in analyze.extend_store(ask(5), path, fetch).collect()}
+    assert got == {"k0": ("Q0", None), "k1": ("Q1", None), "k2": ("Q2", None), "k3": (None, "quota"), "k4": ("Q4", None)} and calls.value == 5
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_items_that_are_left_out_say_why(spark):
+    items = spark.createDataFrame([("v1", ("T",)), (None, ("T",)), ("v2", (None,)), ("v3", None)], "id string, snippet struct<title:string>")
+    assert [(r.id, r.errors) for r in inputs.rejected_items(items).collect()] == [(None, ["id"]), ("v2", ["title"]), ("v3", ["title"])]
