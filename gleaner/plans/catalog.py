@@ -747,7 +747,7 @@ def versioned_upsert(spark, d):
     return versions.read_table(spark, root, "user_id long, event_id long, n long")
 
 
-@query()
+@query(f"SELECT doc_id || '/' || id AS id, 'technique' AS type, left(text, 80) AS name, 1 AS n_sources FROM ({ORACLES['top_units']})")
 def knowledge_run(spark, d):
     from gleaner.plans.workflow import knowledge
 
