@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import re
 import unicodedata
 
 import pandas as pd
@@ -63,10 +62,9 @@ def _runs(flags: list[bool], value: bool) -> list[tuple[int, int]]:
     return out
 
 
-@functools.cache
-def touched() -> re.Pattern:
-    """A character that NFKC may change."""
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _runs(_touched(), True)) + "]")
+def changes(s: str) -> bool:
+    """Whether NFKC changes a text."""
+    return not s.isascii() and not unicodedata.is_normalized("NFKC", s)
 
 
 @functools.cache
@@ -83,7 +81,7 @@ def strip_and_normalise(s: str) -> str:
 
 @F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else strip_and_normalise(x) if touched().search(x) else None)
+    return s.map(lambda x: None if x is None else strip_and_normalise(x) if changes(x) else None)
 
 
 def canon_column(c: str, nfkc: bool = True) -> Column:

@@ -101,16 +101,15 @@ def segment(df: DataFrame, size: int = 3500, nfkc: bool = True) -> DataFrame:
     struct = pa.list_(pa.struct([("win", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("plain", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        touched = T.touched()
         for b in batches:
             out, plain = [], []
             for t in b.column(1).to_pylist():
                 t = t or ""
-                normal = T.strip_and_normalise if nfkc and touched.search(t) else None
+                normal = T.strip_and_normalise if nfkc and T.changes(t) else None
                 plain.append(normal and normal(t))
                 rows = [{"win": i, "start": s + a, "end": s + z, "text": t[s + a : s + z].strip(), "plain": None} for i, (s, e) in enumerate(windows_of(t, size)) for a, z in sentences_of(t[s:e])]
                 for r in rows if normal else ():
-                    r["plain"] = normal(r["text"]) if touched.search(r["text"]) else None
+                    r["plain"] = normal(r["text"]) if T.changes(r["text"]) else None
                 out.append(rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(plain, pa.string()), pa.array(out, struct)], ["doc_id", "text", "plain", "sentences"])
 
