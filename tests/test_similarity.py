@@ -1,5 +1,7 @@
+import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +60,49 @@ def test_edges(spark):
     assert none.pairs.collect() == [] and none.members.collect() == []
     twice = similarity.similar(spark.createDataFrame([(1, "one text", 5, "x"), (1, "one text", 6, "y"), (None, "one texts", 7, "z")], "id long, text string, n int, digest string"), 0.5)
     assert sorted(map(tuple, twice.members.collect()), key=str) == [(1, 1, 2), (1, 1, 2), (None, None, 2)]
+
+
+def syllables(rng, most):
+    made = ["er", "th", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "ou", "ing", "tion", "ble", "ly"]
+    return " ".join("".join(rng.choices(made, k=rng.randint(1, 3))) for _ in range(rng.randint(2, most)))
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.9])
+def test_long_texts_of_common_trigrams(spark, threshold):
+    rng = random.Random(7)
+    texts = [syllables(rng, 250) for _ in range(80)]
+    for t in texts[:60]:
+        words = t.split()
+        cut = rng.randint(0, len(words) // 2)
+        texts += [" ".join(words[cut:]), " ".join(words[: len(words) - cut // 4] + [syllables(rng, 20)])]
+    check(spark, list(enumerate(texts)), threshold)
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets_in_trigrams():
+    rng = np.random.default_rng(2)
+    sets = [rng.choice(500, n, replace=False) for n in rng.integers(1, 400, 60)]
+    for words in (2, 8):
+        maps = np.array(similarity.bitmaps(np.concatenate(sets), np.cumsum([0] + [len(x) for x in sets[:-1]]), words)).view(np.uint64)
+        for i, x in enumerate(sets):
+            for k, y in enumerate(sets):
+                assert np.bitwise_count(maps[:, i] ^ maps[:, k]).sum() <= len(np.setxor1d(x, y))
+
+
+def on_disk(spark):
+    dirs = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()
+    return sum(os.path.getsize(os.path.join(at, f)) for d in dirs for at, _, files in os.walk(d.getPath()) for f in files)
+
+
+def test_disk_is_in_proportion_to_the_texts(spark):
+    """Texts that share all their trigrams with many others, few of them alike: what is shuffled follows the texts, not the pairs."""
+    rng = random.Random(5)
+    rows = [(i, syllables(rng, 25)) for i in range(4_000)]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = on_disk(spark)
+        assert similarity.similar(spark.createDataFrame(rows, "id long, text string"), 0.6).members.count() == 4_000
+        used, read = on_disk(spark) - before, sum(len(t) for _, t in rows)
+        assert used < 50 * read, (used, read)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
