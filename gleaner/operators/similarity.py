@@ -12,6 +12,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from gleaner.sources.scratch import stored
 RANKED = 1 << 16
 #: Longs of a bitmap, of which ranges of sizes that begin at LARGE or below use half; a bitmap much smaller than its set tells little.
 WORDS, LARGE = 8, 100
+#: Trigrams that a worker puts in order at a time, besides those of one set.
+AT_ONCE = 1 << 17
 _WORDS = [f"w{i}" for i in range(WORDS)]
 _NEAR = 1e-9
 
@@ -63,7 +66,7 @@ def _ranges(threshold: float, longest: int) -> np.ndarray:
     """The first size of each range of sizes, the last one beyond ``longest``; a size meets about three ranges of sizes that are not smaller."""
     first = [1]
     while first[-1] <= longest:
-        first.append(max(first[-1] + 1, math.ceil(first[-1] / math.sqrt(threshold))))
+        first.append(min(max(first[-1] + 1, math.ceil(first[-1] / math.sqrt(threshold))), longest + 1))
     return np.array(first)
 
 
@@ -77,6 +80,13 @@ def bitmaps(grams: np.ndarray, starts: np.ndarray, words: int) -> list[np.ndarra
     return [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == w, one, np.uint64(0)), starts).view(np.int64) for w in range(words)]
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of (digest, grams) a few at a time: AT_ONCE trigrams and those of one more set at most."""
+    size = b.column(1).value_lengths().to_numpy().astype(int)
+    cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(size) - size) // AT_ONCE)) + 1).tolist(), b.num_rows]
+    return (b.slice(i, k - i) for i, k in pairwise(cuts) if i < k)
+
+
 def _prefixes(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """gram, range, digest, size, place and bitmap of the trigrams by which a class as the smaller of two, and as the larger, must meet those that are alike."""
     places, longest = classes.agg(F.sum(F.size("grams").cast("long")), F.max(F.size("grams"))).first()
@@ -102,7 +112,7 @@ def _prefixes(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, ranks = shared.value
             for b in batches:
-                for part in (b.slice(at, 1000) for at in range(0, b.num_rows, 1000)):
+                for part in _slices(b):
                     grams = part.column(1).flatten().to_numpy()
                     size = part.column(1).value_lengths().to_numpy().astype(int)
                     own, begin = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size

@@ -2,6 +2,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,23 @@ def test_bitmaps_differ_in_no_more_bits_than_sets_in_trigrams():
                 assert np.bitwise_count(maps[:, i] ^ maps[:, k]).sum() <= len(np.setxor1d(x, y))
 
 
+def test_few_sets_at_a_time(monkeypatch):
+    monkeypatch.setattr(similarity, "AT_ONCE", 10)
+    sizes = [1, 4, 4, 4, 30, 1, 1, 9, 25]
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array([list(range(n)) for n in sizes], pa.list_(pa.int64()))], ["digest", "grams"])
+    parts = list(similarity._slices(b))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([b]))
+    assert all(sum(map(len, p.column(1).to_pylist()[:-1])) <= 10 for p in parts)
+    assert list(similarity._slices(b.slice(0, 0))) == []
+
+
+@pytest.mark.parametrize("threshold", [1e-40, 0.01, 0.6, 1.0])
+def test_ranges_end_behind_the_longest(threshold):
+    for longest in (0, 1, 7, 400):
+        first = similarity._ranges(threshold, longest)
+        assert first.dtype == np.int64 and first[0] == 1 and first[-1] == longest + 1 and (np.diff(first) > 0).all()
+
+
 def on_disk(spark):
     dirs = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()
     return sum(os.path.getsize(os.path.join(at, f)) for d in dirs for at, _, files in os.walk(d.getPath()) for f in files)
